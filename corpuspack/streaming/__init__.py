@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The packing work has no event time, windows or late data: a document needs its
+token total in its first line, so it can only be written once all its files are
+known. The column functions in ``corpuspack.functions`` are row-local and can be
+used on a streaming DataFrame as they are.
+"""
