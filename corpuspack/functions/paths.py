@@ -43,29 +43,23 @@ def in_vcs_dir(path: Column) -> Column:
     return F.array_contains(F.split(path, "/"), fixed.VCS_DIR)
 
 
-def _extension(name: Column) -> Column:
-    return F.lower(F.substring_index(name, ".", -1))
-
-
 def language_of(path: Column) -> Column:
-    """Fence language of a file, empty if unknown."""
-    base = basename(path)
-    ext = _extension(base)
-    by_ext = F.lit("")
-    for language in sorted(set(fixed.LANGUAGES.values())):
-        exts = [e for e, name in fixed.LANGUAGES.items() if name == language]
-        by_ext = F.when(ext.isin(exts), language).otherwise(by_ext)
-    return (
-        F.when(F.lower(base).isin(list(fixed.MAKE_NAMES)), fixed.MAKE_LANGUAGE)
-        .when(F.instr(base, ".") == 0, "")
-        .when((F.instr(base, ".") == 1) & ~F.substr(base, F.lit(2)).contains("."), "")
-        .otherwise(by_ext)
+    """Fence language of a file, empty if unknown.
+
+    A name whose only dot is its first character has no extension.
+    """
+    base = F.lower(basename(path))
+    languages = F.create_map(*[F.lit(x) for kv in fixed.LANGUAGES.items() for x in kv])
+    ext = F.regexp_extract(base, r"(?s)^.+\.([^.]*)\z", 1)
+    return F.when(base.isin(list(fixed.MAKE_NAMES)), fixed.MAKE_LANGUAGE).otherwise(
+        F.coalesce(F.try_element_at(languages, ext), F.lit(""))
     )
 
 
 def text_by_extension(path: Column) -> Column:
     """False for image extensions, judged by the last dot of the whole path."""
-    return ~(path.contains(".") & _extension(path).isin(list(fixed.BINARY_EXTENSIONS)))
+    ext = F.lower(F.regexp_extract(path, r"\.([^.]*)\z", 1))
+    return ~ext.isin(list(fixed.BINARY_EXTENSIONS))
 
 
 def _without_trailing_slashes(directory: Column) -> Column:

@@ -39,11 +39,14 @@ def tree_line(path: Column, is_dir: Column) -> Column:
     )
 
 
-def text_section(path: Column, content: Column) -> Column:
+def fence_of(text: Column) -> Column:
+    """The backticks that fence a text."""
+    return F.repeat(F.lit("`"), fence_len(text))
+
+
+def text_section(path: Column, text: Column, fence: Column) -> Column:
     """Fenced content with a language, closed on a line of its own."""
-    text = content.cast("string")
-    fence = F.repeat(F.lit("`"), fence_len(text))
-    missing = (F.octet_length(text) > 0) & ~ends_with_newline(text)
+    missing = (text != "") & ~ends_with_newline(text)
     return F.concat(
         fence,
         language_of(path),
@@ -61,29 +64,26 @@ def size_line(n_bytes: Column) -> Column:
     )
 
 
-def binary_section(n_bytes: Column) -> Column:
-    return F.concat(F.lit(fixed.BINARY_NOTE), size_line(n_bytes))
+def binary_section(size: Column) -> Column:
+    """Note and size line, not fenced; ``size`` is a :func:`size_line`."""
+    return F.concat(F.lit(fixed.BINARY_NOTE), size)
 
 
-def file_body(kind: Column, path: Column, content: Column, n_bytes: Column) -> Column:
+def file_body(kind: Column, path: Column, text: Column, fence: Column, size: Column) -> Column:
+    """What follows a file's heading, by its kind."""
     return (
-        F.when(kind == "text", text_section(path, content))
+        F.when(kind == "text", text_section(path, text, fence))
         .when(kind == "error", fixed.ERROR_NOTE)
-        .otherwise(binary_section(n_bytes))
+        .otherwise(binary_section(size))
     )
 
 
-def file_section(kind: Column, path: Column, content: Column, n_bytes: Column) -> Column:
-    """Heading, body and the blank line after it."""
-    return F.concat(heading(path), file_body(kind, path, content, n_bytes), F.lit("\n"))
-
-
-def counted_texts(kind: Column, path: Column, content: Column, n_bytes: Column) -> Column:
+def counted_texts(kind: Column, title: Column, text: Column, size: Column) -> Column:
     """The texts of a file section that count, each counted on its own."""
     return (
-        F.when(kind == "text", F.array(heading(path), content.cast("string")))
-        .when(kind == "error", F.array(heading(path), F.lit(fixed.ERROR_NOTE)))
-        .otherwise(F.array(heading(path), F.lit(fixed.BINARY_NOTE), size_line(n_bytes)))
+        F.when(kind == "text", F.array(title, text))
+        .when(kind == "error", F.array(title, F.lit(fixed.ERROR_NOTE)))
+        .otherwise(F.array(title, F.lit(fixed.BINARY_NOTE), size))
     )
 
 

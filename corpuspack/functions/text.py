@@ -71,29 +71,24 @@ def ends_with_newline(text: Column) -> Column:
 def human_size(n_bytes: Column) -> Column:
     """``12.34 KB``, rounded to two decimals with exact ties to even.
 
-    Works on whole hundredths: units are powers of two, so the quotient is a
-    shift and the remainder a mask, and no floating point rounding gets in.
+    Works on whole hundredths: units are powers of two, so dividing is a shift,
+    and no floating point rounding gets in.
     """
-    hundredths = n_bytes.cast("bigint") * 100
-    shown = None
-    for k, unit in enumerate(fixed.SIZE_UNITS):
-        if k == 0:
-            rounded = hundredths
-        else:
-            scale = 1 << (10 * k)
-            quotient = F.shiftright(hundredths, 10 * k)
-            rest = hundredths.bitwiseAND(F.lit(scale - 1))
-            up = (rest > scale // 2) | ((rest == scale // 2) & (quotient % 2 == 1))
-            rounded = quotient + up.cast("bigint")
-        text = F.concat(
-            F.floor(rounded / 100).cast("string"),
-            F.lit("."),
-            F.lpad((rounded % 100).cast("string"), 2, "0"),
-            F.lit(f" {unit}"),
-        )
-        reached = n_bytes >= (1 << (10 * k))
-        shown = text if shown is None else F.when(reached, text).otherwise(shown)
-    return shown
+    n = n_bytes.cast("bigint")
+    unit = F.least(F.lit(len(fixed.SIZE_UNITS) - 1), F.floor((F.length(F.bin(n)) - 1) / 10))
+    shift = (unit * 10).cast("int")
+    hundredths = n * 100
+    quotient = F.call_function("shiftright", hundredths, shift)
+    twice_rest = (hundredths - F.call_function("shiftleft", quotient, shift)) * 2
+    one = F.call_function("shiftleft", F.lit(1).cast("bigint"), shift)
+    up = (twice_rest > one) | ((twice_rest == one) & (quotient % 2 == 1))
+    rounded = (quotient + up.cast("bigint")).cast("decimal(20,0)")
+    units = F.array(*[F.lit(u) for u in fixed.SIZE_UNITS])
+    return F.concat(
+        (rounded / 100).cast("decimal(20,2)").cast("string"),
+        F.lit(" "),
+        F.get(units, unit.cast("int")),
+    )
 
 
 def count_tokens_approx(text: Column) -> Column:
@@ -144,3 +139,13 @@ def byte_chunks(token: Column) -> Column:
     return F.transform(
         F.regexp_extract_all(F.hex(token.cast("binary")), F.lit(".{2}"), F.lit(0)), F.unhex
     )
+
+
+def to_base64(data: Column) -> Column:
+    """Base64 on a single line."""
+    return F.replace(F.base64(data.cast("binary")), F.lit("\r\n"), F.lit(""))
+
+
+def from_base64(text: Column) -> Column:
+    """The bytes of a base64 text, NULL if it is not valid."""
+    return F.try_to_binary(text, F.lit("base64"))

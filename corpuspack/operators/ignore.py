@@ -18,6 +18,20 @@ from corpuspack.functions.text import SPACE
 
 _ANY = "\u0001"  # stands for `**` while single stars are replaced
 _NEVER = "(?!)"
+_START = "(?s)^"
+
+
+def _patterns_of(content: Column) -> Column:
+    """Lines of an ignore file, trimmed; what is empty or a comment is no pattern."""
+    trimmed = F.transform(
+        F.split(content.cast("string"), "\n"),
+        lambda line: F.regexp_replace(
+            F.regexp_replace(line, r"(?s)\r.*\z", ""), rf"^[{SPACE}]+|[{SPACE}]+\z", ""
+        ),
+    )
+    return F.transform(
+        trimmed, lambda p: F.when((p != "") & ~F.startswith(p, F.lit("#")), p)
+    )
 
 
 def load_ignore_rules(files: DataFrame) -> DataFrame:
@@ -25,20 +39,11 @@ def load_ignore_rules(files: DataFrame) -> DataFrame:
 
     Reads one small row per repository: the filter on ``path`` reaches the scan.
     """
-    lines = F.split(F.col("content").cast("string"), "\n")
     return (
         files.filter(F.col("path") == fixed.IGNORE_FILE)
-        .select("repo", F.posexplode(lines).alias("pos", "line"))
-        .select(
-            "repo",
-            (F.col("pos") + 1).alias("rule_ord"),
-            F.regexp_replace(
-                F.regexp_replace("line", r"(?s)\r.*\z", ""),
-                rf"^[{SPACE}]+|[{SPACE}]+\z",
-                "",
-            ).alias("pattern"),
-        )
-        .filter((F.col("pattern") != "") & ~F.startswith("pattern", F.lit("#")))
+        .select("repo", F.posexplode(_patterns_of(F.col("content"))).alias("pos", "pattern"))
+        .filter(F.col("pattern").isNotNull())
+        .select("repo", (F.col("pos") + 1).alias("rule_ord"), "pattern")
     )
 
 
@@ -62,18 +67,27 @@ def extra_ignores(patterns: DataFrame, repos: DataFrame, extra: Sequence[str]) -
     return patterns.select("repo", "rule_ord", "pattern").unionByName(added)
 
 
-def _glob_body(glob: Column) -> Column:
-    """Regex for a glob without its flags, ends left open."""
+def _bare(pattern: Column) -> Column:
+    """A pattern without its negation sign."""
+    return F.regexp_replace(pattern, r"^!", "")
+
+
+def _body(pattern: Column) -> Column:
+    """Regex for a pattern, to be matched from the start of a path to its end."""
+    glob = _bare(pattern)
     steps = [
+        (r"/\z", ""),
+        (r"^(?!/)", "**"),
+        (r"^/", ""),
         (r"[.^$+()\[\]{}|\\]", r"\\$0"),
         (r"\*\*/?", _ANY),
         (r"\*", "[^/]*"),
         (r"\?", "."),
         (_ANY, ".*"),
     ]
-    for pattern, replacement in steps:
-        glob = F.regexp_replace(glob, pattern, replacement)
-    return glob
+    for regex, replacement in steps:
+        glob = F.regexp_replace(glob, regex, replacement)
+    return F.concat(glob, F.when(F.endswith(pattern, F.lit("/")), r"(/.*)?\z").otherwise(r"\z"))
 
 
 def compile_rules(patterns: DataFrame) -> DataFrame:
@@ -82,64 +96,62 @@ def compile_rules(patterns: DataFrame) -> DataFrame:
     The regex is written for a dot that matches newlines and for the very end of
     the text, and reads the same in Java and RE2 syntax.
     """
-    negation = F.startswith("pattern", F.lit("!"))
-    rest = F.when(negation, F.expr("substring(pattern, 2)")).otherwise(F.col("pattern"))
-    return (
-        patterns.select(
-            "repo",
-            "rule_ord",
-            negation.alias("negation"),
-            rest.alias("_rest"),
-        )
-        .select(
-            "repo",
-            "rule_ord",
-            F.regexp_replace("_rest", r"/\z", "").alias("pattern"),
-            "negation",
-            F.startswith("_rest", F.lit("/")).alias("anchored"),
-            F.endswith("_rest", F.lit("/")).alias("dir_only"),
-        )
-        .withColumn(
-            "regex",
-            F.concat(
-                F.lit("(?s)^"),
-                F.when(F.startswith("pattern", F.lit("/")), "").otherwise(".*"),
-                _glob_body(F.regexp_replace("pattern", "^/", "")),
-                F.when(F.col("dir_only"), r"(/.*)?\z").otherwise(r"\z"),
-            ),
-        )
+    pattern = F.col("pattern")
+    return patterns.select(
+        "repo",
+        "rule_ord",
+        F.regexp_replace(_bare(pattern), r"/\z", "").alias("pattern"),
+        F.startswith(pattern, F.lit("!")).alias("negation"),
+        F.startswith(_bare(pattern), F.lit("/")).alias("anchored"),
+        F.endswith(pattern, F.lit("/")).alias("dir_only"),
+        F.concat(F.lit(_START), _body(pattern)).alias("regex"),
+    )
+
+
+def _fold(rules: Column) -> Column:
+    """One regex for an ordered array of ``(negation, body)``.
+
+    "The last matching rule wins", first rule to last: a plain rule goes in front
+    as an alternative, a negated one guards all that was there with a lookahead.
+    """
+
+    def add(so_far: Column, rule: Column) -> Column:
+        return F.when(
+            rule["negation"],
+            F.concat(F.lit("(?!"), rule["body"], F.lit(")(?:"), so_far, F.lit(")")),
+        ).otherwise(F.concat(rule["body"], F.lit("|"), so_far))
+
+    return F.concat(
+        F.lit(_START + "(?:"), F.aggregate(rules, F.lit(_NEVER), add), F.lit(")")
     )
 
 
 def ignore_matchers(rules: DataFrame) -> DataFrame:
     """One regex per repository that matches exactly the ignored paths.
 
-    "The last matching rule wins" is folded into the regex, first rule to last: a
-    plain rule goes in front as an alternative, a negated one guards all that was
-    there before with a lookahead. A path then needs one match instead of one per
-    rule, and a repository adds one row to the join. The list collected per
-    repository is the content of one ignore file.
+    A path then needs one match instead of one per rule, and a repository adds
+    one row to the join. The list collected per repository is the content of one
+    ignore file.
     """
-    body = F.expr("substring(regex, length('(?s)^') + 1)")
+    body = F.substr("regex", F.lit(len(_START) + 1))
     ordered = F.array_sort(
         F.collect_list(F.struct("rule_ord", "negation", body.alias("body")))
     )
+    return rules.groupBy("repo").agg(ordered.alias("rules")).select(
+        "repo", _fold(F.col("rules")).alias("matcher")
+    )
 
-    def fold(so_far: Column, rule: Column) -> Column:
-        return F.when(
-            rule["negation"],
-            F.concat(F.lit("(?!"), rule["body"], F.lit(")(?:"), so_far, F.lit(")")),
-        ).otherwise(F.concat(rule["body"], F.lit("|"), so_far))
 
-    return (
-        rules.groupBy("repo")
-        .agg(ordered.alias("rules"))
-        .select(
-            "repo",
-            F.concat(
-                F.lit("(?s)^(?:"), F.aggregate("rules", F.lit(_NEVER), fold), F.lit(")")
-            ).alias("matcher"),
-        )
+def file_matchers(files: DataFrame) -> DataFrame:
+    """:func:`ignore_matchers` straight from the ignore files, without a shuffle."""
+    rules = F.transform(
+        F.filter(_patterns_of(F.col("content")), lambda p: p.isNotNull()),
+        lambda p: F.struct(
+            F.startswith(p, F.lit("!")).alias("negation"), _body(p).alias("body")
+        ),
+    )
+    return files.filter(F.col("path") == fixed.IGNORE_FILE).select(
+        "repo", _fold(rules).alias("matcher")
     )
 
 

@@ -58,13 +58,20 @@ def running_totals(
     )
 
 
-def hier_sort(entries: DataFrame) -> DataFrame:
-    """Total order: by repository, then path component by component."""
-    return entries.orderBy("repo", sort_key(F.col("path")))
-
-
 def entry_order(entries: DataFrame) -> DataFrame:
     """Position of each entry in hierarchical order, from 1."""
     keyed = entries.withColumn("_key", sort_key(F.col("path")))
     numbered = running_totals(keyed, "repo", ["_key"], {"position": F.lit(1)})
     return numbered.select(*entries.columns, (F.col("position") + 1).alias("position"))
+
+
+def hier_sort(entries: DataFrame) -> DataFrame:
+    """Total order: by repository, then path component by component."""
+    return entries.orderBy("repo", sort_key(F.col("path")))
+
+
+def ranks(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """Add ``rank``, from 0, in a total order over all rows."""
+    keys = [f"_order{i}" for i in range(len(order))]
+    keyed = rows.withColumns({"_all": F.lit(0), **dict(zip(keys, order))})
+    return running_totals(keyed, "_all", keys, {"rank": F.lit(1)}).select(*rows.columns, "rank")

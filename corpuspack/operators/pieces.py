@@ -111,16 +111,36 @@ def routed_files(files: DataFrame) -> DataFrame:
     )
 
 
+def rendered_files(files: DataFrame) -> DataFrame:
+    """Routed files with heading, rendered body and counted texts."""
+    kind, path, text = F.col("kind"), F.col("path"), F.col("_text")
+    prepared = routed_files(files).select(
+        "repo",
+        "path",
+        "kind",
+        F.col("content").cast("string").alias("_text"),
+        render.heading(path).alias("heading"),
+        F.when(kind == "text", render.fence_of(F.col("content").cast("string"))).alias("_fence"),
+        F.when(kind == "binary", render.size_line(F.col("n_bytes"))).alias("_size"),
+    )
+    return prepared.select(
+        "repo",
+        "path",
+        "kind",
+        "heading",
+        render.file_body(kind, path, text, F.col("_fence"), F.col("_size")).alias("body"),
+        render.counted_texts(kind, F.col("heading"), text, F.col("_size")).alias("counted"),
+    )
+
+
 def file_pieces(files: DataFrame) -> DataFrame:
     """One section per file: heading, fenced content or binary note, blank line."""
-    routed = routed_files(files)
-    args = (F.col("kind"), F.col("path"), F.col("content"), F.col("n_bytes"))
     return _pieces(
-        routed,
+        rendered_files(files),
         FILE,
         F.col("kind"),
-        render.file_section(*args),
-        render.counted_texts(*args),
+        F.concat("heading", "body", F.lit("\n")),
+        F.col("counted"),
         sort_key(F.col("path")),
     )
 

@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpuspack import fixed
 
@@ -65,7 +66,29 @@ def _exits(marks: Sequence[dict]) -> list[dict]:
     return [{"enter": k, "fence": v[0], "opened": v[1]} for k, v in ends.items()]
 
 
-@F.pandas_udf("array<struct<enter int, fence int, opened int>>")
+_EXITS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("enter", T.IntegerType()),
+            T.StructField("fence", T.IntegerType()),
+            T.StructField("opened", T.IntegerType()),
+        ]
+    )
+)
+_SPANS = T.ArrayType(
+    T.StructType(
+        [
+            T.StructField("file_block", T.LongType()),
+            T.StructField("file_line", T.IntegerType()),
+            T.StructField("path", T.StringType()),
+            T.StructField("first", T.IntegerType()),
+            T.StructField("last", T.IntegerType()),
+        ]
+    )
+)
+
+
+@F.pandas_udf(_EXITS)
 def _exits_of(marks: pd.Series) -> pd.Series:
     return marks.map(_exits)
 
@@ -108,9 +131,7 @@ def _spans(
     return spans
 
 
-@F.pandas_udf(
-    "array<struct<file_block bigint, file_line int, path string, first int, last int>>"
-)
+@F.pandas_udf(_SPANS)
 def _spans_of(
     marks: pd.Series,
     block: pd.Series,

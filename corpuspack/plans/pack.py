@@ -55,6 +55,9 @@ class Pack:
 
     @cached_property
     def matchers(self) -> DataFrame:
+        """One regex per repository that has rules."""
+        if self.options.use_ignore_files and not self.options.extra_patterns:
+            return stage(ignore.file_matchers(self.files), "matchers")
         return stage(ignore.ignore_matchers(self.rules), "matchers")
 
     def _visible(self, rows: DataFrame) -> DataFrame:

@@ -29,6 +29,15 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/corpuspack/{name}-{uuid.uuid4().hex}"
 
 
+def shared_posix_path(path: str) -> str:
+    """The path as Python functions in tasks open it: the shared folder as mounted."""
+    if path.startswith("file:"):
+        return "/" + path[len("file:") :].lstrip("/")
+    if "://" in path:
+        raise ValueError(f"tasks cannot open {path} as a file; name a mounted shared folder")
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspack import fixed
+from corpuspack.functions.text import from_base64
 
 
 def read_vocab_lines(spark: SparkSession, path: str, skip_header: bool = False) -> DataFrame:
@@ -21,7 +22,7 @@ def _parsed(lines: DataFrame) -> DataFrame:
     # one trailing separator ends the last field, it does not start another
     parts = F.split(F.regexp_replace("value", r" \z", ""), " ")
     digits = F.regexp_extract(F.get(parts, F.lit(1)), r"^[ \t\n\x0B\f\r]*([+-]?[0-9]+)", 1)
-    token = F.try_to_binary(F.get(parts, F.lit(0)), F.lit("base64"))
+    token = from_base64(F.get(parts, F.lit(0)))
     specials = F.create_map(*[F.lit(x) for kv in fixed.SPECIAL_TOKENS.items() for x in kv])
     return lines.select(
         "value",
