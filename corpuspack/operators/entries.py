@@ -41,25 +41,27 @@ def entry_counts(rows: DataFrame) -> DataFrame:
     )
 
 
-def corpus_status(repos: DataFrame, found: DataFrame, kept: DataFrame) -> DataFrame:
+def corpus_status(repos: DataFrame, listing: DataFrame) -> DataFrame:
     """``ok``, ``all_ignored`` or ``empty`` for every repository in ``repos``.
 
-    ``found`` are the rows before any filter, ``kept`` the rows after all of
-    them; both are reduced to counts per repository before the joins.
+    ``listing`` are all entries, with ``kept`` false where a filter drops them.
+    They are reduced to counts per repository before the join.
     """
-    n_found = found.groupBy("repo").agg(F.count("*").alias("n_found"))
-    n_kept = kept.groupBy("repo").agg(F.count("*").alias("n_kept"))
+    counts = listing.groupBy("repo").agg(
+        F.count("*").alias("n_found"), F.count_if("kept").alias("n_kept")
+    )
+    n_found = F.coalesce("n_found", F.lit(0))
+    n_kept = F.coalesce("n_kept", F.lit(0))
     return (
         repos.select("repo")
         .distinct()
-        .join(n_found, "repo", "left")
-        .join(n_kept, "repo", "left")
+        .join(counts, "repo", "left")
         .select(
             "repo",
-            F.coalesce("n_found", F.lit(0)).alias("n_found"),
-            F.coalesce("n_kept", F.lit(0)).alias("n_kept"),
-            F.when(F.col("n_kept") > 0, "ok")
-            .when(F.col("n_found") > 0, "all_ignored")
+            n_found.alias("n_found"),
+            n_kept.alias("n_kept"),
+            F.when(n_kept > 0, "ok")
+            .when(n_found > 0, "all_ignored")
             .otherwise("empty")
             .alias("status"),
         )

@@ -167,8 +167,8 @@ def match_rules(paths: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def prune(rows: DataFrame, matchers: DataFrame) -> DataFrame:
-    """Keep rows where neither the path nor any directory above it is ignored.
+def mark_kept(rows: DataFrame, matchers: DataFrame) -> DataFrame:
+    """Add ``kept``: neither the path nor any directory above it is ignored.
 
     Decided within the row: nothing is exploded, and the only join is with one
     row per repository (``matchers`` from :func:`ignore_matchers`).
@@ -177,13 +177,16 @@ def prune(rows: DataFrame, matchers: DataFrame) -> DataFrame:
     cut = F.rlike("path", matcher) | F.exists(
         ancestors(F.col("path")), lambda above: F.rlike(above, matcher)
     )
-    return (
-        rows.join(matchers, "repo", "left")
-        .filter(matcher.isNull() | ~cut)
-        .select(*rows.columns)
+    return rows.join(matchers, "repo", "left").select(
+        *rows.columns, (~F.coalesce(cut, F.lit(False))).alias("kept")
     )
 
 
+def prune(rows: DataFrame, matchers: DataFrame) -> DataFrame:
+    """Keep the rows that are not ignored, by themselves or with a directory."""
+    return mark_kept(rows, matchers).filter("kept").select(*rows.columns)
+
+
 def prune_ignored(rows: DataFrame, rules: DataFrame) -> DataFrame:
     """:func:`prune` for a table of compiled rules."""
     return prune(rows, ignore_matchers(rules))

@@ -81,12 +81,12 @@ def frame_pieces(repos: DataFrame, structure_only: bool = False) -> DataFrame:
 
 
 def tree_pieces(entries: DataFrame) -> DataFrame:
-    """One tree line per entry; its indentation does not count."""
+    """One tree line per entry, of kind dir or entry; its indentation does not count."""
     path, is_dir = F.col("path"), F.col("is_dir")
     return _pieces(
         entries,
         TREE,
-        "tree",
+        F.when(is_dir, "dir").otherwise("entry"),
         render.tree_line(path, is_dir),
         F.array(render.tree_label(path, is_dir)),
         sort_key(path),
@@ -166,7 +166,11 @@ def summary_pieces(stats: DataFrame, split: bool) -> DataFrame:
 
 
 def ledger(pieces: DataFrame, token_mode: str, vocab: DataFrame | None = None) -> DataFrame:
-    """Narrow measures of every piece: bytes, counted bytes and tokens."""
+    """Narrow measures of every piece, from one pass over the text.
+
+    ``n_bytes``, ``counted_bytes``, ``tokens``, and ``inner``: the look of its
+    lines matters when the document is split, even if the piece is short.
+    """
     tokens = {"approx": count_tokens_approx, "bytes": count_tokens_bytes}.get(token_mode)
 
     def total(measure) -> Column:
@@ -176,9 +180,16 @@ def ledger(pieces: DataFrame, token_mode: str, vocab: DataFrame | None = None) -
             lambda a, b: a + b,
         )
 
+    inner = (
+        F.when(F.col("section") == FILE, F.col("text").contains("\n" + fixed.FILE_MARKER))
+        .when(F.col("section") == TREE, ~F.rlike("text", F.lit(r"^[^\n]*\n\z")))
+        .otherwise(True)
+    )
     sizes = [
+        "kind",
         F.octet_length("text").cast("bigint").alias("n_bytes"),
         total(F.octet_length).alias("counted_bytes"),
+        inner.alias("inner"),
     ]
     if tokens is not None:
         return pieces.select(*KEY, *sizes, total(tokens).alias("tokens"))
@@ -204,10 +215,10 @@ def doc_stats(ledger_rows: DataFrame) -> DataFrame:
     )
 
 
-def piece_offsets(ledger_rows: DataFrame) -> DataFrame:
-    """``ord`` (from 0) and byte offset ``start`` of every piece in its document."""
+def piece_offsets(sizes: DataFrame) -> DataFrame:
+    """Add ``ord`` (from 0) and the byte offset ``start`` of each piece in its document."""
     return running_totals(
-        ledger_rows.select(*KEY, "n_bytes"),
+        sizes,
         "repo",
         ["section", "key"],
         {"ord": F.lit(1), "start": F.col("n_bytes")},
@@ -216,9 +227,7 @@ def piece_offsets(ledger_rows: DataFrame) -> DataFrame:
 
 def place(pieces: DataFrame, offsets: DataFrame) -> DataFrame:
     """Texts with their offsets."""
-    return pieces.select(*KEY, "kind", "text").join(
-        offsets.select(*KEY, "ord", "start", "n_bytes"), KEY
-    )
+    return pieces.select(*KEY, "text").join(offsets, KEY)
 
 
 def assemble_document(placed: DataFrame, block_bytes: int) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpuspack import fixed
 from corpuspack.functions import render
 from corpuspack.functions.paths import default_output_name, part_file_name
-from corpuspack.operators.pieces import CONTENTS, FILE
+from corpuspack.operators.pieces import CONTENTS, FILE, TREE, place
 
 NEWLINE, BREAK, MARKER = 1, 2, 3
 KIND_NAMES = {NEWLINE: "newline", BREAK: "break", MARKER: "marker"}
@@ -62,7 +62,7 @@ def _line_kind(line: Column, pos: Column, total: Column) -> Column:
     )
 
 
-def _line_starts(placed: DataFrame) -> DataFrame:
+def _line_starts(placed: DataFrame, *keep: str) -> DataFrame:
     """``(repo, pos, kind)`` of every line start in the given pieces.
 
     Positions come from a window over the lines of one piece. Only the length
@@ -78,6 +78,7 @@ def _line_starts(placed: DataFrame) -> DataFrame:
             "repo",
             "doc_bytes",
             "start",
+            *keep,
             # every piece ends with a newline, so its last element is empty and no line
             F.posexplode(F.slice("_lines", F.lit(1), F.size("_lines") - 1)).alias("i", "line"),
         )
@@ -85,12 +86,22 @@ def _line_starts(placed: DataFrame) -> DataFrame:
             "repo",
             "doc_bytes",
             "start",
+            *keep,
             "i",
             F.octet_length(line).alias("length"),
             F.substring(line, 1, len(fixed.FILE_MARKER)).alias("line"),
         )
-        .withColumn("pos", F.col("start") + F.coalesce(F.sum(F.col("length") + 1).over(in_piece), F.lit(0)))
-        .select("repo", "pos", _line_kind(line, F.col("pos"), F.col("doc_bytes")).alias("kind"))
+        .withColumn(
+            "pos",
+            F.col("start")
+            + F.coalesce(F.sum(F.col("length") + 1).over(in_piece), F.lit(0)),
+        )
+        .select(
+            "repo",
+            "pos",
+            _line_kind(line, F.col("pos"), F.col("doc_bytes")).alias("kind"),
+            *keep,
+        )
     )
 
 
@@ -111,9 +122,9 @@ def split_candidates(placed: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def _useful_candidates(
-    placed: DataFrame, offsets: DataFrame, totals: DataFrame, limit: int, max_splits: int
+    pieces: DataFrame, offsets: DataFrame, totals: DataFrame, limit: int, max_splits: int
 ) -> DataFrame:
-    """The candidates that can become a cut, ``(repo, pos, kind)``.
+    """The candidates that can become a cut, ``(repo, pos, kind, doc_bytes)``.
 
     * Documents within the limit have no cuts, and no cut lies beyond
       ``max_splits * (limit + 1)``.
@@ -121,32 +132,35 @@ def _useful_candidates(
       marker line in its content: any window that reaches such a place also
       reaches the marker at the section's start or at the next one. (A newline
       may lie 200 bytes further back, hence the lower bound on the limit.)
+    * A tree line is one line, and no marker or break.
 
-    So a usual document adds one row per file, without looking at its lines.
+    So most pieces give one row from their offset alone. Which texts are looked
+    at is decided on narrow rows before the texts are joined.
     """
     reach = max_splits * (limit + 1)
     long_docs = totals.filter(F.col("doc_bytes") > limit).select("repo", "doc_bytes")
-    uncut = (
+    near = offsets.filter(F.col("start") <= reach).join(long_docs, "repo")
+    short_file = (
         (F.col("section") == FILE)
         & F.lit(limit >= 2 * fixed.NEWLINE_WINDOW)
         & (F.col("n_bytes") <= (limit + 1) // 2)
     )
-
-    def near(rows: DataFrame) -> DataFrame:
-        return rows.filter(F.col("start") <= reach).join(long_docs, "repo")
-
-    heads = near(offsets.filter(uncut)).select(
-        "repo", F.col("start").alias("pos"), F.lit(MARKER).alias("kind")
+    by_offset = (short_file | (F.col("section") == TREE)) & ~F.col("inner")
+    starts = near.filter(by_offset).select(
+        "repo",
+        F.col("start").alias("pos"),
+        F.when(F.col("section") == FILE, MARKER).otherwise(NEWLINE).alias("kind"),
+    )
+    looked_at = near.filter(~by_offset).withColumn("every_line", ~short_file)
+    lines = _line_starts(place(pieces, looked_at), "every_line").filter(
+        F.col("every_line") | (F.col("kind") == MARKER)
     )
-    marked = F.col("text").contains("\n" + fixed.FILE_MARKER)
-    inside = _line_starts(near(placed.filter(uncut & marked))).filter(F.col("kind") == MARKER)
-    rest = _line_starts(near(placed.filter(~uncut)))
     ends = long_docs.select("repo", F.col("doc_bytes").alias("pos"), F.lit(NEWLINE).alias("kind"))
     return (
-        heads.unionByName(inside)
-        .unionByName(rest)
+        starts.unionByName(lines.drop("every_line"))
         .unionByName(ends)
         .filter((F.col("pos") > 0) & (F.col("pos") <= reach))
+        .join(long_docs, "repo")
     )
 
 
@@ -180,7 +194,7 @@ def walk(pos: np.ndarray, kind: np.ndarray, total: int, limit: int, max_splits:
 
 
 def split_plan(
-    placed: DataFrame, offsets: DataFrame, totals: DataFrame, limit: int, max_splits: int
+    pieces: DataFrame, offsets: DataFrame, totals: DataFrame, limit: int, max_splits: int
 ) -> DataFrame:
     """``(repo, doc_bytes, cuts)`` for every document in ``totals``.
 
@@ -189,9 +203,7 @@ def split_plan(
     """
     if limit < 1:
         raise ValueError("the limit must be at least one byte")
-    candidates = _useful_candidates(placed, offsets, totals, limit, max_splits).join(
-        totals.select("repo", "doc_bytes"), "repo"
-    )
+    candidates = _useful_candidates(pieces, offsets, totals, limit, max_splits)
 
     def cut(table: pa.Table) -> pa.Table:
         pos = table["pos"].to_numpy()

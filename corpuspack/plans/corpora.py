@@ -59,11 +59,16 @@ VOCAB_SHARE = 20_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table, spread over the cores if it has fewer splits than these."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def _from_sql(spark: SparkSession, sf_dir: str, name: str, query: str) -> DataFrame:
-    rows = spark.sql(query.replace(f"FROM {name}", f"FROM parquet.`{sf_dir}/{name}.parquet`"))
+    escaped = query.replace("{", "{{").replace("}", "}}")
+    source = table(spark, sf_dir, name)
+    rows = spark.sql(escaped.replace(f"FROM {name}", "FROM {source}"), source=source)
     return files_table(rows, "repo", "path", "text")
 
 

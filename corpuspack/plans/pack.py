@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuspack import schemas
+from corpuspack.functions.paths import in_vcs_dir
 from corpuspack.operators import entries as entries_op
 from corpuspack.operators import ignore, pieces, split
 from corpuspack.options import PackOptions
@@ -18,9 +19,9 @@ class Pack:
     """Documents of many repositories.
 
     Steps are built when asked for. What several steps read, and what must not
-    change between them, is staged: the matchers (a row per repository), the
-    ledger and the offsets (narrow, a row per piece). Texts are read from the
-    files again and never staged.
+    change between them, is staged: a few tables with a row per repository, and
+    narrow ones with a row per entry or piece. Texts are not staged but read from
+    the files again.
     """
 
     def __init__(
@@ -39,8 +40,15 @@ class Pack:
         self.files = files
         self.options = options or PackOptions()
         self.vocab = vocab
-        self.repos = repos if repos is not None else files.select("repo").distinct()
-        self._all_entries = entries if entries is not None else entries_op.entries(files)
+        self._given_repos = repos
+        self._given_entries = entries
+
+    @cached_property
+    def repos(self) -> DataFrame:
+        """The repositories to document."""
+        if self._given_repos is not None:
+            return self._given_repos
+        return self.listing.select("repo").distinct()
 
     @cached_property
     def rules(self) -> DataFrame:
@@ -49,8 +57,9 @@ class Pack:
             patterns = ignore.load_ignore_rules(self.files)
         else:
             patterns = self.files.sparkSession.createDataFrame([], schemas.PATTERNS)
+        repos = self.files if self._given_repos is None else self._given_repos
         return ignore.compile_rules(
-            ignore.extra_ignores(patterns, self.repos, self.options.extra_patterns)
+            ignore.extra_ignores(patterns, repos, self.options.extra_patterns)
         )
 
     @cached_property
@@ -60,24 +69,32 @@ class Pack:
             return stage(ignore.file_matchers(self.files), "matchers")
         return stage(ignore.ignore_matchers(self.rules), "matchers")
 
-    def _visible(self, rows: DataFrame) -> DataFrame:
-        return ignore.prune(
-            entries_op.filter_vcs(rows, self.options.include_vcs), self.matchers
-        )
+    @cached_property
+    def listing(self) -> DataFrame:
+        """All entries, with ``kept``: whether they are shown."""
+        found = self._given_entries
+        if found is None:
+            found = entries_op.entries(self.files)
+        marked = ignore.mark_kept(found, self.matchers)
+        if not self.options.include_vcs:
+            marked = marked.withColumn("kept", F.col("kept") & ~in_vcs_dir(F.col("path")))
+        return stage(marked, "listing")
 
     @cached_property
     def entries(self) -> DataFrame:
         """Entries that are shown."""
-        return self._visible(self._all_entries)
+        return self.listing.filter("kept").drop("kept")
 
     @cached_property
     def visible_files(self) -> DataFrame:
         """Files that are shown, with content."""
-        return self._visible(self.files)
+        return ignore.prune(
+            entries_op.filter_vcs(self.files, self.options.include_vcs), self.matchers
+        )
 
     @cached_property
     def status(self) -> DataFrame:
-        return entries_op.corpus_status(self.repos, self._all_entries, self.entries)
+        return entries_op.corpus_status(self.repos, self.listing)
 
     @cached_property
     def body(self) -> DataFrame:
@@ -103,20 +120,23 @@ class Pack:
     def _sizes(self) -> DataFrame:
         """Bytes of every piece, the summary included."""
         summary = self.summary.select(
-            *pieces.KEY, F.octet_length("text").cast("bigint").alias("n_bytes")
+            *pieces.KEY,
+            F.octet_length("text").cast("bigint").alias("n_bytes"),
+            F.lit(True).alias("inner"),
         )
-        return self.ledger.select(*pieces.KEY, "n_bytes").unionByName(summary)
+        return self.ledger.select(*pieces.KEY, "n_bytes", "inner").unionByName(summary)
 
     @cached_property
     def policy(self) -> DataFrame:
         """Size of every document and what is done with it."""
         options = self.options
-        return split.oversize_policy(
+        policy = split.oversize_policy(
             split.document_bytes(self._sizes),
             options.limit_bytes,
             options.split,
             options.on_oversize,
         )
+        return stage(policy, "policy")
 
     def _governed(self, rows: DataFrame) -> DataFrame:
         if self.options.split or self.options.on_oversize in ("keep", "split"):
@@ -128,10 +148,14 @@ class Pack:
         """Position and offset of every piece that is written."""
         return stage(pieces.piece_offsets(self._governed(self._sizes)), "offsets")
 
+    @cached_property
+    def _texts(self) -> DataFrame:
+        return self.body.unionByName(self.summary)
+
     @cached_property
     def placed(self) -> DataFrame:
         """Every piece that is written, with text and offset."""
-        return pieces.place(self.body.unionByName(self.summary), self.offsets)
+        return pieces.place(self._texts, self.offsets)
 
     def documents(self) -> DataFrame:
         """Document text ``(repo, block, start, text)``, one row where it fits."""
@@ -146,13 +170,15 @@ class Pack:
 
     @cached_property
     def split_plan(self) -> DataFrame:
-        return split.split_plan(
-            self.placed,
+        """The cuts of every document that is split."""
+        plan = split.split_plan(
+            self._texts,
             self.offsets,
             self._split_docs,
             self.options.limit_bytes,
             self.options.max_splits,
         )
+        return stage(plan, "split-plan")
 
     def split_points(self) -> DataFrame:
         return split.split_points(self.split_plan)
@@ -162,6 +188,5 @@ class Pack:
 
     def parts(self) -> DataFrame:
         """Parts of the documents that are split, with file names."""
-        plan = stage(self.split_plan, "split-plan")
-        rows = split.parts(self.placed, plan, self.options.block_bytes)
+        rows = split.parts(self.placed, self.split_plan, self.options.block_bytes)
         return split.name_parts(rows, self.repos)

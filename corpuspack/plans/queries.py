@@ -62,29 +62,16 @@ def _big(df: DataFrame, *names: str) -> DataFrame:
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per repository: files, directories, binaries, bytes, tokens and parts."""
     pack = _doc_pack(spark, sf_dir, SPLIT)
-    kinds = (
-        pieces.routed_files(pack.visible_files)
-        .groupBy("repo")
-        .agg(
-            F.count("*").alias("n_files"), F.count_if(F.col("kind") == "binary").alias("n_binary")
-        )
+    is_file = F.col("section") == pieces.FILE
+    counts = pack.ledger.groupBy("repo").agg(
+        F.count_if(is_file).alias("n_files"),
+        F.count_if(F.col("kind") == "dir").alias("n_dirs"),
+        F.count_if(is_file & (F.col("kind") == "binary")).alias("n_binary"),
+        F.sum("counted_bytes").alias("total_bytes"),
+        F.sum("tokens").alias("total_tokens"),
     )
-    dirs = entries_op.entry_counts(pack.entries).select("repo", "n_dirs")
     n_parts = pack.split_plan.select("repo", (F.size("cuts") + 1).cast("bigint").alias("n_parts"))
-    return (
-        pack.stats.join(kinds, "repo", "left")
-        .join(dirs, "repo", "left")
-        .join(n_parts, "repo")
-        .select(
-            "repo",
-            F.coalesce("n_files", F.lit(0)).alias("n_files"),
-            F.coalesce("n_dirs", F.lit(0)).alias("n_dirs"),
-            F.coalesce("n_binary", F.lit(0)).alias("n_binary"),
-            F.col("total_size").alias("total_bytes"),
-            "total_tokens",
-            "n_parts",
-        )
-    )
+    return counts.join(n_parts, "repo")
 
 
 # sources and sinks
@@ -183,7 +170,8 @@ def write_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def write_reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "files")
-    rebuilt = unpack.unpack_documents(_doc_pack(spark, sf_dir).documents())
+    documents = stage(_doc_pack(spark, sf_dir).documents(), "documents")
+    rebuilt = unpack.unpack_documents(documents)
     sinks.write_reconstructed(rebuilt, path)
     root = shared_posix_path(fresh_path(spark, "tree"))
     return sinks.export_files(spark.read.parquet(path), root)
@@ -353,10 +341,11 @@ def corpus_status(spark: SparkSession, sf_dir: str) -> DataFrame:
         .withColumn("pattern", F.lit("/"))
     )
     found = entries_op.entries(files)
-    kept = ignore.prune_ignored(
-        entries_op.filter_vcs(found), ignore.compile_rules(everything)
+    rules = ignore.ignore_matchers(ignore.compile_rules(everything))
+    listing = ignore.mark_kept(found, rules).withColumn(
+        "kept", F.col("kept") & ~paths.in_vcs_dir(F.col("path"))
     )
-    return entries_op.corpus_status(sources.unionByName(langs), found, kept)
+    return entries_op.corpus_status(sources.unionByName(langs), listing)
 
 
 # order and rendering
@@ -502,7 +491,7 @@ def oversize_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def reconstruct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = _doc_pack(spark, sf_dir, PackOptions(block_bytes=BLOCK_BYTES)).documents()
-    return unpack.unpack_documents(documents)
+    return unpack.unpack_documents(stage(documents, "documents"))
 
 
 QUERIES["reconstruct"] = QUERIES.pop("reconstruct_documents")
@@ -510,7 +499,7 @@ QUERIES["reconstruct"] = QUERIES.pop("reconstruct_documents")
 
 @query
 def reconstruct_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return unpack.unpack_parts(_doc_pack(spark, sf_dir, SPLIT).parts())
+    return unpack.unpack_parts(stage(_doc_pack(spark, sf_dir, SPLIT).parts(), "parts"))
 
 
 @query
@@ -529,7 +518,7 @@ def binary_placeholder(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def roundtrip_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     pack = _doc_pack(spark, sf_dir)
-    rebuilt = unpack.unpack_documents(pack.documents())
+    rebuilt = unpack.unpack_documents(stage(pack.documents(), "documents"))
     return reconstruct.roundtrip_diff(pack.visible_files, rebuilt)
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 
 from corpuspack.operators import reconstruct as rc
 from corpuspack.operators.split import join_parts
+from corpuspack.sources.staging import stage
 
 
 def unpack_documents(documents: DataFrame) -> DataFrame:
@@ -15,5 +16,9 @@ def unpack_documents(documents: DataFrame) -> DataFrame:
 
 
 def unpack_parts(parts: DataFrame) -> DataFrame:
-    """Files ``(repo, path, content)`` of split documents."""
-    return rc.reconstruct(join_parts(parts)).withColumnRenamed("doc", "repo")
+    """Files ``(repo, path, content)`` of split documents.
+
+    The joined text is staged: it takes a shuffle, and is read more than once.
+    """
+    blocks = stage(join_parts(parts), "joined")
+    return rc.reconstruct(blocks).withColumnRenamed("doc", "repo")
