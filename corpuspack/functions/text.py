@@ -12,11 +12,11 @@ from pyspark.sql import functions as F
 from corpuspack import fixed
 from corpuspack.functions.paths import text_by_extension
 
-# ASCII white space and punctuation, spelled out: `\s` differs between dialects.
+# ASCII white space and punctuation. Spelled out one by one: Java looks single
+# characters up in a table, but tries ranges in turn.
 SPACE = r" \t\n\x0B\f\r"
-WORD = r"A-Za-z0-9_"
-PUNCT = r"!-/:-@\[-`{-~"
-PRETOKEN = rf"[{SPACE}{PUNCT}]|[^{SPACE}{PUNCT}]+"
+PUNCT = r"""!"#$%&'()*+,\-./:;<=>?@\[\\\]^_`{|}~"""
+PRETOKEN = rf"[^{SPACE}{PUNCT}]+|(?s)."
 
 
 def as_bytes_text(text: Column) -> Column:
@@ -24,6 +24,11 @@ def as_bytes_text(text: Column) -> Column:
     return F.decode(text.cast("binary"), "ISO-8859-1")
 
 
+def as_bytes(bytes_text: Column) -> Column:
+    """Back from one character per byte."""
+    return F.encode(bytes_text, "ISO-8859-1")
+
+
 def head(content: Column, n: int = fixed.SNIFF_BYTES) -> Column:
     return F.substring(content, 1, n)
 
@@ -95,9 +100,9 @@ def count_tokens_approx(text: Column) -> Column:
     """1.3 tokens per word run or other non-space byte, cut to a whole number.
 
     What is left after dropping white space and all but the last character of
-    every word run has one byte per counted unit.
+    every word run has one byte per counted unit. Java's ``\\w`` and ``\\s`` are ASCII.
     """
-    kept = F.regexp_replace(as_bytes_text(text), f"[{WORD}]+(?=[{WORD}])|[{SPACE}]+", "")
+    kept = F.regexp_replace(as_bytes_text(text), r"\w+(?=\w)|\s+", "")
     return F.floor(F.length(kept) * F.lit(fixed.TOKENS_PER_WORD)).cast("bigint")
 
 
@@ -111,34 +116,31 @@ def pretokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(PRETOKEN), F.lit(0))
 
 
-def fallback_chunks(token: Column) -> Column:
+def fallback_chunks(unit: Column) -> Column:
     """Chunks to look up for a pretoken that is not in the vocabulary.
 
-    Short ASCII stays whole, numbers fall into characters, longer words into
-    chunks of 4, 3 or 2. Chunks of non-ASCII pretokens are single bytes, so all
-    chunks are binary.
+    Takes and gives one character per byte (:func:`as_bytes_text`). Up to four
+    ASCII bytes stay whole, numbers fall into bytes, longer words into chunks of
+    4, 3 or 2. Anything with other bytes falls into bytes.
     """
+
     def cut(k: int) -> Column:
-        return F.regexp_extract_all(token, F.lit("(?s).{1,%d}" % k), F.lit(0))
+        return F.regexp_extract_all(unit, F.lit("(?s).{1,%d}" % k), F.lit(0))
 
-    n = F.length(token)
-    ascii_chunks = (
-        F.when(n <= 4, F.array(token))
-        .when(token.rlike(r"^[0-9!-/:-@\[-`{-~]"), cut(1))
+    n = F.length(unit)
+    other = F.octet_length(unit) > n
+    numeric = (n > 4) & F.rlike(unit, F.lit(rf"^[0-9{PUNCT}]"))
+    return (
+        F.when(other | numeric, single_bytes(unit))
         .when(n <= 8, cut(4))
         .when(n <= 16, cut(3))
         .otherwise(cut(2))
     )
-    return F.when(
-        F.octet_length(token) == n, F.transform(ascii_chunks, lambda c: c.cast("binary"))
-    ).otherwise(byte_chunks(token))
 
 
-def byte_chunks(token: Column) -> Column:
-    """The single bytes of a string or binary value."""
-    return F.transform(
-        F.regexp_extract_all(F.hex(token.cast("binary")), F.lit(".{2}"), F.lit(0)), F.unhex
-    )
+def single_bytes(unit: Column) -> Column:
+    """The characters of a text with one character per byte."""
+    return F.regexp_extract_all(unit, F.lit("(?s)."), F.lit(0))
 
 
 def to_base64(data: Column) -> Column:

@@ -9,15 +9,14 @@ BROADCAST_BYTES = 256 * 1024 * 1024
 ROW_OVERHEAD = 64
 
 
-def broadcast_if_small(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Mark ``table`` for broadcast if its measured size allows it.
+def small_enough(table: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether the measured size of a table allows to broadcast it.
 
-    Sums the bytes of its string and binary columns. A larger table is returned
-    as it is and joined by shuffling.
+    Adds up the bytes of its string and binary columns and an allowance per row.
     """
     width = F.lit(ROW_OVERHEAD)
     for field in table.schema.fields:
         if field.dataType.typeName() in ("string", "binary"):
             width = width + F.coalesce(F.octet_length(field.name), F.lit(0))
-    size = table.agg(F.sum(width.cast("bigint"))).first()[0] or 0
-    return F.broadcast(table) if size <= max_bytes else table
+    size = table.agg(F.sum(width.cast("bigint"))).first()[0]
+    return (size or 0) <= max_bytes

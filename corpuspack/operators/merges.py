@@ -44,23 +44,23 @@ def _merged(token: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
 def merge_chunks(merges: DataFrame) -> Callable[[Column], Column]:
     """A column function: pretoken to the array of its merged chunks.
 
-    Each task keeps what it has already merged, so a frequent pretoken is worked
-    out once per task and nothing has to be joined back.
+    Both have one character per byte. Each task keeps what it has already merged,
+    so a frequent pretoken is worked out once per task and nothing is joined back.
     """
     ranks = merges.sparkSession.sparkContext.broadcast(merge_ranks(merges))
 
-    @F.pandas_udf("array<binary>")
+    def cut(unit: str) -> list[str]:
+        return [part.decode("latin-1") for part in _merged(unit.encode("latin-1"), ranks.value)]
+
+    @F.pandas_udf("array<string>")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        cache: dict[bytes, list[bytes]] = {}
+        cache: dict[str, list[str]] = {}
         for batch in batches:
-            for token in batch.unique():
-                if token not in cache:
-                    if len(cache) >= CACHE_SIZE:
-                        cache.clear()
-                    cache[token] = _merged(token, ranks.value)
-            yield batch.map(lambda t: cache.get(t) or _merged(t, ranks.value))
-
-    def chunks(token: Column) -> Column:
-        return apply(token.cast("binary"))
+            if len(cache) > CACHE_SIZE:
+                cache.clear()
+            for unit in batch.unique():
+                if unit not in cache:
+                    cache[unit] = cut(unit)
+            yield batch.map(cache)
 
-    return chunks
+    return apply

@@ -5,6 +5,9 @@ chunks, and a chunk that is not in it into bytes; bytes the vocabulary lacks
 vanish. The vocabulary is looked up in hash joins on the exploded units. It is
 broadcast when its measured size allows, so the text itself is not shuffled, and
 what leaves a task are per-text sums or id lists.
+
+Inside, texts and tokens have one character per byte, so that tokens which are
+not valid UTF-8 need no special care.
 """
 
 from __future__ import annotations
@@ -14,88 +17,103 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuspack.functions.text import byte_chunks, fallback_chunks, pretokens
-from corpuspack.operators.joins import broadcast_if_small
+from corpuspack.functions.text import (
+    as_bytes,
+    as_bytes_text,
+    fallback_chunks,
+    pretokens,
+    single_bytes,
+)
+from corpuspack.operators.joins import small_enough
 
 
 class Vocabulary:
-    """Lookup tables of a vocabulary, each broadcast if it is small enough."""
+    """Lookup tables of a vocabulary, broadcast if it is small enough."""
 
     def __init__(self, vocab: DataFrame) -> None:
-        regular = vocab.filter(~F.col("is_special")).select("token", "id")
-        special = vocab.filter("is_special").select("token", "id")
+        keyed = vocab.select(as_bytes_text(F.col("token")).alias("unit"), "id", "is_special")
+        hint = F.broadcast if small_enough(keyed) else lambda table: table
+        regular = keyed.filter(~F.col("is_special")).select("unit", "id")
+        self.special = hint(keyed.filter("is_special").select("unit", "id"))
         # a special token hides a regular one with the same bytes
-        either = vocab.groupBy("token").agg(F.max_by("id", "is_special").alias("id"))
-        self.special = broadcast_if_small(special)
-        self.whole = broadcast_if_small(either)
-        self.chunks = broadcast_if_small(regular)
+        self.whole = hint(keyed.groupBy("unit").agg(F.max_by("id", "is_special").alias("id")))
+        self.chunks = hint(regular)
         # at most 256 rows
-        self.bytes = F.broadcast(
-            regular.filter(F.octet_length("token") == 1).dropDuplicates(["token"])
-        )
+        single = regular.filter(F.length("unit") == 1).groupBy("unit").agg(F.max("id").alias("id"))
+        self._byte_ids = {ord(row["unit"]): row["id"] for row in single.collect()}
+
+    def byte_ids(self, chunk: Column) -> Column:
+        """Ids of the bytes of a chunk, without those that have none."""
+        known = F.array(*[F.lit(self._byte_ids.get(b)).cast("int") for b in range(256)])
+        ids = F.transform(single_bytes(chunk), lambda b: F.get(known, F.ascii(b)))
+        return F.filter(ids, lambda i: i.isNotNull())
+
+    def known_bytes(self, chunk: Column) -> Column:
+        """How many bytes of a chunk have an id."""
+        unknown = "".join(chr(b) for b in range(1, 256) if b not in self._byte_ids)
+        if 0 not in self._byte_ids:
+            chunk = F.replace(chunk, F.char(F.lit(0)), F.lit(""))
+        return F.length(F.translate(chunk, unknown, "") if unknown else chunk)
 
 
 def _look_up(units: DataFrame, unit: Column, table: DataFrame, name: str) -> DataFrame:
-    ids = table.select(F.col("token").alias(f"_{name}_token"), F.col("id").alias(name))
-    return units.join(ids, unit == F.col(f"_{name}_token"), "left").drop(f"_{name}_token")
+    ids = table.select(F.col("unit").alias(f"_{name}_unit"), F.col("id").alias(name))
+    return units.join(ids, unit == F.col(f"_{name}_unit"), "left").drop(f"_{name}_unit")
 
 
-def token_ids(
+def _looked_up_chunks(
     texts: DataFrame,
     keys: Sequence[str],
     text: str,
     vocabulary: Vocabulary,
-    merged: Callable[[Column], Column] | None = None,
+    merged: Callable[[Column], Column] | None,
 ) -> DataFrame:
-    """One row ``(keys, pos, chunk_pos, byte_pos, id)`` per token of every text.
+    """``(keys, pos, chunk_pos, chunk, id)``; ``id`` is NULL if only bytes are left to try.
 
-    With ``merged`` (from a merge table) every pretoken but a special one is cut by
-    it, whether the vocabulary has it whole or not.
+    A pretoken found as a whole is its own only chunk.
     """
     first = vocabulary.whole if merged is None else vocabulary.special
     cut = fallback_chunks if merged is None else merged
-    whole = F.col(text).cast("binary")
-    units = (
-        _look_up(texts.select(*keys, text), whole, vocabulary.special, "special_id")
-        .select(
-            *keys,
-            F.posexplode(
-                F.when(F.col("special_id").isNotNull(), F.array(text)).otherwise(
-                    pretokens(F.col(text))
-                )
-            ).alias("pos", "unit"),
-        )
+    whole = texts.select(*keys, as_bytes_text(F.col(text)).alias("_text"))
+    units = _look_up(whole, F.col("_text"), vocabulary.special, "special_id").select(
+        *keys,
+        F.posexplode(
+            F.when(F.col("special_id").isNotNull(), F.array("_text")).otherwise(
+                pretokens(F.col("_text"))
+            )
+        ).alias("pos", "unit"),
     )
-    found = _look_up(units, F.col("unit").cast("binary"), first, "whole_id")
+    found = _look_up(units, F.col("unit"), first, "whole_id")
     chunks = found.select(
         *keys,
         "pos",
         "whole_id",
         F.posexplode(
-            F.when(
-                F.col("whole_id").isNotNull(), F.array(F.lit(None).cast("binary"))
-            ).otherwise(cut(F.col("unit")))
+            F.when(F.col("whole_id").isNotNull(), F.array("unit")).otherwise(cut(F.col("unit")))
         ).alias("chunk_pos", "chunk"),
     )
-    found = _look_up(chunks, F.col("chunk"), vocabulary.chunks, "chunk_id")
-    known = F.coalesce("whole_id", "chunk_id")
-    single = found.select(
-        *keys,
-        "pos",
-        "chunk_pos",
-        known.alias("known_id"),
-        F.posexplode(
-            F.when(known.isNotNull(), F.array(F.lit(None).cast("binary"))).otherwise(
-                byte_chunks(F.col("chunk"))
-            )
-        ).alias("byte_pos", "byte"),
+    return _look_up(chunks, F.col("chunk"), vocabulary.chunks, "chunk_id").select(
+        *keys, "pos", "chunk_pos", "chunk", F.coalesce("whole_id", "chunk_id").alias("id")
     )
-    return (
-        _look_up(single, F.col("byte"), vocabulary.bytes, "byte_id")
-        .withColumn("id", F.coalesce("known_id", "byte_id"))
-        .filter(F.col("id").isNotNull())
-        .select(*keys, "pos", "chunk_pos", "byte_pos", "id")
+
+
+def token_ids(
+    texts: DataFrame,
+    keys: Sequence[str],
+    text: str,
+    vocabulary: Vocabulary,
+    merged: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """``(keys, pos, chunk_pos, ids)``: the ids of every chunk of every text.
+
+    With ``merged`` (from a merge table) every pretoken but a special one is cut by
+    it, whether the vocabulary has it whole or not.
+    """
+    chunks = _looked_up_chunks(texts, keys, text, vocabulary, merged)
+    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(
+        vocabulary.byte_ids(F.col("chunk"))
     )
+    return chunks.select(*keys, "pos", "chunk_pos", ids.alias("ids"))
 
 
 def count_tokens_vocab(
@@ -105,10 +123,12 @@ def count_tokens_vocab(
     vocabulary: Vocabulary,
     merged: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
-    """Number of tokens per key; texts without any token get no row."""
-    return token_ids(texts, keys, text, vocabulary, merged).groupBy(*keys).agg(
-        F.count("*").alias("tokens")
+    """Number of tokens per key; empty texts get no row."""
+    chunks = _looked_up_chunks(texts, keys, text, vocabulary, merged)
+    price = F.when(F.col("id").isNotNull(), 1).otherwise(
+        vocabulary.known_bytes(F.col("chunk"))
     )
+    return chunks.groupBy(*keys).agg(F.sum(price.cast("bigint")).alias("tokens"))
 
 
 def encode_ids(
@@ -120,9 +140,9 @@ def encode_ids(
 ) -> DataFrame:
     """The ordered id array per key. The list of one text is bounded by that text."""
     ids = token_ids(texts, keys, text, vocabulary, merged)
-    placed = F.struct("pos", "chunk_pos", "byte_pos", "id")
+    placed = F.array_sort(F.collect_list(F.struct("pos", "chunk_pos", "ids")))
     return ids.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(placed)), lambda t: t["id"]).alias("ids")
+        F.flatten(F.transform(placed, lambda t: t["ids"])).alias("ids")
     )
 
 
@@ -130,7 +150,9 @@ def special_token_ids(
     texts: DataFrame, keys: Sequence[str], text: str, vocabulary: Vocabulary
 ) -> DataFrame:
     """Texts that are, as a whole, one special token, with its id."""
-    hits = _look_up(texts.select(*keys, text), F.col(text).cast("binary"), vocabulary.special, "id")
+    hits = _look_up(
+        texts.select(*keys, text), as_bytes_text(F.col(text)), vocabulary.special, "id"
+    )
     return hits.filter(F.col("id").isNotNull()).select(*keys, "id")
 
 
@@ -145,27 +167,25 @@ def pretoken_counts(texts: DataFrame, text: str) -> DataFrame:
 
 def vocab_lookup(dictionary: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Id of each distinct pretoken, NULL where the vocabulary lacks it."""
-    return _look_up(dictionary, F.col("pretoken").cast("binary"), vocabulary.whole, "id")
+    return _look_up(dictionary, as_bytes_text(F.col("pretoken")), vocabulary.whole, "id")
 
 
 def chunks_of_unknown(dictionary: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """Chunks of the distinct pretokens that are not in the vocabulary."""
+    """Chunks (as bytes) of the distinct pretokens that are not in the vocabulary."""
+    unit = as_bytes_text(F.col("pretoken"))
     return (
         vocab_lookup(dictionary, vocabulary)
         .filter(F.col("id").isNull())
-        .select(
-            "pretoken", F.posexplode(fallback_chunks(F.col("pretoken"))).alias("chunk_pos", "chunk")
-        )
+        .select("pretoken", F.posexplode(fallback_chunks(unit)).alias("chunk_pos", "chunk"))
+        .withColumn("chunk", as_bytes(F.col("chunk")))
     )
 
 
 def price_pretokens(dictionary: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """Tokens each distinct pretoken costs; 0 if all its bytes are unknown."""
-    keyed = dictionary.withColumn("_text", F.col("pretoken"))
-    priced = token_ids(keyed, ["pretoken"], "_text", vocabulary)
-    counts = priced.groupBy("pretoken").agg(F.count("*").alias("price"))
-    return dictionary.join(counts, "pretoken", "left").withColumn(
-        "price", F.coalesce("price", F.lit(0))
+    keyed = dictionary.select("pretoken", F.col("pretoken").alias("_text"))
+    return count_tokens_vocab(keyed, ["pretoken"], "_text", vocabulary).withColumnRenamed(
+        "tokens", "price"
     )
 
 
@@ -176,11 +196,15 @@ def token_histogram(texts: DataFrame, text: str, vocabulary: Vocabulary) -> Data
     shuffled is the dictionary, not the text. Texts that are a special token as a
     whole are counted separately.
     """
-    whole = _look_up(texts.select(text), F.col(text).cast("binary"), vocabulary.special, "id")
+    whole = _look_up(
+        texts.select(text), as_bytes_text(F.col(text)), vocabulary.special, "id"
+    )
     specials = (
         whole.filter(F.col("id").isNotNull()).groupBy("id").agg(F.count("*").alias("n"))
     )
     dictionary = pretoken_counts(whole.filter(F.col("id").isNull()), text)
-    keyed = dictionary.withColumn("_text", F.col("pretoken"))
-    regular = token_ids(keyed, ["n"], "_text", vocabulary).select("id", "n")
+    keyed = dictionary.select("n", F.col("pretoken").alias("_text"))
+    regular = token_ids(keyed, ["n"], "_text", vocabulary).select(
+        F.explode("ids").alias("id"), "n"
+    )
     return regular.unionByName(specials).groupBy("id").agg(F.sum("n").alias("n"))
