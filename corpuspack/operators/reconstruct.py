@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuspack import fixed
+from corpuspack.sources.staging import stage
 
 INHERIT, CLOSED = -1, -2  # the open file is the one before the block; there is none
 
@@ -194,7 +195,8 @@ def _carried(blocks: DataFrame) -> DataFrame:
     """States that blocks start in, where that is not simply "outside, no file".
 
     Only documents of several blocks are looked at. One row per block goes to a
-    document's task, without text.
+    document's task, without text. The result is staged: it is small or empty, and
+    knowing that, Spark need not shuffle the texts to join it.
     """
     several = blocks.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc")
     marked = blocks.join(several, "doc", "left_semi").select(
@@ -213,7 +215,7 @@ def _carried(blocks: DataFrame) -> DataFrame:
             ),
         ).alias("exits"),
     )
-    return ends.groupBy("doc").applyInArrow(_chain, _CARRY_DDL)
+    return stage(ends.groupBy("doc").applyInArrow(_chain, _CARRY_DDL), "carried")
 
 
 def placeholder_cut(body: Column) -> Column:

@@ -76,17 +76,15 @@ def _line_starts(placed: DataFrame, *keep: str) -> DataFrame:
         placed.withColumn("_lines", F.split("text", "\n"))
         .select(
             "repo",
-            "doc_bytes",
             "start",
-            *keep,
+            *{"doc_bytes", *keep},
             # every piece ends with a newline, so its last element is empty and no line
             F.posexplode(F.slice("_lines", F.lit(1), F.size("_lines") - 1)).alias("i", "line"),
         )
         .select(
             "repo",
-            "doc_bytes",
             "start",
-            *keep,
+            *{"doc_bytes", *keep},
             "i",
             F.octet_length(line).alias("length"),
             F.substring(line, 1, len(fixed.FILE_MARKER)).alias("line"),
@@ -150,17 +148,19 @@ def _useful_candidates(
         "repo",
         F.col("start").alias("pos"),
         F.when(F.col("section") == FILE, MARKER).otherwise(NEWLINE).alias("kind"),
+        "doc_bytes",
     )
     looked_at = near.filter(~by_offset).withColumn("every_line", ~short_file)
-    lines = _line_starts(place(pieces, looked_at), "every_line").filter(
+    lines = _line_starts(place(pieces, looked_at), "doc_bytes", "every_line").filter(
         F.col("every_line") | (F.col("kind") == MARKER)
     )
-    ends = long_docs.select("repo", F.col("doc_bytes").alias("pos"), F.lit(NEWLINE).alias("kind"))
+    ends = long_docs.select(
+        "repo", F.col("doc_bytes").alias("pos"), F.lit(NEWLINE).alias("kind"), "doc_bytes"
+    )
     return (
         starts.unionByName(lines.drop("every_line"))
         .unionByName(ends)
         .filter((F.col("pos") > 0) & (F.col("pos") <= reach))
-        .join(long_docs, "repo")
     )
 
 
@@ -266,43 +266,38 @@ def continuation_notices(plan: DataFrame) -> DataFrame:
 
 
 def _slices(placed: DataFrame, plan: DataFrame) -> DataFrame:
-    """Pieces cut at the document's cuts: ``(repo, part, lo, hi, body)``.
+    """Pieces cut at the document's cuts, with the bounds of the part they go to.
 
     ``plan`` has one short row per document, so this is a join by key, and the
     cuts are applied within the row.
     """
     start, end = F.col("start"), F.col("start") + F.col("n_bytes")
+    lo, hi, part = F.col("s.lo"), F.col("s.hi"), F.col("part")
     inner = F.filter("cuts", lambda c: (c > start) & (c < end))
     edges = F.concat(F.array(start), inner, F.array(end))
-    raw = F.col("text").cast("binary")
+    ranges = F.transform(
+        F.sequence(F.lit(1), F.size("edges") - 1),
+        lambda i: F.struct(
+            F.element_at("edges", i).alias("lo"), F.element_at("edges", i + 1).alias("hi")
+        ),
+    )
+    body = F.substr(
+        F.col("text").cast("binary"), (lo - start + 1).cast("int"), (hi - lo).cast("int")
+    )
     return (
-        placed.join(plan.select("repo", "cuts"), "repo")
+        placed.join(plan, "repo")
         .withColumn("edges", edges)
+        .select("repo", "cuts", "doc_bytes", "start", "text", F.explode(ranges).alias("s"))
+        .withColumn("part", F.size(F.filter("cuts", lambda c: c <= lo)) + 1)
         .select(
             "repo",
-            "cuts",
-            "start",
-            "text",
-            F.explode(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("edges") - 1),
-                    lambda i: F.struct(
-                        F.element_at("edges", i).alias("lo"),
-                        F.element_at("edges", i + 1).alias("hi"),
-                    ),
-                )
-            ).alias("s"),
-        )
-        .select(
-            "repo",
-            (F.size(F.filter("cuts", lambda c: c <= F.col("s.lo"))) + 1).alias("part"),
-            F.col("s.lo").alias("lo"),
-            F.col("s.hi").alias("hi"),
-            F.substr(
-                raw,
-                (F.col("s.lo") - F.col("start") + 1).cast("int"),
-                (F.col("s.hi") - F.col("s.lo")).cast("int"),
-            ).alias("body"),
+            "part",
+            (F.size("cuts") + 1).alias("n_parts"),
+            F.coalesce(F.get("cuts", part - 2), F.lit(0)).alias("part_start"),
+            F.coalesce(F.get("cuts", part - 1), "doc_bytes").alias("part_end"),
+            lo.alias("lo"),
+            hi.alias("hi"),
+            body.alias("body"),
         )
     )
 
@@ -315,10 +310,8 @@ def parts(placed: DataFrame, plan: DataFrame, block_bytes: int) -> DataFrame:
     order; the first has the opening notice, of ``opening_bytes``, and the last
     the closing one.
     """
-    bounds = part_bounds(plan)
     blocks = (
         _slices(placed, plan)
-        .join(bounds, ["repo", "part"])
         .withColumn("block", F.floor((F.col("lo") - F.col("part_start")) / block_bytes))
         .groupBy("repo", "part", "n_parts", "part_start", "part_end", "block")
         .agg(
@@ -328,7 +321,7 @@ def parts(placed: DataFrame, plan: DataFrame, block_bytes: int) -> DataFrame:
         )
     )
     # a cut at the very end leaves an empty last part
-    empty = bounds.filter(F.col("part_start") == F.col("part_end")).select(
+    empty = part_bounds(plan).filter(F.col("part_start") == F.col("part_end")).select(
         "repo",
         "part",
         "n_parts",

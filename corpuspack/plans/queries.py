@@ -150,8 +150,8 @@ def load_vocab_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def write_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "pack")
-    sinks.write_pack(_doc_pack(spark, sf_dir).placed, path)
-    written = spark.read.schema("value string, repo string").text(path)
+    sinks.write_pack(_doc_pack(spark, sf_dir).placed, path, BLOCK_BYTES)
+    written = spark.read.schema("value string, repo string, block string").text(path)
     return written.groupBy("repo").agg(
         F.sum(F.octet_length("value") + 1).alias("n_bytes"), F.count("*").alias("n_lines")
     )

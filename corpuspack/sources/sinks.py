@@ -10,32 +10,38 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuspack import fixed
 
-def write_pack(placed: DataFrame, path: str) -> None:
-    """Documents as text, one folder per repository; earlier output there is replaced.
 
-    Rows are range-partitioned by repository and position, so a large document is
-    written by many tasks; its files, in name order, are the document.
+def write_pack(placed: DataFrame, path: str, block_bytes: int = 64 * fixed.MEGABYTE) -> None:
+    """Documents as text below ``repo=<name>/block=<number>``.
+
+    All earlier output at ``path`` goes, so no block of an older, longer document
+    stays behind.
+
+    Offsets are known, so one shuffle brings the pieces of a block together, and
+    the blocks of a large document are written by different tasks. Its files, in
+    the order of their blocks, are the document.
     """
+    block = F.lpad(F.floor(F.col("start") / block_bytes).cast("string"), 9, "0")
     (
-        placed.select(
-            "repo", "start", F.regexp_replace("text", r"\n\z", "").alias("value")
-        )
-        .repartitionByRange("repo", "start")
-        .sortWithinPartitions("repo", "start")
-        .select("repo", "value")
+        placed.select("repo", block.alias("block"), "start", "text")
+        .repartition("repo", "block")
+        .sortWithinPartitions("repo", "block", "start")
+        # the writer ends every line itself
+        .select("repo", "block", F.regexp_replace("text", r"\n\z", "").alias("value"))
         .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("repo")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("repo", "block")
         .text(path)
     )
 
 
 def write_parts(parts: DataFrame, path: str) -> None:
-    """Parts as a Parquet table, one folder per repository and part."""
+    """Parts as a Parquet table, one folder per repository and part; replaces ``path``."""
     (
         parts.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
+        .option("partitionOverwriteMode", "static")
         .partitionBy("repo", "part")
         .parquet(path)
     )

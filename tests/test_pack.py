@@ -307,13 +307,14 @@ def test_limits():
 
 def test_write_pack_replaces_and_keeps_order(spark):
     path = fresh_path(spark, "test-pack")
-    for files in ({"old.txt": "old " * 50}, FILES):
+    for files in ({"old.txt": "old\n" * 400}, FILES):
         pack = Pack(files_df(spark, files))
-        sinks.write_pack(pack.placed, path)
+        sinks.write_pack(pack.placed, path, 700)
     text = text_of(pack.documents())
     import glob
 
-    chunks = sorted(glob.glob(f"{shared_posix_path(path)}/repo=r/part-*"))
+    chunks = sorted(glob.glob(f"{shared_posix_path(path)}/repo=r/block=*/part-*"))
+    assert len(chunks) > 1
     assert "".join(open(c, encoding="utf-8").read() for c in chunks) == text
 
 
