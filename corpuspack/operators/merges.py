@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,15 +52,18 @@ def merge_chunks(merges: DataFrame) -> Callable[[Column], Column]:
     def cut(unit: str) -> list[str]:
         return [part.decode("latin-1") for part in _merged(unit.encode("latin-1"), ranks.value)]
 
-    @F.pandas_udf("array<string>")
-    def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<string>")
+    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         cache: dict[str, list[str]] = {}
         for batch in batches:
             if len(cache) > CACHE_SIZE:
                 cache.clear()
-            for unit in batch.unique():
-                if unit not in cache:
+            coded = batch.dictionary_encode()
+            units = coded.dictionary.to_pylist()
+            for unit in units:
+                if unit is not None and unit not in cache:
                     cache[unit] = cut(unit)
-            yield batch.map(cache)
+            chunks = pa.array([cache.get(u) for u in units], pa.list_(pa.string()))
+            yield chunks.take(coded.indices)
 
     return apply
