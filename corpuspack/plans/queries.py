@@ -17,7 +17,6 @@ from corpuspack.operators import (
     ordering,
     pieces,
     reconstruct,
-    split,
     tokens,
 )
 from corpuspack.options import PackOptions
