@@ -98,9 +98,12 @@ class Pack:
 
     @cached_property
     def body(self) -> DataFrame:
-        """All pieces but the summary."""
+        """All pieces but the summary. An empty repository gets no document."""
+        repos = self.repos
+        if self._given_repos is not None:
+            repos = repos.join(self.listing.select("repo").distinct(), "repo", "left_semi")
         return pieces.body_pieces(
-            self.repos, self.entries, self.visible_files, self.options.structure_only
+            repos, self.entries, self.visible_files, self.options.structure_only
         )
 
     @cached_property

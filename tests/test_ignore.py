@@ -155,6 +155,7 @@ def test_status(spark):
         "open": "ok",
         "none": "empty",
     }
+    assert {r for (r,) in column(pack.stats, "repo")} == {"hidden", "open"}
 
 
 def test_entries_and_depth(spark):

@@ -115,7 +115,17 @@ def test_blocks_join_to_the_document(spark):
     assert text_of(small) == whole
 
 
-def test_structure_only_reads_no_content(spark):
+def test_titles_and_names_come_from_the_directory(spark):
+    repos = spark.createDataFrame([("r", "/home/me/proj")], "repo string, directory string")
+    options = PackOptions(split=True)
+    pack = Pack(files_df(spark, {"a": "x"}), options, repos=repos)
+    part = pack.parts().first()
+    assert part.file_name == "proj_documentation_part1.md"
+    assert b"# Directory Documentation: proj\n\n" in bytes(part.body)
+    assert fixed.SPLIT_NOTE.encode() in bytes(part.body)
+
+
+def test_structure_only_has_no_contents(spark):
     pack = Pack(files_df(spark, FILES), PackOptions(structure_only=True))
     text = text_of(pack.documents())
     assert text.endswith("📄 src.c\n```\n") and "## Contents" not in text
