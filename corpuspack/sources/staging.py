@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _local_folder() -> str:
+    return tempfile.mkdtemp(prefix="corpuspack-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
@@ -18,9 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        named = tempfile.mkdtemp(prefix="corpuspack-")
-        spark.conf.set("spark.checkpoint.dir", named)
-        return named
+        return _local_folder()
     raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
 
 

@@ -92,6 +92,23 @@ def test_shared_folder_is_the_one_of_the_session(spark):
     assert staged.count() == 1 and staged.inputFiles()[0].removeprefix("file://").startswith(folder)
 
 
+def test_only_a_local_session_may_leave_the_folder_unset():
+    class Conf:
+        def get(self, key, default=None):
+            return default
+
+    class Session:
+        conf = Conf()
+
+        def __init__(self, master):
+            self.sparkContext = type("Context", (), {"master": master})
+
+    assert os.path.isdir(staging.shared_folder(Session("local[2]")))
+    assert staging.shared_folder(Session("local[2]")) == staging.shared_folder(Session("local"))
+    with pytest.raises(RuntimeError):
+        staging.shared_folder(Session("yarn"))
+
+
 def test_posix_paths():
     assert staging.shared_posix_path("file:///a/b") == "/a/b"
     assert staging.shared_posix_path("/a/b") == "/a/b"
