@@ -2,30 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-@cache
-def _local_folder() -> str:
-    return tempfile.mkdtemp(prefix="corpuspack-")
-
-
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a local session, whose one machine is the whole cluster, may fall back
-    to a temporary folder.
+    Or else the one given to ``SparkContext.setCheckpointDir``. There is no other: a
+    folder that only one machine sees loses tables.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.master.startswith("local"):
-        return _local_folder()
-    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    named = named or spark.sparkContext.getCheckpointDir()
+    if not named:
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors can reach")
+    return named.rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
