@@ -3,18 +3,29 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from corpuspack.llm import (
+    katz,
     kneser_ney,
     mixing,
     packing,
     quality_rules,
     sharding,
     simhash,
+    token_edits,
+    topk,
+    toxicity,
 )
 from corpuspack.llm.common import tables
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best vectors of every hundredth one."""
+    vectors = tables(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repetition measures and verdict of every document."""
     return quality_rules.judge(tables(spark, sf_dir, "documents"))
@@ -25,6 +36,11 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(tables(spark, sf_dir, "documents"))
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log probability of every document."""
+    return katz.score(tables(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pieces of all documents in sequences of 4096 tokens."""
     return packing.pack(tables(spark, sf_dir, "documents"))
@@ -41,21 +57,38 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.classify(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document."""
+    return toxicity.judge(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "labels"))
+
+
+def op9_token_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after three edits."""
+    documents = tables(spark, sf_dir, "documents")
+    edits = token_edits.revisions(F.col("text"), F.col("doc_id"))
+    return token_edits.count(documents.withColumn("edits", edits))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a mix of all sources takes of every document."""
     return mixing.mix(tables(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_quality_rules": op2_quality_rules,
     "op3_simhash": op3_simhash,
+    "op4_katz": op4_katz,
     "op5_packing": op5_packing,
     "op6_sharding": op6_sharding,
     "op7_quality_classifier": op7_quality_classifier,
+    "op8_toxicity": op8_toxicity,
+    "op9_token_edits": op9_token_edits,
     "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL = {
+    "op1_topk": topk.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op6_sharding": sharding.ORACLE,
 }
