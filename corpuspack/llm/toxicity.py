@@ -195,18 +195,21 @@ def decoded(text: bytes | None) -> str:
 @dataclass(frozen=True)
 class Model:
     lexicon: dict[str, float]
-    weights: list[float]  # of 1 and of KINDS
+    weights: list[float]  # of 1, of any match, and of KINDS
 
 
 def _features(sums: np.ndarray) -> np.ndarray:
-    return np.hstack([np.ones((len(sums), 1)), np.log1p(sums)])
+    any_match = (sums.sum(1) > 0).astype(float)[:, None]
+    return np.hstack([np.ones((len(sums), 1)), any_match, np.log1p(sums)])
 
 
 def _fit(sums: np.ndarray, labels: np.ndarray) -> list[float]:
     """Logistic weights, drawn to what the grammar suggests where labels say little."""
     x = _features(np.asarray(sums, float).reshape(-1, len(KINDS)))
-    prior = np.array([-3.0, 5.0, 5.0, 1.0, 0.5, 3.0, 3.0])
-    strength = np.array([0.1] + [0.3] * len(KINDS))
+    # of KINDS: an insult, one aimed at somebody, one at somebody named later, a threat,
+    # what is not meant, what others say
+    prior = np.array([-3.0, 2.0, 3.0, 3.0, 0.5, 0.5, 1.0, 1.0])
+    strength = np.array([0.05, 0.05] + [0.3] * len(KINDS))
     w = prior.copy()
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -371,10 +374,10 @@ def _matched(documents: DataFrame, lexicon: dict[str, float], keep: tuple[str, .
 def score(documents: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, the ``score`` from 0 to 1, and ``clauses``, the weight of all matches."""
     rows = _matched(documents, model.lexicon, keep)
-    logit = F.lit(model.weights[0])
-    for kind, weight in zip(KINDS, model.weights[1:]):
-        logit = logit + F.lit(weight) * F.log1p(kind)
     total = sum((F.col(k) for k in KINDS), F.lit(0.0))
+    logit = F.lit(model.weights[0]) + F.lit(model.weights[1]) * (total > 0).cast("double")
+    for kind, weight in zip(KINDS, model.weights[2:]):
+        logit = logit + F.lit(weight) * F.log1p(kind)
     return rows.select(*keep, (1 / (1 + F.exp(-logit))).alias("score"), total.alias("clauses"))
 
 
