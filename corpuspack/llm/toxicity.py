@@ -134,7 +134,7 @@ def stems(word: str) -> Iterator[str]:
     """The word itself, ended by a mark, and the stems it begins with."""
     yield word + "$"
     for n in STEM_LENGTHS:
-        if n >= len(word):
+        if n > len(word):
             break
         yield word[:n]
 
