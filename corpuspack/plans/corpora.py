@@ -53,10 +53,6 @@ FROM pages
 # Rules for the pages, in order.
 PAGE_PATTERNS = ("*.log", "!important.log", "build/", "temp*", "!temp_keep.txt", "/config/", "/en/")
 
-# A pretoken is in the vocabulary if it is one of at least so many. So the
-# vocabulary has at most this many of them, whatever the corpus.
-VOCAB_SHARE = 20_000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table, spread over the cores if it has fewer splits than these."""
@@ -87,9 +83,12 @@ def document_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def document_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All single bytes, then the frequent pretokens of ``documents`` by frequency."""
+    """All single bytes, then all pretokens of ``benchmark`` by frequency.
+
+    Those of another table, so that ``documents`` have known and unknown ones.
+    """
     counts = stage(
-        document_texts(spark, sf_dir)
+        table(spark, sf_dir, "benchmark")
         .select(F.explode(pretokens(F.col("text"))).alias("pretoken"))
         .groupBy("pretoken")
         .agg(F.count("*").alias("n")),
@@ -99,19 +98,14 @@ def document_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.sql(
             """
             WITH bytes AS (SELECT explode(sequence(0, 255)) AS id),
-            frequent AS (
-              SELECT pretoken, n FROM {counts}
-              WHERE octet_length(pretoken) > 1
-                AND n * {share} >= (SELECT sum(n) FROM {counts})
-            )
+            longer AS (SELECT pretoken, n FROM {counts} WHERE octet_length(pretoken) > 1)
             SELECT unhex(lpad(hex(id), 2, '0')) AS token, id, false AS is_special FROM bytes
             UNION ALL
             SELECT cast(pretoken AS binary),
                    cast(255 + row_number() OVER (ORDER BY n DESC, pretoken) AS int), false
-            FROM frequent
+            FROM longer
             """,
             counts=counts,
-            share=VOCAB_SHARE,
         ),
         "vocab",
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 
 from corpuspack import fixed
-from corpuspack.plans.corpora import DOCUMENT_FILES, PAGE_FILES, PAGE_PATTERNS, VOCAB_SHARE
+from corpuspack.plans.corpora import DOCUMENT_FILES, PAGE_FILES, PAGE_PATTERNS
 from corpuspack.plans.settings import (
     BLOCK_BYTES,
     EXTRA_PATTERNS,
@@ -318,12 +318,15 @@ CTES: dict[str, str] = {
           SELECT doc_id, toks, unnest(range(1, len(toks) + 1)) AS pos FROM (
             SELECT doc_id, regexp_extract_all(text, '{PRETOKEN}') AS toks FROM documents))""",
     "dictionary": "SELECT tok, count(*) AS n FROM pretokens GROUP BY tok",
-    "vocab": f"""
+    "basis": f"""
+        SELECT tok, count(*) AS n FROM (
+          SELECT unnest(regexp_extract_all(text, '{PRETOKEN}')) AS tok FROM benchmark)
+        GROUP BY tok""",
+    "vocab": """
         SELECT printf('%02X', i) AS token, i::INTEGER AS id FROM range(256) t(i)
         UNION ALL
         SELECT hex(encode(tok)), (255 + row_number() OVER (ORDER BY n DESC, tok))::INTEGER
-        FROM dictionary WHERE strlen(tok) > 1
-          AND n * {VOCAB_SHARE} >= (SELECT sum(n) FROM dictionary)""",
+        FROM basis WHERE strlen(tok) > 1""",
     "known": "SELECT d.tok, d.n, v.id FROM dictionary d LEFT JOIN vocab v ON v.token = hex(encode(d.tok))",
     "chunk_lists": f"""
         SELECT tok, n, CASE

@@ -19,7 +19,10 @@ MAX_CONTENT = 1 << 30  # a larger file is listed with its size only
 
 
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The direct children of every directory; what cannot be read is skipped."""
+    """The direct children of every directory; what cannot be read is skipped.
+
+    So is a link to a directory that the path already goes through, which has no end.
+    """
     for batch in batches:
         rows = []
         for repo, root, path in zip(batch["repo"], batch["root"], batch["path"]):
@@ -27,7 +30,12 @@ def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
                 children = list(os.scandir(os.path.join(root, path)))
             except OSError:
                 continue
+            above = None
             for child in children:
+                if child.is_symlink() and child.is_dir():
+                    above = above if above is not None else _real_paths(root, path)
+                    if os.path.realpath(child.path) in above:
+                        continue
                 try:
                     info = child.stat()  # follows links
                 except OSError:
@@ -37,6 +45,13 @@ def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]
         yield pd.DataFrame(rows, columns=["repo", "root", "path", "is_dir", "size"])
 
 
+def _real_paths(root: str, path: str) -> set[str]:
+    """Where the directories of a path really are, the root included."""
+    names = path.split("/") if path else []
+    steps = [os.path.join(root, *names[:i]) for i in range(len(names) + 1)]
+    return {os.path.realpath(step) for step in steps}
+
+
 def scan_tree(
     roots: DataFrame, matchers: DataFrame | None = None, include_vcs: bool = True
 ) -> DataFrame:

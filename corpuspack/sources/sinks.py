@@ -23,7 +23,7 @@ def write_pack(placed: DataFrame, path: str, block_bytes: int = 64 * fixed.MEGAB
     the blocks of a large document are written by different tasks. Its files, in
     the order of their blocks, are the document.
     """
-    block = F.lpad(F.floor(F.col("start") / block_bytes).cast("string"), 9, "0")
+    block = F.format_string("%09d", F.floor(F.col("start") / block_bytes))  # longer ones stay whole
     (
         placed.select("repo", block.alias("block"), "start", "text")
         .repartition("repo", "block")
@@ -38,11 +38,16 @@ def write_pack(placed: DataFrame, path: str, block_bytes: int = 64 * fixed.MEGAB
 
 
 def write_parts(parts: DataFrame, path: str) -> None:
-    """Parts as a Parquet table, one folder per repository and part; replaces ``path``."""
+    """Parts as a Parquet table, one folder per repository and part; replaces ``path``.
+
+    The folders are named after copies: ``repo`` and ``part`` are columns of the files, as
+    the type of what is only in a folder's name is guessed when it is read.
+    """
     (
-        parts.write.mode("overwrite")
+        parts.withColumns({"in_repo": F.col("repo"), "in_part": F.col("part")})
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
-        .partitionBy("repo", "part")
+        .partitionBy("in_repo", "in_part")
         .parquet(path)
     )
 

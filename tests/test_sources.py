@@ -92,7 +92,9 @@ def test_shared_folder_is_the_one_of_the_session(spark):
     assert staged.count() == 1 and staged.inputFiles()[0].removeprefix("file://").startswith(folder)
 
 
-def test_only_a_local_session_may_leave_the_folder_unset():
+def test_the_folder_must_be_named():
+    """Local sessions have no folder of their own either; the entry gives them one."""
+
     class Conf:
         def get(self, key, default=None):
             return default
@@ -100,13 +102,14 @@ def test_only_a_local_session_may_leave_the_folder_unset():
     class Session:
         conf = Conf()
 
-        def __init__(self, master):
-            self.sparkContext = type("Context", (), {"master": master})
+        def __init__(self, master, folder):
+            members = {"master": master, "getCheckpointDir": lambda: folder}
+            self.sparkContext = type("Context", (), members)
 
-    assert os.path.isdir(staging.shared_folder(Session("local[2]")))
-    assert staging.shared_folder(Session("local[2]")) == staging.shared_folder(Session("local"))
-    with pytest.raises(RuntimeError):
-        staging.shared_folder(Session("yarn"))
+    assert staging.shared_folder(Session("yarn", "/shared/")) == "/shared"
+    for master in ("local[2]", "yarn"):
+        with pytest.raises(RuntimeError):
+            staging.shared_folder(Session(master, None))
 
 
 def test_posix_paths():
@@ -114,3 +117,37 @@ def test_posix_paths():
     assert staging.shared_posix_path("/a/b") == "/a/b"
     with pytest.raises(ValueError):
         staging.shared_posix_path("store://bucket/a")
+
+
+def test_scan_tree_ends_at_links_back(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / "a" / "b" / "f.txt").write_text("x")
+    (tmp_path / "a" / "up").symlink_to(tmp_path, target_is_directory=True)
+    (tmp_path / "a" / "b" / "side").symlink_to(tmp_path / "c", target_is_directory=True)
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "back").symlink_to(tmp_path / "a" / "b", target_is_directory=True)
+    roots = spark.createDataFrame([("r", str(tmp_path))], "repo string, root string")
+    found = {r["path"] for r in tree.scan_tree(roots).collect()}
+    assert found == {
+        "a", "a/b", "a/b/f.txt", "a/b/side", "c", "c/back", "c/back/f.txt",
+    }
+
+
+def test_parts_keep_repository_names(spark, tmp_path):
+    from corpuspack.sources import sinks
+
+    names = ["007", "1e3", "a b"]
+    parts = spark.createDataFrame([(n, 1, n.encode()) for n in names], "repo string, part int, body binary")
+    sinks.write_parts(parts, f"{tmp_path}/parts")
+    written = spark.read.parquet(f"{tmp_path}/parts")
+    assert sorted((r["repo"], r["part"]) for r in written.collect()) == [(n, 1) for n in names]
+
+
+def test_block_numbers_stay_whole(spark, tmp_path):
+    from corpuspack.sources import sinks
+
+    placed = spark.createDataFrame(
+        [("r", 1_234_567_890, "one\n"), ("r", 1_234_567_891, "two\n")], "repo string, start bigint, text string"
+    )
+    sinks.write_pack(placed, f"{tmp_path}/pack", 1)
+    assert len(list((tmp_path / "pack" / "repo=r").glob("block=*"))) == 2
