@@ -29,6 +29,11 @@ def as_bytes(bytes_text: Column) -> Column:
     return F.encode(bytes_text, "ISO-8859-1")
 
 
+def bytes_text_of(text: str) -> str:
+    """What :func:`as_bytes_text` makes of a constant."""
+    return text.encode().decode("latin-1")
+
+
 def head(content: Column, n: int = fixed.SNIFF_BYTES) -> Column:
     return F.substring(content, 1, n)
 

@@ -111,18 +111,22 @@ def compile_rules(patterns: DataFrame) -> DataFrame:
 def _fold(rules: Column) -> Column:
     """One regex for an ordered array of ``(negation, body)``.
 
-    "The last matching rule wins", first rule to last: a plain rule goes in front
-    as an alternative, a negated one guards all that was there with a lookahead.
+    "The last matching rule wins": the rules are flat alternatives, last to first, of
+    an atomic group, which never goes on to another once one has matched. A plain rule
+    then has consumed the path, and a negated one, a lookahead, nothing, so that the
+    end is not reached. Any number of rules nests no deeper than one.
     """
-
-    def add(so_far: Column, rule: Column) -> Column:
-        return F.when(
-            rule["negation"],
-            F.concat(F.lit("(?!"), rule["body"], F.lit(")(?:"), so_far, F.lit(")")),
-        ).otherwise(F.concat(rule["body"], F.lit("|"), so_far))
-
+    alternatives = F.transform(
+        rules,
+        lambda rule: F.when(
+            rule["negation"], F.concat(F.lit("(?="), rule["body"], F.lit(")"))
+        ).otherwise(rule["body"]),
+    )
+    flat = F.array_join(F.reverse(alternatives), "|")
     return F.concat(
-        F.lit(_START + "(?:"), F.aggregate(rules, F.lit(_NEVER), add), F.lit(")")
+        F.lit(_START + "(?>"),
+        F.when(F.size(rules) > 0, flat).otherwise(_NEVER),
+        F.lit(r")\z"),
     )
 
 

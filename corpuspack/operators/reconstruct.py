@@ -3,7 +3,8 @@
 A document is one or more blocks ``(doc, block, text)`` of whole lines, in order.
 A heading outside a fence opens a file, the next fence is its body, and a fence
 is closed by a line of exactly its backticks. Only headings and fence lines, a
-few narrow marks per block, decide what is what: each block is summarised by how
+few narrow marks per block, decide what is what. Lines have one character per byte,
+so bytes that are not UTF-8 come back as they were. Each block is summarised by how
 it would end for every state it may start in, the summaries are chained per
 document, and then all blocks are cut in parallel.
 """
@@ -19,8 +20,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpuspack import fixed
+from corpuspack.functions.text import as_bytes, as_bytes_text, bytes_text_of
 from corpuspack.sources.staging import stage
 
+_MARKER = bytes_text_of(fixed.FILE_MARKER)
 INHERIT, CLOSED = -1, -2  # the open file is the one before the block; there is none
 
 
@@ -30,7 +33,7 @@ def _marks(lines: Column) -> Column:
     kept = F.filter(
         numbered,
         lambda x: F.startswith(x["text"], F.lit("```"))
-        | F.startswith(x["text"], F.lit(fixed.FILE_MARKER)),
+        | F.startswith(x["text"], F.lit(_MARKER)),
     )
     return F.transform(
         kept,
@@ -39,7 +42,7 @@ def _marks(lines: Column) -> Column:
             F.length(F.regexp_extract(x["text"], "^`*", 0)).alias("ticks"),
             x["text"].rlike(r"^`+(\r|\x00|\z)").alias("closes"),
             # the name follows one separating character and ends at a carriage return
-            F.regexp_extract(x["text"], f"(?s)^{fixed.FILE_MARKER}.([^\r]*)", 1).alias("path"),
+            F.regexp_extract(x["text"], f"(?s)^{_MARKER}.([^\r]*)", 1).alias("path"),
         ),
     )
 
@@ -200,7 +203,7 @@ def _carried(blocks: DataFrame) -> DataFrame:
     """
     several = blocks.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc")
     marked = blocks.join(several, "doc", "left_semi").select(
-        "doc", "block", _marks(F.split("text", "\n")).alias("marks")
+        "doc", "block", _marks(F.split(as_bytes_text(F.col("text")), "\n")).alias("marks")
     )
     ends = marked.withColumn("exits", _exits_of("marks")).select(
         "doc",
@@ -234,7 +237,7 @@ def reconstruct(blocks: DataFrame) -> DataFrame:
     blocks = blocks.select("doc", F.col("block").cast("bigint").alias("block"), "text")
     state = ["fence", "file_block", "file_line", "path"]
     spans = (
-        blocks.withColumn("_lines", F.split("text", "\n"))
+        blocks.withColumn("_lines", F.split(as_bytes_text(F.col("text")), "\n"))
         .withColumn("_marks", _marks(F.col("_lines")))
         .join(_carried(blocks), ["doc", "block"], "left")
         .withColumn("fence", F.coalesce("fence", F.lit(0)))
@@ -264,8 +267,8 @@ def reconstruct(blocks: DataFrame) -> DataFrame:
         )
     )
     return whole.groupBy("doc", "path").agg(
-        placeholder_cut(F.max_by("body", "file")).alias("content")
-    )
+        as_bytes(placeholder_cut(F.max_by("body", "file"))).cast("string").alias("content")
+    ).withColumn("path", as_bytes(F.col("path")).cast("string"))
 
 
 def roundtrip_diff(packed: DataFrame, rebuilt: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
 """Cutting documents into parts of limited size.
 
-Cuts depend on each other, but only through one number, the last cut, and there
-are at most ``max_splits`` of them. So the walk along a document runs on a few
-narrow candidate rows, while texts are sliced and joined in parallel.
+Cuts depend on each other, but only through one number, the last cut. So the walk
+along a document runs on a few narrow candidate rows, some cuts at a time, while
+texts are sliced and joined in parallel.
 """
 
 from __future__ import annotations
@@ -15,9 +15,13 @@ from pyspark.sql import functions as F
 from corpuspack import fixed
 from corpuspack.functions import render
 from corpuspack.functions.paths import default_output_name, part_file_name
+from corpuspack.functions.text import as_bytes_text, bytes_text_of
 from corpuspack.operators.pieces import CONTENTS, FILE, TREE, place
+from corpuspack.sources.staging import stage
 
 NEWLINE, BREAK, MARKER = 1, 2, 3
+_MARKER = bytes_text_of(fixed.FILE_MARKER)
+ROUND_CUTS = 100  # decided by one task at a time, which bounds the candidates it holds
 KIND_NAMES = {NEWLINE: "newline", BREAK: "break", MARKER: "marker"}
 
 
@@ -51,11 +55,14 @@ def apply_policy(pieces: DataFrame, policy: DataFrame) -> DataFrame:
 
 
 def _line_kind(line: Column, pos: Column, total: Column) -> Column:
-    """Best use of a line start. A prefix may not reach the end of the document."""
-    marker = F.startswith(line, F.lit(fixed.FILE_MARKER))
+    """Best use of a line start. A prefix may not reach the end of the document.
+
+    ``line`` has one character per byte, so positions hold whatever the bytes are.
+    """
+    marker = F.startswith(line, F.lit(_MARKER))
     section = F.startswith(line, F.lit(fixed.SECTION_MARKER))
     return (
-        F.when(marker & (pos + len(fixed.FILE_MARKER.encode()) < total), MARKER)
+        F.when(marker & (pos + len(_MARKER) < total), MARKER)
         .when((line == "") & (pos + 1 < total), BREAK)
         .when(section & (pos + 1 + len(fixed.SECTION_MARKER.encode()) < total), BREAK)
         .otherwise(NEWLINE)
@@ -73,7 +80,7 @@ def _line_starts(placed: DataFrame, *keep: str) -> DataFrame:
         Window.unboundedPreceding, -1
     )
     return (
-        placed.withColumn("_lines", F.split("text", "\n"))
+        placed.withColumn("_lines", F.split(as_bytes_text(F.col("text")), "\n"))
         .select(
             "repo",
             "start",
@@ -86,8 +93,8 @@ def _line_starts(placed: DataFrame, *keep: str) -> DataFrame:
             "start",
             *{"doc_bytes", *keep},
             "i",
-            F.octet_length(line).alias("length"),
-            F.substring(line, 1, len(fixed.FILE_MARKER)).alias("line"),
+            F.length(line).alias("length"),
+            F.substring(line, 1, len(_MARKER)).alias("line"),
         )
         .withColumn(
             "pos",
@@ -120,12 +127,12 @@ def split_candidates(placed: DataFrame, totals: DataFrame) -> DataFrame:
 
 
 def _useful_candidates(
-    pieces: DataFrame, offsets: DataFrame, totals: DataFrame, limit: int, max_splits: int
+    pieces: DataFrame, offsets: DataFrame, totals: DataFrame, limit: int, max_splits: int | None
 ) -> DataFrame:
-    """The candidates that can become a cut, ``(repo, pos, kind, doc_bytes)``.
+    """The candidates that can become a cut, ``(repo, pos, kind)``.
 
-    * Documents within the limit have no cuts, and no cut lies beyond
-      ``max_splits * (limit + 1)``.
+    * Documents within the limit have no cuts, and if their number is limited, none
+      lies beyond ``max_splits * (limit + 1)``.
     * A file section of at most half a limit is never cut inside, unless at a
       marker line in its content: any window that reaches such a place also
       reaches the marker at the section's start or at the next one. (A newline
@@ -135,9 +142,13 @@ def _useful_candidates(
     So most pieces give one row from their offset alone. Which texts are looked
     at is decided on narrow rows before the texts are joined.
     """
-    reach = max_splits * (limit + 1)
+    reach = F.lit(None if max_splits is None else max_splits * (limit + 1)).cast("bigint")
+
+    def within(pos: Column) -> Column:
+        return reach.isNull() | (pos <= reach)
+
     long_docs = totals.filter(F.col("doc_bytes") > limit).select("repo", "doc_bytes")
-    near = offsets.filter(F.col("start") <= reach).join(long_docs, "repo")
+    near = offsets.filter(within(F.col("start"))).join(long_docs, "repo")
     short_file = (
         (F.col("section") == FILE)
         & F.lit(limit >= 2 * fixed.NEWLINE_WINDOW)
@@ -148,24 +159,25 @@ def _useful_candidates(
         "repo",
         F.col("start").alias("pos"),
         F.when(F.col("section") == FILE, MARKER).otherwise(NEWLINE).alias("kind"),
-        "doc_bytes",
     )
     looked_at = near.filter(~by_offset).withColumn("every_line", ~short_file)
-    lines = _line_starts(place(pieces, looked_at), "doc_bytes", "every_line").filter(
+    lines = _line_starts(place(pieces, looked_at), "every_line").filter(
         F.col("every_line") | (F.col("kind") == MARKER)
     )
     ends = long_docs.select(
-        "repo", F.col("doc_bytes").alias("pos"), F.lit(NEWLINE).alias("kind"), "doc_bytes"
+        "repo", F.col("doc_bytes").alias("pos"), F.lit(NEWLINE).alias("kind")
     )
     return (
         starts.unionByName(lines.drop("every_line"))
         .unionByName(ends)
-        .filter((F.col("pos") > 0) & (F.col("pos") <= reach))
+        .filter((F.col("pos") > 0) & within(F.col("pos")))
     )
 
 
-def walk(pos: np.ndarray, kind: np.ndarray, total: int, limit: int, max_splits: int) -> list[int]:
-    """Cuts of one document, from its sorted candidate line starts.
+def walk(
+    pos: np.ndarray, kind: np.ndarray, total: int, limit: int, max_splits: int, last: int = 0
+) -> list[int]:
+    """Cuts of one document after ``last``, from its sorted candidate line starts.
 
     From the last cut, the next window ends ``limit`` bytes on. In its second half
     the first marker wins, else the last break, else the last newline within 200
@@ -174,7 +186,6 @@ def walk(pos: np.ndarray, kind: np.ndarray, total: int, limit: int, max_splits:
     before = pos - 1  # the newline in front of each candidate
     markers, breaks = before[kind == MARKER], before[kind == BREAK]
     cuts: list[int] = []
-    last = 0
     while last + limit < total and len(cuts) < max_splits:
         half, end = last + limit // 2, last + limit
         near_end = max(last, end - fixed.NEWLINE_WINDOW)
@@ -193,32 +204,82 @@ def walk(pos: np.ndarray, kind: np.ndarray, total: int, limit: int, max_splits:
     return cuts
 
 
-def split_plan(
-    pieces: DataFrame, offsets: DataFrame, totals: DataFrame, limit: int, max_splits: int
-) -> DataFrame:
-    """``(repo, doc_bytes, cuts)`` for every document in ``totals``.
-
-    The group that goes to one task is the useful candidates of one document,
-    limited by the reach of its cuts and not by its size.
-    """
-    if limit < 1:
-        raise ValueError("the limit must be at least one byte")
-    candidates = _useful_candidates(pieces, offsets, totals, limit, max_splits)
+def _next_cuts(candidates: DataFrame, docs: DataFrame, limit: int, n_cuts: int) -> DataFrame:
+    """``(repo, doc_bytes, cuts)``: up to ``n_cuts`` cuts after the ``last`` of each document."""
 
     def cut(table: pa.Table) -> pa.Table:
         pos = table["pos"].to_numpy()
         order = np.argsort(pos, kind="stable")
         kind = table["kind"].to_numpy()[order]
-        total = table["doc_bytes"][0].as_py()
-        cuts = walk(pos[order], kind, total, limit, max_splits)
+        total, last = table["doc_bytes"][0].as_py(), table["last"][0].as_py()
+        cuts = walk(pos[order], kind, total, limit, n_cuts, last)
         return pa.table(
             {
                 "repo": pa.array([table["repo"][0].as_py()], pa.string()),
+                "doc_bytes": pa.array([total], pa.int64()),
                 "cuts": pa.array([cuts], pa.list_(pa.int64())),
             }
         )
 
-    found = candidates.groupBy("repo").applyInArrow(cut, "repo string, cuts array<bigint>")
+    pos, last = F.col("pos"), F.col("last")
+    near = candidates.join(docs, "repo").filter(
+        (pos > last) & (pos <= last + n_cuts * (limit + 1))
+    )
+    # of no kind, so that a document without a line start in reach has a row too
+    here = docs.withColumns({"pos": last, "kind": F.lit(0)})
+    return (
+        near.unionByName(here)
+        .groupBy("repo")
+        .applyInArrow(cut, "repo string, doc_bytes bigint, cuts array<bigint>")
+    )
+
+
+def split_plan(
+    pieces: DataFrame,
+    offsets: DataFrame,
+    totals: DataFrame,
+    limit: int,
+    max_splits: int | None = None,
+    round_cuts: int = ROUND_CUTS,
+) -> DataFrame:
+    """``(repo, doc_bytes, cuts)`` for every document in ``totals``.
+
+    Documents are walked in rounds of ``round_cuts`` cuts, each going on where the one
+    before ended. The group that goes to one task is what such a round can reach of
+    one document, whatever its size. Only whether a document is left reaches the driver.
+    """
+    if limit < 1:
+        raise ValueError("the limit must be at least one byte")
+    candidates = _useful_candidates(pieces, offsets, totals, limit, max_splits)
+    if max_splits is None or max_splits > round_cuts:
+        candidates = stage(candidates, "candidates")
+    docs = totals.filter(F.col("doc_bytes") > limit).select(
+        "repo", "doc_bytes", F.lit(0).cast("bigint").alias("last")
+    )
+    found = docs.select(
+        "repo", F.lit(0).alias("round"), F.array().cast("array<bigint>").alias("cuts")
+    )
+    done = 0
+    while max_splits is None or done < max_splits:
+        n_cuts = round_cuts if max_splits is None else min(round_cuts, max_splits - done)
+        cuts = _next_cuts(candidates, docs, limit, n_cuts)
+        done += n_cuts
+        more = done != max_splits
+        if more:
+            cuts = stage(cuts, "cuts")
+        found = found.unionByName(cuts.select("repo", F.lit(done).alias("round"), "cuts"))
+        if not more:
+            break
+        last = F.element_at("cuts", -1)
+        docs = cuts.filter((F.size("cuts") == n_cuts) & (last + limit < F.col("doc_bytes"))).select(
+            "repo", "doc_bytes", last.alias("last")
+        )
+        if docs.isEmpty():
+            break
+    rounds = F.array_sort(F.collect_list(F.struct("round", "cuts")))
+    found = found.groupBy("repo").agg(
+        F.flatten(F.transform(rounds, lambda r: r["cuts"])).alias("cuts")
+    )
     return (
         totals.select("repo", "doc_bytes")
         .join(found, "repo", "left")

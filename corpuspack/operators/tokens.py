@@ -158,8 +158,9 @@ def special_token_ids(
 
 def pretoken_counts(texts: DataFrame, text: str) -> DataFrame:
     """The distinct pretokens of a corpus and how often each occurs."""
+    units = texts.select(F.explode(pretokens(as_bytes_text(F.col(text)))).alias("unit"))
     return (
-        texts.select(F.explode(pretokens(F.col(text))).alias("pretoken"))
+        units.select(as_bytes(F.col("unit")).cast("string").alias("pretoken"))
         .groupBy("pretoken")
         .agg(F.count("*").alias("n"))
     )

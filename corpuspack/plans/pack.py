@@ -71,14 +71,22 @@ class Pack:
 
     @cached_property
     def listing(self) -> DataFrame:
-        """All entries, with ``kept``: whether they are shown."""
+        """All entries, with ``kept``: whether they are shown.
+
+        A path that occurs twice in a repository is an error: it names one file, and
+        which of them is meant cannot be told.
+        """
         found = self._given_entries
         if found is None:
             found = entries_op.entries(self.files)
         marked = ignore.mark_kept(found, self.matchers)
         if not self.options.include_vcs:
             marked = marked.withColumn("kept", F.col("kept") & ~in_vcs_dir(F.col("path")))
-        return stage(marked, "listing")
+        listing = stage(marked, "listing")
+        again = listing.groupBy("repo", "path").agg(F.count("*").alias("n")).filter("n > 1")
+        for row in again.limit(1).collect():
+            raise ValueError(f"{row.n} entries of {row.repo!r} have the path {row.path!r}")
+        return listing
 
     @cached_property
     def entries(self) -> DataFrame:
@@ -108,7 +116,8 @@ class Pack:
 
     @cached_property
     def ledger(self) -> DataFrame:
-        return stage(pieces.ledger(self.body, self.options.token_mode, self.vocab), "ledger")
+        mode = self.options.token_mode or ("approx" if self.vocab is None else "vocab")
+        return stage(pieces.ledger(self.body, mode, self.vocab), "ledger")
 
     @cached_property
     def stats(self) -> DataFrame:

@@ -7,12 +7,18 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuspack import fixed
 
 
+def _without_last_newline(text: Column) -> Column:
+    """Cut off as a byte, as a regex would replace bytes that are not UTF-8."""
+    shorter = F.substr(text.cast("binary"), F.lit(1), F.octet_length(text) - 1)
+    return F.when(F.endswith(text, F.lit("\n")), shorter.cast("string")).otherwise(text)
+
+
 def write_pack(placed: DataFrame, path: str, block_bytes: int = 64 * fixed.MEGABYTE) -> None:
     """Documents as text below ``repo=<name>/block=<number>``.
 
@@ -29,7 +35,7 @@ def write_pack(placed: DataFrame, path: str, block_bytes: int = 64 * fixed.MEGAB
         .repartition("repo", "block")
         .sortWithinPartitions("repo", "block", "start")
         # the writer ends every line itself
-        .select("repo", "block", F.regexp_replace("text", r"\n\z", "").alias("value"))
+        .select("repo", "block", _without_last_newline(F.col("text")).alias("value"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "static")
         .partitionBy("repo", "block")

@@ -172,3 +172,17 @@ def test_entries_and_depth(spark):
     assert column(counts, "n_entries", "n_dirs") == [(5, 2)]
 
 
+
+
+def test_any_number_of_rules(spark):
+    patterns = [f"!/{n}x" if n % 2 else f"/{n - n % 4}*" for n in range(20_000)]
+    verdicts = dict(
+        column(
+            ignore.match_rules(
+                paths_df(spark, ["8x", "9x", "19999x", "1996y", "none"]), rules_df(spark, patterns)
+            ),
+            "path",
+            "ignored",
+        )
+    )
+    assert verdicts == {"8x": True, "9x": False, "19999x": False, "1996y": True, "none": False}

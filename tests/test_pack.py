@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from conftest import column, files_df
+from pyspark.sql import functions as F
 
 from corpuspack import PackOptions, fixed
 from corpuspack.operators import lint, ordering, split
@@ -247,6 +248,59 @@ def test_cuts_and_parts_against_brute_force(spark, seed, limit):
         assert part.file_name == f"r_documentation_part{i + 1}.md"
 
 
+@pytest.mark.parametrize("round_cuts", [1, 3, 1000])
+def test_cuts_without_a_bound(spark, round_cuts):
+    """Rounds go on where the last one ended, also where no line start is in reach."""
+    files = random_files(3, big=True) | {"a/long.txt": "y" * 9000 + "\nend"}
+    pack = Pack(files_df(spark, files), PackOptions(split=True, limit_mb=700 / fixed.MEGABYTE))
+    data = text_of(pack.documents()).encode()
+    pos, kind = all_candidates(data)
+    cuts = split.walk(pos, kind, len(data), pack.options.limit_bytes, len(data))
+    assert len(cuts) > 12
+    plan = split.split_plan(
+        pack._texts, pack.offsets, pack._split_docs, pack.options.limit_bytes, None, round_cuts
+    )
+    assert plan.first().cuts == cuts
+
+
+def latin_files():
+    prose = "Où est le café où l'été dernier nous étions? Là-bas.\n".encode("latin-1")
+    return {
+        f"d/f{n}.txt": b"### \xf0\x9f\x93\x84 x\n" * (n % 2) + prose * (9 * n) + b"\xe9 end\n"
+        for n in range(1, 7)
+    }
+
+
+def test_bytes_that_are_not_utf8_are_cut_and_kept(spark):
+    files = latin_files()
+    df = files_df(spark, files)
+    pack = Pack(df, PackOptions(split=True, limit_mb=900 / fixed.MEGABYTE))
+    assert {k for (k,) in column(_kinds(df), "kind")} == {"text"}
+    (row,) = pack.documents().withColumn("text", F.col("text").cast("binary")).collect()
+    data = bytes(row.text)
+    assert all(text in data for text in files.values())
+    pos, kind = all_candidates(data)
+    cuts = split.walk(pos, kind, len(data), pack.options.limit_bytes, len(data))
+    assert pack.split_plan.first().cuts == cuts
+    assert sum(data[c - 1 : c] == b"\n" for c in cuts) == len(cuts) > 5
+
+    path = fresh_path(spark, "test-latin")
+    sinks.write_pack(pack.placed, path, 700)
+    import glob
+
+    chunks = sorted(glob.glob(f"{shared_posix_path(path)}/repo=r/block=*/part-*"))
+    assert b"".join(open(c, "rb").read() for c in chunks) == data
+    for back in (unpack_documents(pack.documents()), unpack_parts(pack.parts())):
+        raw = back.withColumn("content", F.col("content").cast("binary"))
+        assert dict(column(raw, "path", "content")) == files
+
+
+def test_repeated_paths_are_refused(spark):
+    df = files_df(spark, {"a.txt": "1"})
+    with pytest.raises(ValueError, match="a.txt"):
+        Pack(df.unionByName(df)).documents()
+
+
 @pytest.mark.parametrize("seed", [6, 7])
 def test_round_trip(spark, seed):
     files = random_files(seed, big=True)

@@ -79,3 +79,17 @@ def test_roundtrip_diff(spark):
         "c": "missing",
         "d": "extra",
     }
+
+
+def raw_rebuilt(spark, blocks):
+    rows = [("d", n, t) for n, t in enumerate(blocks)]
+    df = spark.createDataFrame(rows, "doc string, block bigint, text binary")
+    files = rc.reconstruct(df.withColumn("text", df["text"].cast("string")))
+    return dict(column(files.withColumn("content", files["content"].cast("binary")), "path", "content"))
+
+
+def test_bytes_that_are_not_utf8_come_back(spark):
+    body = bytes(b for b in range(256) if b not in b"`") + b"\n\xe9t\xe9 \xff\xfe\x85 \x85\n"
+    text = "### 📄 ä/b\n```\n".encode() + body + b"```\n"
+    assert raw_rebuilt(spark, [text]) == {"ä/b": body}
+    assert raw_rebuilt(spark, text.splitlines(keepends=True)[:2] + [body, b"```\n"]) == {"ä/b": body}
