@@ -17,6 +17,8 @@ SPACE_CLASS = r"\x20\x09-\x0D"
 WORD = rf"[^{SPACE_CLASS}]+"
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
+SLICE = 1000  # rows
+
 _ARROW = {
     "bigint": pa.int64(),
     "int": pa.int32(),
@@ -56,8 +58,15 @@ def tables(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _slices(batches):
+    """Rows in smaller batches, which bounds what a task computes on at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)
+
+
 def map_texts(documents: DataFrame, text: str, keep: Sequence[str], fields: str, prepare) -> DataFrame:
-    """Add columns computed from each row's whole text, batch by batch, in its own task.
+    """Add columns computed from each row's whole text, slice by slice, in its own task.
 
     ``prepare()`` runs once in each task and gives a function from a list of texts
     (bytes or None) to one list or array for each of ``fields`` (a schema string). Only
@@ -70,7 +79,7 @@ def map_texts(documents: DataFrame, text: str, keep: Sequence[str], fields: str,
 
     def run(batches):
         compute = prepare()
-        for batch in batches:
+        for batch in _slices(batches):
             texts = batch.column(batch.num_columns - 1).to_pylist()
             columns = compute(texts) if texts else [[] for _ in added]
             yield pa.RecordBatch.from_arrays(
