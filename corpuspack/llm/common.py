@@ -26,6 +26,7 @@ _ARROW = {
     "boolean": pa.bool_(),
     "string": pa.string(),
     "binary": pa.binary(),
+    "array<bigint>": pa.list_(pa.int64()),
 }
 
 

@@ -22,20 +22,21 @@ _SEGMENT_BITS = 32
 _POWERS = 1 << np.arange(64, dtype=np.uint64)
 
 
-def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
-    """The 64-bit fingerprint of a whole text; zero without words."""
-    words = (text or b"").lower().split()  # bytes: A-Z only, and ASCII white space
-    if not words:
-        return 0
+def shingle_hashes(words: list[bytes], width: int = SHINGLE) -> np.ndarray:
+    """The hash of every run of ``width`` words, or of all words if these are fewer."""
     joined = b" ".join(words)
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
+        hashes = [xxhash.xxh64_intdigest(joined, SEED)] if words else []
     else:
         ends = (np.cumsum([len(w) + 1 for w in words]) - 1).tolist()
         starts = [0, *[e + 1 for e in ends]]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[width - 1 :])]
-    rows = np.array(hashes, np.uint64)
+    return np.array(hashes, np.uint64)
+
+
+def majority(rows: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; zero without hashes."""
     ones = np.zeros(64, np.int64)
     for i in range(0, len(rows), 1 << 16):
         part = rows[i : i + (1 << 16)].astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -43,6 +44,12 @@ def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
     return int(_POWERS[2 * ones > len(rows)].sum(dtype=np.uint64))
 
 
+def fingerprint(text: bytes | None, width: int = SHINGLE) -> int:
+    """The 64-bit fingerprint of a whole text; zero without words."""
+    words = (text or b"").lower().split()  # bytes: A-Z only, and ASCII white space
+    return majority(shingle_hashes(words, width))
+
+
 def fingerprints(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` and the fingerprint ``fp`` as a bigint of the same bits."""
 
@@ -56,7 +63,7 @@ def fingerprints(documents: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> D
     return map_texts(documents, "text", keep, "fp bigint", prepare)
 
 
-def _segments(prints: DataFrame) -> DataFrame:
+def segments(prints: DataFrame) -> DataFrame:
     low = F.col("fp").bitwiseAND(0xFFFFFFFF)
     high = F.shiftrightunsigned("fp", _SEGMENT_BITS)
     both = F.array(
@@ -66,7 +73,7 @@ def _segments(prints: DataFrame) -> DataFrame:
     return prints.select("*", F.explode(both).alias("s")).select(*prints.columns, "s.*")
 
 
-def _apart(a: str | Column, b: str | Column) -> Column:
+def apart(a: str | Column, b: str | Column) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
@@ -76,8 +83,8 @@ def _chains(prints: DataFrame) -> DataFrame:
     Each with the one before it among those that share a segment.
     """
     near = Window.partitionBy("side", "part").orderBy("rest")
-    pairs = _segments(prints).withColumn("b", F.lag("fp").over(near))
-    return pairs.filter(_apart("fp", "b") <= MOST_BITS).select(F.col("fp").alias("a"), "b")
+    pairs = segments(prints).withColumn("b", F.lag("fp").over(near))
+    return pairs.filter(apart("fp", "b") <= MOST_BITS).select(F.col("fp").alias("a"), "b")
 
 
 def links(prints: DataFrame) -> DataFrame:
@@ -87,14 +94,14 @@ def links(prints: DataFrame) -> DataFrame:
     the very many pairs within a group none is made. Of two segments at distance 1, the
     one whose bit is 0 asks for the other, so each pair is found from one side.
     """
-    table = _segments(prints).select(
+    table = segments(prints).select(
         "side", "part", F.col("fp").alias("b"), F.col("group").alias("group_b")
     )
     # the bit to set, or 0: as it is
     bits = F.array(*[F.lit(b).cast("bigint") for b in (0, *(1 << i for i in range(_SEGMENT_BITS)))])
     unset = F.col("part").bitwiseAND(F.col("bit")) == 0
     asked = (
-        _segments(prints)
+        segments(prints)
         .select("side", "part", F.col("fp").alias("a"), F.col("group").alias("group_a"), F.explode(bits).alias("bit"))
         .filter(unset)
         .select(
@@ -111,12 +118,12 @@ def links(prints: DataFrame) -> DataFrame:
         & (asked["part"] == table["part"])
         & (F.col("group_a") != F.col("group_b"))
         & (~F.col("same") | (F.col("a") < F.col("b")))
-        & (_apart("a", "b") <= MOST_BITS),
+        & (apart("a", "b") <= MOST_BITS),
     )
     return met.select(F.col("group_a").alias("a"), F.col("group_b").alias("b"))
 
 
-def _grouped(prints: DataFrame, roots: DataFrame) -> DataFrame:
+def grouped_by(prints: DataFrame, roots: DataFrame) -> DataFrame:
     joined = prints.join(roots.withColumnRenamed("a", "group"), "group", "left")
     return joined.select(*[c for c in prints.columns if c != "group"], F.coalesce("root", "group").alias("group"))
 
@@ -136,8 +143,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         marked.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("group", F.col("fp")),
         "simhash-distinct",
     )
-    grouped = stage(_grouped(prints, components(_chains(prints))), "simhash-groups")
-    grouped = _grouped(grouped, components(links(grouped)))
+    grouped = stage(grouped_by(prints, components(_chains(prints))), "simhash-groups")
+    grouped = grouped_by(grouped, components(links(grouped)))
     ids = stage(grouped.select("fp", "group", "first"), "simhash-components")
     least = ids.groupBy("group").agg(F.min("first").alias("component_id"))
     by_print = ids.join(least, "group").select("fp", "component_id")
