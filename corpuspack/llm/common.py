@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import zlib
 from collections.abc import Sequence
 
@@ -26,6 +28,7 @@ _ARROW = {
     "boolean": pa.bool_(),
     "string": pa.string(),
     "binary": pa.binary(),
+    "array<int>": pa.list_(pa.int32()),
     "array<bigint>": pa.list_(pa.int64()),
 }
 
@@ -49,6 +52,31 @@ def is_held_out(doc_id: int | None, modulus: int) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus == 0
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind it as no column of ``df`` needs."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A hash of a row's id and whole text; null ids and null texts have their own."""
+    number = F.coalesce(F.concat(F.lit("+"), doc_id.cast("string")), F.lit("-"))
+    digest = F.coalesce(F.md5(text.cast("binary")), F.lit("-"))
+    return F.unhex(F.md5(F.concat(number, F.lit("/"), digest).cast("binary")))
+
+
+def release_memory() -> None:
+    """Give what a task no longer needs back to the system, as its worker goes on living."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def with_columns_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exactly these columns, in this order."""
     return df.select(*[F.col(f"`{c}`") for c in columns])
@@ -90,6 +118,8 @@ def map_texts(documents: DataFrame, text: str, keep: Sequence[str], fields: str,
                 ],
                 schema=arrow,
             )
+        del compute
+        release_memory()
 
     schema = ", ".join([*(f"k{i} {t}" for i, (_, t) in enumerate(held.dtypes)), fields])
     rows = documents.select(

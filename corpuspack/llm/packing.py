@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import codecs
 import re
-import sys
-import types
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -19,15 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from corpuspack.llm.common import release_memory
+
 WINDOW = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
-# A worker forgets the words it has encoded when it has so many.
+# A task forgets the words it has encoded when it has so many.
 CACHE_WORDS = 250_000
 
 # A run of these is one pre-token, whatever letters stand before it.
 _PUNCTUATION = b'.,!?;:"()[]{}<>#*$%&|/@+=~^_-'
-_HELD = "corpuspack_word_ids"
 
 _SCHEMA = (
     "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -77,14 +76,6 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, words)) + END_ID.to_bytes(4, "little")
 
 
-def _worker_words(path: str) -> WordIds:
-    """The words this Python worker knows, from earlier tasks too."""
-    held = sys.modules.setdefault(_HELD, types.ModuleType(_HELD)).__dict__
-    if path not in held:
-        held[path] = WordIds(path)
-    return held[path]
-
-
 def _byte_letters() -> list[str]:
     """The letter that a byte-level model uses for each byte."""
     own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -197,7 +188,7 @@ def _packing(path: str, window: int, with_ids: bool):
     flush = 20_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, levels = _worker_words(path), SumOfSquares(window)
+        words, levels = WordIds(path), SumOfSquares(window)
         base = TaskContext.get().partitionId() << 36
         rows: list[tuple] = []
         sequence = 0
@@ -240,6 +231,8 @@ def _packing(path: str, window: int, with_ids: bool):
                 yield taken()
         if rows:
             yield taken()
+        del words, levels
+        release_memory()
 
     return run
 

@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpuspack.llm.common import map_texts, stage
+from corpuspack.llm.common import free_name, map_texts, row_key, stage
 from corpuspack.llm.components import components
 
 SHINGLE = 3
@@ -128,24 +128,28 @@ def grouped_by(prints: DataFrame, roots: DataFrame) -> DataFrame:
     return joined.select(*[c for c in prints.columns if c != "group"], F.coalesce("root", "group").alias("group"))
 
 
+def _groups(prints: DataFrame) -> DataFrame:
+    """Distinct fingerprints ``fp`` and the ``group`` each is linked into, staged.
+
+    First some links in each segment's groups, then all links between the groups these make.
+    """
+    alone = prints.withColumn("group", F.col("fp"))
+    grouped = stage(grouped_by(alone, components(_chains(alone))), "simhash-groups")
+    return stage(grouped_by(grouped, components(links(grouped))), "simhash-components")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row of ``documents``.
 
     Fingerprints at 3 differing bits or fewer are linked; ``component_id`` is the least
     id that can be reached. Copies share one fingerprint, so only distinct fingerprints
-    are compared: first some links in each segment's groups, then all links between the
-    groups these make. Texts without words (null ones too) have fingerprint zero. Null
+    are compared. Texts without words (null ones too) have fingerprint zero. Null
     ids are never the least; a component of null ids has a null one. Repeated rows come
-    out as often as they go in.
+    out as often as they go in. Other columns are not read.
     """
     marked = stage(fingerprints(documents), "simhash-fingerprints")
-    prints = stage(
-        marked.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("group", F.col("fp")),
-        "simhash-distinct",
-    )
-    grouped = stage(grouped_by(prints, components(_chains(prints))), "simhash-groups")
-    grouped = grouped_by(grouped, components(links(grouped)))
-    ids = stage(grouped.select("fp", "group", "first"), "simhash-components")
+    prints = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-distinct")
+    ids = _groups(prints)
     least = ids.groupBy("group").agg(F.min("first").alias("component_id"))
     by_print = ids.join(least, "group").select("fp", "component_id")
     return marked.join(by_print, "fp").select(
@@ -156,12 +160,20 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 
 def representatives(documents: DataFrame) -> DataFrame:
-    """One document of each component, the one of the least id, with all its columns.
+    """Exactly one row of each component, with all its columns.
 
-    Ids are taken as those of documents: of rows that share one, one is returned. Of a
-    component of null ids, one row is returned for all such components together.
+    The row of the least id, null ids last, then of the least hash of its text. Rows are
+    told apart by id and whole text, so neither null ids nor repeated ones stand for each
+    other; of rows that share both, one is returned. Null texts are without words. An
+    empty table gives an empty one, and columns may have any names.
     """
-    found = near_duplicates(documents)
-    gone = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id").distinct()
-    kept = documents.join(gone, documents["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti")
-    return kept.dropDuplicates(["doc_id"])
+    key = free_name(documents, "row_key")
+    keyed = documents.withColumn(key, row_key(F.col("doc_id"), F.col("text")))
+    marked = fingerprints(keyed, ("doc_id", key)).withColumnRenamed(key, "key")
+    order = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key"))
+    prints = stage(marked.groupBy("fp").agg(order.alias("first")), "simhash-distinct")
+    chosen = stage(
+        _groups(prints).groupBy("group").agg(F.min("first")["key"].alias(key)).select(key),
+        "simhash-chosen",
+    )
+    return keyed.join(chosen, key, "left_semi").dropDuplicates([key]).drop(key)
