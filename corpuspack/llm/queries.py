@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuspack.llm import (
     katz,
     kneser_ney,
+    merge_replay,
     mixing,
     packing,
     quality_rules,
@@ -74,6 +75,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(tables(spark, sf_dir, "documents"))
 
 
+def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to, as hashes."""
+    return merge_replay.digests(tables(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_quality_rules": op2_quality_rules,
@@ -85,6 +91,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_edits": op9_token_edits,
     "op10_mixing": op10_mixing,
+    "op12_merge_replay": op12_merge_replay,
 }
 
 ORACLE_SQL = {
