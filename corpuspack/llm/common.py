@@ -29,6 +29,7 @@ _ARROW = {
     "string": pa.string(),
     "binary": pa.binary(),
     "array<int>": pa.list_(pa.int32()),
+    "array<binary>": pa.list_(pa.binary()),
     "array<bigint>": pa.list_(pa.int64()),
 }
 

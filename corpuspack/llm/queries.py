@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpuspack.llm import (
     katz,
     kneser_ney,
+    lexical,
     merge_replay,
     mixing,
     packing,
@@ -75,6 +76,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(tables(spark, sf_dir, "documents"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical.search(tables(spark, sf_dir, "documents"), tables(spark, sf_dir, "benchmark"))
+
+
 def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to, as hashes."""
     return merge_replay.digests(tables(spark, sf_dir, "documents"))
@@ -91,6 +97,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_token_edits": op9_token_edits,
     "op10_mixing": op10_mixing,
+    "op11_lexical": op11_lexical,
     "op12_merge_replay": op12_merge_replay,
 }
 
@@ -98,4 +105,5 @@ ORACLE_SQL = {
     "op1_topk": topk.ORACLE,
     "op2_quality_rules": quality_rules.ORACLE,
     "op6_sharding": sharding.ORACLE,
+    "op11_lexical": lexical.ORACLE,
 }
