@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -109,42 +109,47 @@ _INDEX = (
 )
 
 
-def _stratify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index rows of documents sorted by ``m``: each a list of documents by term and frequency."""
+def _strata(part: pa.RecordBatch) -> pa.RecordBatch:
+    """Index rows of documents sorted by ``m``: in each, lists of documents by term and frequency."""
+    m = part.column("m").to_numpy()
+    lists = part.column("terms")
+    sizes = np.diff(lists.offsets.to_numpy())
+    doc = np.repeat(np.arange(len(m)), sizes)
+    term = lists.flatten().to_numpy()
+    tf = part.column("tfs").flatten().to_numpy()
+    first = np.flatnonzero(np.diff(m, prepend=-1))
+    stratum = np.repeat(np.arange(len(first)), np.diff(first, append=len(m)))[doc]
+    order = np.lexsort((doc, tf, term, stratum))
+    doc, term, tf, stratum = doc[order], term[order], tf[order], stratum[order]
+    rows = []
+    edges = np.searchsorted(stratum, np.arange(len(first) + 1))
+    for s, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
+        begin = int(first[s])
+        end = int(first[s + 1]) if s + 1 < len(first) else len(m)
+        new = (np.diff(term[a:b], prepend=-1) != 0) | (np.diff(tf[a:b], prepend=-1) != 0)
+        opens = np.flatnonzero(new)
+        rows.append(
+            (
+                int(m[begin]),
+                part.column("doc_id").slice(begin, end - begin).to_pylist(),
+                term[a:b][opens],
+                tf[a:b][opens],
+                np.diff(opens, append=b - a).astype(np.int32),
+                (doc[a:b] - begin).astype(np.int32),
+            )
+        )
     kinds = [pa.int64(), pa.list_(pa.int64()), *[pa.list_(pa.int32())] * 4]
-    names = [f.split(" ")[0] for f in _INDEX.split(", ")]
-    for batch in batches:
-        for at in range(0, batch.num_rows, ROW_DOCUMENTS):
-            part = batch.slice(at, ROW_DOCUMENTS)
-            m = part.column("m").to_numpy()
-            lists = part.column("terms")
-            sizes = np.diff(lists.offsets.to_numpy())
-            doc = np.repeat(np.arange(len(m)), sizes)
-            term = lists.flatten().to_numpy()
-            tf = part.column("tfs").flatten().to_numpy()
-            first = np.flatnonzero(np.diff(m, prepend=-1))
-            stratum = np.repeat(np.arange(len(first)), np.diff(first, append=len(m)))[doc]
-            order = np.lexsort((doc, tf, term, stratum))
-            doc, term, tf, stratum = doc[order], term[order], tf[order], stratum[order]
-            rows = []
-            edges = np.searchsorted(stratum, np.arange(len(first) + 1))
-            for s, (a, b) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist())):
-                begin = int(first[s])
-                end = int(first[s + 1]) if s + 1 < len(first) else len(m)
-                new = (np.diff(term[a:b], prepend=-1) != 0) | (np.diff(tf[a:b], prepend=-1) != 0)
-                opens = np.flatnonzero(new)
-                rows.append(
-                    (
-                        int(m[begin]),
-                        part.column("doc_id").slice(begin, end - begin).to_pylist(),
-                        term[a:b][opens],
-                        tf[a:b][opens],
-                        np.diff(opens, append=b - a).astype(np.int32),
-                        (doc[a:b] - begin).astype(np.int32),
-                    )
-                )
-            columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
+    columns = [pa.array(list(c), k) for c, k in zip(zip(*rows), kinds)]
+    return pa.RecordBatch.from_arrays(columns, names=[f.split(" ")[0] for f in _INDEX.split(", ")])
+
+
+def _stratify(row_documents: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, row_documents):
+                yield _strata(batch.slice(at, row_documents))
+
+    return run
 
 
 def index(postings: DataFrame, documents: int, terms: int) -> DataFrame:
@@ -157,7 +162,7 @@ def index(postings: DataFrame, documents: int, terms: int) -> DataFrame:
     m = F.expr(f"25 + (75L * n * {documents}L) div {max(terms, 1)}L")
     placed = postings.filter(F.size("terms") > 0).select("row", "doc_id", m.alias("m"), "terms", "tfs")
     sorted_ = placed.repartitionByRange("m", "row").sortWithinPartitions("m", "row")
-    return sorted_.select("doc_id", "m", "terms", "tfs").mapInArrow(_stratify, _INDEX)
+    return sorted_.select("doc_id", "m", "terms", "tfs").mapInArrow(_stratify(ROW_DOCUMENTS), _INDEX)
 
 
 class _Best:
@@ -241,7 +246,7 @@ def _visit(strata: list[_Stratum], queries: Queries, best: list[_Best]) -> None:
                 held.add(scores[good], strata[s].ids[good], strata[s].nulls[good])
 
 
-def _searching(held, k: int):
+def _searching(held, k: int, most_documents: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         queries, weights = held.value
         best = [_Best(k) for _ in queries.numbers]
@@ -252,7 +257,7 @@ def _searching(held, k: int):
                 row = {c: batch.column(c)[i].values for c in ("ids", "term", "tf", "size", "doc")}
                 strata.append(_Stratum(row | {"m": batch.column("m")[i].as_py()}, weights))
                 n += len(strata[-1].ids)
-                if n >= HELD_DOCUMENTS:
+                if n >= most_documents:
                     _visit(strata, queries, best)
                     strata, n = [], 0
         if strata:
@@ -310,7 +315,7 @@ def search(
         )
         held = spark.sparkContext.broadcast((queries, weights))
         strata = stage(index(made, n, total or 0), "search-index")
-        found.append(strata.mapInArrow(_searching(held, k), "q bigint, doc_id bigint, score bigint"))
+        found.append(strata.mapInArrow(_searching(held, k, HELD_DOCUMENTS), "q bigint, doc_id bigint, score bigint"))
     if not found:
         return placed.select(
             "item_id", F.lit(0).alias("rank"), F.lit(0).cast("bigint").alias("doc_id"),

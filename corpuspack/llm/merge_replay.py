@@ -229,7 +229,7 @@ class _Numbers(dict):
         return number
 
 
-def _encoding(path: str, pattern: str, n_kept: int):
+def _encoding(path: str, pattern: str, n_kept: int, most_bytes: int, most_words: int, long: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = load_ranks(path)
         replay, split = Replay(ranks), regex.compile(pattern)
@@ -237,7 +237,7 @@ def _encoding(path: str, pattern: str, n_kept: int):
         numbers, held, n_words = _Numbers(), [], 0
 
         def words_of(text: str) -> np.ndarray:
-            if len(text) <= LONG_TEXT:
+            if len(text) <= long:
                 found = map(numbers.__getitem__, split.findall(text))
             else:
                 found = (numbers[m.group()] for m in split.finditer(text))
@@ -278,7 +278,7 @@ def _encoding(path: str, pattern: str, n_kept: int):
                 words = words_of(data.decode("utf-8", "replace"))
                 held.append(([batch.column(c).slice(i, 1) for c in range(n_kept)], words))
                 n_words += len(words)
-                if numbers.size >= BLOCK_BYTES or n_words >= BLOCK_WORDS:
+                if numbers.size >= most_bytes or n_words >= most_words:
                     yield from encoded()
         if held:
             yield from encoded()
@@ -307,9 +307,8 @@ def encode(
         F.col("text").cast("binary").alias("t"),
     )
     kept = [f"k{i} {t}" for i, (_, t) in enumerate(held.dtypes[:-1])]
-    rows = held.mapInArrow(
-        _encoding(path, pattern, len(keep)), ", ".join([*kept, "n_tokens bigint, ids string"])
-    )
+    run = _encoding(path, pattern, len(keep), BLOCK_BYTES, BLOCK_WORDS, LONG_TEXT)
+    rows = held.mapInArrow(run, ", ".join([*kept, "n_tokens bigint, ids string"]))
     return rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "n_tokens", "ids")
 
 
