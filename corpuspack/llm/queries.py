@@ -12,6 +12,7 @@ from corpuspack.llm import (
     merge_replay,
     mixing,
     packing,
+    prefix_trie,
     quality_rules,
     sharding,
     simhash,
@@ -86,6 +87,11 @@ def op12_merge_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_replay.digests(tables(spark, sf_dir, "documents"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of the trie of conversations."""
+    return prefix_trie.trie(tables(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_quality_rules": op2_quality_rules,
@@ -99,6 +105,7 @@ QUERIES = {
     "op10_mixing": op10_mixing,
     "op11_lexical": op11_lexical,
     "op12_merge_replay": op12_merge_replay,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 
 ORACLE_SQL = {
@@ -106,4 +113,5 @@ ORACLE_SQL = {
     "op2_quality_rules": quality_rules.ORACLE,
     "op6_sharding": sharding.ORACLE,
     "op11_lexical": lexical.ORACLE,
+    "op13_prefix_trie": prefix_trie.ORACLE,
 }
