@@ -44,18 +44,20 @@ def fence_of(text: Column) -> Column:
     return F.repeat(F.lit("`"), fence_len(text))
 
 
+def section_opening(path: Column, fence: Column) -> Column:
+    """The line before fenced content."""
+    return F.concat(fence, language_of(path), F.lit("\n"))
+
+
+def section_closing(text: Column, fence: Column) -> Column:
+    """What comes after fenced content, on a line of its own."""
+    missing = (text != "") & ~ends_with_newline(text)
+    return F.concat(F.when(missing, "\n").otherwise(""), fence, F.lit("\n"))
+
+
 def text_section(path: Column, text: Column, fence: Column) -> Column:
     """Fenced content with a language, closed on a line of its own."""
-    missing = (text != "") & ~ends_with_newline(text)
-    return F.concat(
-        fence,
-        language_of(path),
-        F.lit("\n"),
-        text,
-        F.when(missing, "\n").otherwise(""),
-        fence,
-        F.lit("\n"),
-    )
+    return F.concat(section_opening(path, fence), text, section_closing(text, fence))
 
 
 def size_line(n_bytes: Column) -> Column:

@@ -101,14 +101,19 @@ def human_size(n_bytes: Column) -> Column:
     )
 
 
-def count_tokens_approx(text: Column) -> Column:
-    """1.3 tokens per word run or other non-space byte, cut to a whole number.
+def word_units(bytes_text: Column) -> Column:
+    """How many word runs and other non-space bytes there are.
 
     What is left after dropping white space and all but the last character of
     every word run has one byte per counted unit. Java's ``\\w`` and ``\\s`` are ASCII.
     """
-    kept = F.regexp_replace(as_bytes_text(text), r"\w+(?=\w)|\s+", "")
-    return F.floor(F.length(kept) * F.lit(fixed.TOKENS_PER_WORD)).cast("bigint")
+    return F.length(F.regexp_replace(bytes_text, r"\w+(?=\w)|\s+", ""))
+
+
+def count_tokens_approx(text: Column) -> Column:
+    """1.3 tokens per word run or other non-space byte, cut to a whole number."""
+    units = word_units(as_bytes_text(text))
+    return F.floor(units * F.lit(fixed.TOKENS_PER_WORD)).cast("bigint")
 
 
 def count_tokens_bytes(text: Column) -> Column:

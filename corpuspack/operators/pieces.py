@@ -1,9 +1,14 @@
 """A document as ordered pieces.
 
-A piece is a row ``(repo, section, key, kind, text, counted)``. Ordering by
-``(section, key)`` within a repository gives the document; ``counted`` holds the
+A piece is a row ``(repo, section, key, nth, kind, text, counted)``. Ordering by
+``(section, key, nth)`` within a repository gives the document; ``counted`` holds the
 texts whose size and tokens count, each counted on its own. A file section is one
-piece, and every piece ends with a newline.
+piece, or one for each chunk of a file that is larger than a chunk. Every piece ends with
+a newline, but for chunks that end within a line longer than a chunk.
+
+What counts of a file of several chunks is in ``more_bytes`` and, as words go over
+edges, in ``more_tokens`` of its first piece. ``line`` is the chunk in which the line
+begins that a piece begins with, null for all other pieces.
 """
 
 from __future__ import annotations
@@ -19,11 +24,21 @@ from corpuspack.functions.text import (
     count_tokens_approx,
     count_tokens_bytes,
 )
+from corpuspack.operators.chunks import is_whole
 from corpuspack.operators.ordering import running_totals
 from corpuspack.operators.tokens import Vocabulary, count_tokens_vocab
 
 SUMMARY, TITLE, STRUCTURE, TREE, TREE_END, CONTENTS, FILE = range(7)
-KEY = ["repo", "section", "key"]
+KEY = ["repo", "section", "key", "nth"]
+
+
+def _plain() -> list[Column]:
+    """Columns of a piece that is not a chunk."""
+    return [
+        F.lit(0).cast("bigint").alias("more_bytes"),
+        F.lit(0).cast("bigint").alias("more_tokens"),
+        F.lit(None).cast("int").alias("line"),
+    ]
 
 
 def _pieces(
@@ -33,9 +48,11 @@ def _pieces(
         "repo",
         F.lit(section).alias("section"),
         key.alias("key"),
+        F.lit(0).alias("nth"),
         (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"),
         text.alias("text"),
         counted.cast("array<string>").alias("counted"),
+        *_plain(),
     )
 
 
@@ -74,9 +91,11 @@ def frame_pieces(repos: DataFrame, structure_only: bool = False) -> DataFrame:
         "repo",
         "f.section",
         F.lit("").alias("key"),
+        F.lit(0).alias("nth"),
         F.lit("frame").alias("kind"),
         "f.text",
         "f.counted",
+        *_plain(),
     )
 
 
@@ -111,6 +130,16 @@ def routed_files(files: DataFrame) -> DataFrame:
     )
 
 
+def routed_chunks(chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """A row for each file that is given in chunks: ``repo, path, n_bytes, kind``."""
+    own = F.when(is_whole(), content_kind(F.col("path"), F.col("content")))
+    return (
+        chunks.filter("chunk = 0")
+        .join(facts, ["repo", "path"], "left")
+        .select("repo", "path", F.col("size").alias("n_bytes"), F.coalesce("f_kind", own).alias("kind"))
+    )
+
+
 def rendered_files(files: DataFrame) -> DataFrame:
     """Routed files with heading, rendered body and counted texts."""
     kind, path, text = F.col("kind"), F.col("path"), F.col("_text")
@@ -145,12 +174,60 @@ def file_pieces(files: DataFrame) -> DataFrame:
     )
 
 
+def chunk_pieces(chunks: DataFrame, facts: DataFrame) -> DataFrame:
+    """The sections of files that are given in chunks; ``facts`` of those of several.
+
+    A chunk is rendered where it is read: of other chunks it needs only the narrow facts.
+    Of a file that is not text, the first chunk gives the note and the others nothing.
+    """
+    path, content, text = F.col("path"), F.col("content"), F.col("content").cast("string")
+    own = F.when(is_whole(), content_kind(path, content))
+    rows = chunks.join(facts, ["repo", "path"], "left").withColumn("kind", F.coalesce("f_kind", own))
+    rows = rows.filter((F.col("kind") == "text") | (F.col("chunk") == 0))
+    kind, first, whole = F.col("kind"), F.col("chunk") == 0, is_whole()
+    heading = render.heading(path)
+    fence = F.when(whole, render.fence_of(text)).otherwise(F.repeat(F.lit("`"), F.col("f_fence")))
+    opening = F.when(first, F.concat(heading, render.section_opening(path, fence))).otherwise("")
+    closing = F.when(F.col("last"), F.concat(render.section_closing(text, fence), F.lit("\n"))).otherwise("")
+    size = render.size_line(F.col("size"))
+    note = F.when(kind == "error", fixed.ERROR_NOTE).otherwise(render.binary_section(size))
+    is_text = kind == "text"
+    counted = (
+        F.when(~is_text | whole, render.counted_texts(kind, heading, text, size))
+        .when(first, F.array(heading))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    split = is_text & ~whole
+    zero = F.lit(0).cast("bigint")
+    return rows.select(
+        "repo",
+        F.lit(FILE).alias("section"),
+        sort_key(path).alias("key"),
+        F.col("chunk").alias("nth"),
+        "kind",
+        F.when(is_text, F.concat(opening, text, closing)).otherwise(F.concat(heading, note, F.lit("\n"))).alias("text"),
+        counted.alias("counted"),
+        F.when(split, F.octet_length(content).cast("bigint")).otherwise(zero).alias("more_bytes"),
+        F.when(split & first, F.col("f_tokens")).otherwise(zero).alias("more_tokens"),
+        F.when(split, F.col("line")).alias("line"),
+    )
+
+
 def body_pieces(
-    repos: DataFrame, entries: DataFrame, files: DataFrame, structure_only: bool = False
+    repos: DataFrame,
+    entries: DataFrame,
+    files: DataFrame,
+    structure_only: bool = False,
+    facts: DataFrame | None = None,
 ) -> DataFrame:
-    """All pieces but the summary. Without contents, file contents are not read."""
+    """All pieces but the summary. Without contents, file contents are not read.
+
+    ``files`` are whole, or in chunks if ``facts`` of those are given.
+    """
     pieces = frame_pieces(repos, structure_only).unionByName(tree_pieces(entries))
-    return pieces if structure_only else pieces.unionByName(file_pieces(files))
+    if structure_only:
+        return pieces
+    return pieces.unionByName(file_pieces(files) if facts is None else chunk_pieces(files, facts))
 
 
 def summary_pieces(stats: DataFrame, split: bool) -> DataFrame:
@@ -181,18 +258,21 @@ def ledger(pieces: DataFrame, token_mode: str, vocab: DataFrame | None = None) -
         )
 
     inner = (
-        F.when(F.col("section") == FILE, F.col("text").contains("\n" + fixed.FILE_MARKER))
+        F.when(F.col("line").isNotNull(), True)
+        .when(F.col("section") == FILE, F.col("text").contains("\n" + fixed.FILE_MARKER))
         .when(F.col("section") == TREE, ~F.rlike("text", F.lit(r"^[^\n]*\n\z")))
         .otherwise(True)
     )
     sizes = [
         "kind",
         F.octet_length("text").cast("bigint").alias("n_bytes"),
-        total(F.octet_length).alias("counted_bytes"),
+        (total(F.octet_length) + F.col("more_bytes")).alias("counted_bytes"),
         inner.alias("inner"),
+        "line",
     ]
+    more = F.col("more_tokens")
     if tokens is not None:
-        return pieces.select(*KEY, *sizes, total(tokens).alias("tokens"))
+        return pieces.select(*KEY, *sizes, (total(tokens) + more).alias("tokens"))
     if vocab is None:
         raise ValueError("token_mode 'vocab' needs a vocabulary table")
     counts = count_tokens_vocab(
@@ -202,9 +282,10 @@ def ledger(pieces: DataFrame, token_mode: str, vocab: DataFrame | None = None) -
         Vocabulary(vocab),
     )
     return (
-        pieces.select(*KEY, *sizes)
+        pieces.select(*KEY, *sizes, "more_tokens")
         .join(counts, KEY, "left")
-        .withColumn("tokens", F.coalesce("tokens", F.lit(0)))
+        .withColumn("tokens", F.coalesce("tokens", F.lit(0)) + more)
+        .drop("more_tokens")
     )
 
 
@@ -220,11 +301,30 @@ def piece_offsets(sizes: DataFrame) -> DataFrame:
     return running_totals(
         sizes,
         "repo",
-        ["section", "key"],
+        ["section", "key", "nth"],
         {"ord": F.lit(1), "start": F.col("n_bytes")},
     )
 
 
+def whole_lines(offsets: DataFrame) -> DataFrame:
+    """Add ``line_start``: where the piece starts that has the start of a piece's first line.
+
+    Only pieces that start within a line are joined, with pieces of the same file.
+    """
+    within = (F.col("line") < F.col("nth")) & F.col("line").isNotNull()
+    begins = offsets.select(
+        *KEY[:3], F.col("nth").alias("line"), F.col("start").alias("line_start")
+    )
+    joined = offsets.filter(within).join(begins, [*KEY[:3], "line"])
+    rest = offsets.filter(~within).withColumn("line_start", F.col("start"))
+    return rest.unionByName(joined.select(*rest.columns))
+
+
+def line_start_of(placed: DataFrame) -> str:
+    """The column with the start of a piece's first line."""
+    return "line_start" if "line_start" in placed.columns else "start"
+
+
 def place(pieces: DataFrame, offsets: DataFrame) -> DataFrame:
     """Texts with their offsets."""
     return pieces.select(*KEY, "text").join(offsets, KEY)
@@ -235,10 +335,11 @@ def assemble_document(placed: DataFrame, block_bytes: int) -> DataFrame:
 
     A block holds the whole pieces that start within the same ``block_bytes``, so
     a row stays bounded however long a document gets; a document that fits is one
-    row. Blocks in order, joined, are the document.
+    row. Blocks in order, joined, are the document. A block begins with a line, so a line
+    is within one row, however many chunks it has.
     """
     return (
-        placed.withColumn("block", F.floor(F.col("start") / block_bytes))
+        placed.withColumn("block", F.floor(F.col(line_start_of(placed)) / block_bytes))
         .groupBy("repo", "block")
         .agg(
             F.min("start").alias("start"),

@@ -75,24 +75,35 @@ def _line_starts(placed: DataFrame, *keep: str) -> DataFrame:
     Positions come from a window over the lines of one piece. Only the length
     and the look of a line go through that shuffle, not its text.
     """
-    line = F.col("line")
+    line, within = F.col("line"), F.lit(False)
+    if "line" in placed.columns:  # of chunks: the one their first line begins in
+        within = F.coalesce(line < F.col("nth"), within)
     in_piece = Window.partitionBy("repo", "start").orderBy("i").rowsBetween(
         Window.unboundedPreceding, -1
     )
     return (
         placed.withColumn("_lines", F.split(as_bytes_text(F.col("text")), "\n"))
+        .withColumn("_within", within)
         .select(
             "repo",
             "start",
+            "_within",
             *{"doc_bytes", *keep},
-            # every piece ends with a newline, so its last element is empty and no line
-            F.posexplode(F.slice("_lines", F.lit(1), F.size("_lines") - 1)).alias("i", "line"),
+            # where a piece ends with a newline, its last element is empty and no line
+            F.posexplode(
+                F.slice(
+                    "_lines",
+                    F.lit(1),
+                    F.size("_lines") - F.endswith("text", F.lit("\n")).cast("int"),
+                )
+            ).alias("i", "line"),
         )
         .select(
             "repo",
             "start",
             *{"doc_bytes", *keep},
             "i",
+            "_within",
             F.length(line).alias("length"),
             F.substring(line, 1, len(_MARKER)).alias("line"),
         )
@@ -101,6 +112,7 @@ def _line_starts(placed: DataFrame, *keep: str) -> DataFrame:
             F.col("start")
             + F.coalesce(F.sum(F.col("length") + 1).over(in_piece), F.lit(0)),
         )
+        .filter((F.col("i") > 0) | ~F.col("_within"))
         .select(
             "repo",
             "pos",
@@ -153,6 +165,7 @@ def _useful_candidates(
         (F.col("section") == FILE)
         & F.lit(limit >= 2 * fixed.NEWLINE_WINDOW)
         & (F.col("n_bytes") <= (limit + 1) // 2)
+        & F.col("line").isNull()
     )
     by_offset = (short_file | (F.col("section") == TREE)) & ~F.col("inner")
     starts = near.filter(by_offset).select(

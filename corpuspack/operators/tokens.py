@@ -67,15 +67,21 @@ def _looked_up_chunks(
     text: str,
     vocabulary: Vocabulary,
     merged: Callable[[Column], Column] | None,
+    whole_texts: bool = True,
 ) -> DataFrame:
     """``(keys, pos, chunk_pos, chunk, id)``; ``id`` is NULL if only bytes are left to try.
 
-    A pretoken found as a whole is its own only chunk.
+    A pretoken found as a whole is its own only chunk. Without ``whole_texts``, the texts
+    are parts of others, and none is a special token.
     """
     first = vocabulary.whole if merged is None else vocabulary.special
     cut = fallback_chunks if merged is None else merged
     whole = texts.select(*keys, as_bytes_text(F.col(text)).alias("_text"))
-    units = _look_up(whole, F.col("_text"), vocabulary.special, "special_id").select(
+    if whole_texts:
+        whole = _look_up(whole, F.col("_text"), vocabulary.special, "special_id")
+    else:
+        whole = whole.withColumn("special_id", F.lit(None))
+    units = whole.select(
         *keys,
         F.posexplode(
             F.when(F.col("special_id").isNotNull(), F.array("_text")).otherwise(
@@ -122,9 +128,10 @@ def count_tokens_vocab(
     text: str,
     vocabulary: Vocabulary,
     merged: Callable[[Column], Column] | None = None,
+    whole_texts: bool = True,
 ) -> DataFrame:
     """Number of tokens per key; empty texts get no row."""
-    chunks = _looked_up_chunks(texts, keys, text, vocabulary, merged)
+    chunks = _looked_up_chunks(texts, keys, text, vocabulary, merged, whole_texts)
     price = F.when(F.col("id").isNotNull(), 1).otherwise(
         vocabulary.known_bytes(F.col("chunk"))
     )

@@ -406,6 +406,9 @@ QUERIES: dict[str, str] = {
     "corpus_entries_pages": "SELECT repo, path, is_dir, (len(string_split(path, '/')) - 1)::BIGINT AS depth FROM page_entries",
     "scan_tree": "SELECT repo, path, is_dir, (len(string_split(path, '/')) - 1)::BIGINT AS depth FROM shown",
     "read_contents": "SELECT repo, path, n_bytes, kind FROM kinds",
+    "chunked_stats": "SELECT repo, total_size, total_tokens FROM stats",
+    "chunked_split_points": "SELECT repo, n::BIGINT AS split_no, cur AS cut FROM walked WHERE n > 0",
+    "chunked_reconstruct": "SELECT repo, path, content FROM rebuilt",
     "load_ignore_rules": "SELECT repo, rule_ord::BIGINT AS rule_ord, pattern FROM patterns",
     "compile_rules": "SELECT repo, rule_ord::BIGINT AS rule_ord, pattern, negation, anchored, dir_only, regex FROM rules_plus",
     "match_rules": "SELECT repo, path, ignored FROM verdicts",

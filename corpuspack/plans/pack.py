@@ -7,10 +7,10 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuspack import schemas
+from corpuspack import fixed, schemas
 from corpuspack.functions.paths import in_vcs_dir
 from corpuspack.operators import entries as entries_op
-from corpuspack.operators import ignore, pieces, split
+from corpuspack.operators import chunks, ignore, pieces, split
 from corpuspack.options import PackOptions
 from corpuspack.sources.staging import stage
 
@@ -34,15 +34,29 @@ class Pack:
     ) -> None:
         """``files`` is ``(repo, path, content)``; ``repos`` may add a ``directory``.
 
-        ``entries`` gives the listing where it holds more than ``files`` tells,
+        Files of any size are given in chunks, as ``read_contents`` and ``cut_contents``
+        make them. ``entries`` gives the listing where it holds more than ``files`` tells,
         such as empty directories.
         """
         self.files = files
+        self._chunked = "chunk" in files.columns
         self.options = options or PackOptions()
         self.vocab = vocab
         self._given_repos = repos
         self._given_entries = entries
 
+    @cached_property
+    def _names(self) -> DataFrame:
+        """A row for each file."""
+        return self.files.filter("chunk = 0") if self._chunked else self.files
+
+    @cached_property
+    def _ignore_files(self) -> DataFrame:
+        """The files that may hold rules, whole."""
+        if not self._chunked:
+            return self.files
+        return chunks.join_contents(self.files.filter(F.col("path") == fixed.IGNORE_FILE))
+
     @cached_property
     def repos(self) -> DataFrame:
         """The repositories to document."""
@@ -54,10 +68,10 @@ class Pack:
     def rules(self) -> DataFrame:
         """Compiled rules: those of the ignore files, then the caller's."""
         if self.options.use_ignore_files:
-            patterns = ignore.load_ignore_rules(self.files)
+            patterns = ignore.load_ignore_rules(self._ignore_files)
         else:
             patterns = self.files.sparkSession.createDataFrame([], schemas.PATTERNS)
-        repos = self.files if self._given_repos is None else self._given_repos
+        repos = self._names if self._given_repos is None else self._given_repos
         return ignore.compile_rules(
             ignore.extra_ignores(patterns, repos, self.options.extra_patterns)
         )
@@ -66,7 +80,7 @@ class Pack:
     def matchers(self) -> DataFrame:
         """One regex per repository that has rules."""
         if self.options.use_ignore_files and not self.options.extra_patterns:
-            return stage(ignore.file_matchers(self.files), "matchers")
+            return stage(ignore.file_matchers(self._ignore_files), "matchers")
         return stage(ignore.ignore_matchers(self.rules), "matchers")
 
     @cached_property
@@ -78,7 +92,7 @@ class Pack:
         """
         found = self._given_entries
         if found is None:
-            found = entries_op.entries(self.files)
+            found = entries_op.entries(self._names)
         marked = ignore.mark_kept(found, self.matchers)
         if not self.options.include_vcs:
             marked = marked.withColumn("kept", F.col("kept") & ~in_vcs_dir(F.col("path")))
@@ -110,14 +124,22 @@ class Pack:
         repos = self.repos
         if self._given_repos is not None:
             repos = repos.join(self.listing.select("repo").distinct(), "repo", "left_semi")
-        return pieces.body_pieces(
-            repos, self.entries, self.visible_files, self.options.structure_only
-        )
+        only = self.options.structure_only
+        facts = self._facts if self._chunked and not only else None
+        return pieces.body_pieces(repos, self.entries, self.visible_files, only, facts)
+
+    @property
+    def _token_mode(self) -> str:
+        return self.options.token_mode or ("approx" if self.vocab is None else "vocab")
+
+    @cached_property
+    def _facts(self) -> DataFrame:
+        """What is known of files of several chunks."""
+        return stage(chunks.file_facts(self.visible_files, self._token_mode, self.vocab), "facts")
 
     @cached_property
     def ledger(self) -> DataFrame:
-        mode = self.options.token_mode or ("approx" if self.vocab is None else "vocab")
-        return stage(pieces.ledger(self.body, mode, self.vocab), "ledger")
+        return stage(pieces.ledger(self.body, self._token_mode, self.vocab), "ledger")
 
     @cached_property
     def stats(self) -> DataFrame:
@@ -135,8 +157,9 @@ class Pack:
             *pieces.KEY,
             F.octet_length("text").cast("bigint").alias("n_bytes"),
             F.lit(True).alias("inner"),
+            "line",
         )
-        return self.ledger.select(*pieces.KEY, "n_bytes", "inner").unionByName(summary)
+        return self.ledger.select(*pieces.KEY, "n_bytes", "inner", "line").unionByName(summary)
 
     @cached_property
     def policy(self) -> DataFrame:
@@ -158,7 +181,10 @@ class Pack:
     @cached_property
     def offsets(self) -> DataFrame:
         """Position and offset of every piece that is written."""
-        return stage(pieces.piece_offsets(self._governed(self._sizes)), "offsets")
+        offsets = pieces.piece_offsets(self._governed(self._sizes))
+        if self._chunked:
+            offsets = pieces.whole_lines(stage(offsets, "piece-offsets"))
+        return stage(offsets, "offsets")
 
     @cached_property
     def _texts(self) -> DataFrame:

@@ -11,6 +11,7 @@ from corpuspack import fixed
 from corpuspack.functions import paths, render, text
 from corpuspack.operators import entries as entries_op
 from corpuspack.operators import (
+    chunks,
     ignore,
     lint,
     merges,
@@ -28,6 +29,7 @@ from corpuspack.plans.settings import (
     LIMIT_MB,
     MAX_SPLITS,
     OVERSIZE_MB,
+    SMALL_CHUNK,
     SMALL_MAX_SPLITS,
     SPECIAL_ID,
 )
@@ -107,8 +109,36 @@ def scan_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def read_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = tree.read_contents(_scanned(spark, sf_dir))
-    return pieces.routed_files(files).select("repo", "path", "n_bytes", "kind")
+    """Size and kind of every file of a directory tree, read in small chunks."""
+    files = tree.read_contents(stage(_scanned(spark, sf_dir), "scanned"), SMALL_CHUNK)
+    facts = stage(chunks.file_facts(files, "approx"), "facts")
+    return pieces.routed_chunks(files, facts)
+
+
+def _chunked(spark: SparkSession, sf_dir: str, **options) -> Pack:
+    """The document files in small chunks, most of them several."""
+    files = chunks.cut_contents(corpora.document_files(spark, sf_dir), SMALL_CHUNK)
+    return Pack(stage(files, "chunks"), PackOptions(**options))
+
+
+@query
+def chunked_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of documents whose files come in chunks."""
+    return _chunked(spark, sf_dir).stats
+
+
+@query
+def chunked_split_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cuts of documents whose files come in chunks."""
+    pack = _chunked(spark, sf_dir, split=True, limit_mb=LIMIT_MB, max_splits=MAX_SPLITS)
+    return _big(pack.split_points(), "split_no")
+
+
+@query
+def chunked_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files out of documents whose files came in chunks."""
+    documents = _chunked(spark, sf_dir, block_bytes=BLOCK_BYTES).documents()
+    return unpack.unpack_documents(stage(documents, "documents"))
 
 
 @query

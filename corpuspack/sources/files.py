@@ -6,16 +6,23 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuspack import fixed
+from corpuspack.operators.chunks import (
+    CHUNK_BYTES,
+    CHUNK_SCHEMA,
+    CHUNKS,
+    cut_stream,
+    join_contents,
+)
 from corpuspack.operators.entries import filter_vcs
 from corpuspack.operators.ignore import prune
 from corpuspack.sources.staging import stage
 
 _LISTING = "repo string, root string, path string, is_dir boolean, size bigint"
-MAX_CONTENT = 1 << 30  # a larger file is listed with its size only
 
 
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,34 +85,36 @@ def scan_tree(
         depth += 1
 
 
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        # one file at a time, so that a batch never holds many contents
-        for row in batch.itertuples(index=False):
-            head = content = None
-            if row.size <= MAX_CONTENT:
-                try:
-                    with open(os.path.join(row.root, row.path), "rb") as f:
-                        head = f.read(fixed.SNIFF_BYTES)
-                        content = head + f.read()
-                except OSError:
-                    content = None
-            yield pd.DataFrame(
-                [(row.repo, row.path, content, head, row.size)],
-                columns=["repo", "path", "content", "head", "size"],
-            )
+def read_contents(entries: DataFrame, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """Files of scanned entries in chunks ``(repo, path, chunk, start, last, line, content, size)``.
 
+    A task holds one chunk at a time, whatever the size of a file. An unreadable file is one
+    chunk without content and becomes binary; if only the rest of a file cannot be read,
+    it becomes an error.
+    """
 
-def read_contents(entries: DataFrame) -> DataFrame:
-    """Files ``(repo, path, content, head, size)`` of scanned entries.
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                for chunk, start, last, line, content in _file_chunks(row, chunk_bytes):
+                    part = {
+                        "repo": row["repo"], "path": row["path"], "chunk": chunk, "start": start,
+                        "last": last, "line": line, "content": content, "size": row["size"],
+                    }
+                    yield pa.RecordBatch.from_pylist([part], schema=CHUNK_SCHEMA)
 
-    Unreadable files, and files too large for a row, have no content and become
-    binary; if only the rest of a file cannot be read, it becomes an error.
-    """
     files = entries.filter(~F.col("is_dir")).select("repo", "root", "path", "size")
-    return files.repartition(F.xxhash64("repo", "path")).mapInPandas(
-        _read_files, "repo string, path string, content binary, head binary, size bigint"
-    )
+    return files.repartition(F.xxhash64("repo", "path")).mapInArrow(read, CHUNKS)
+
+
+def _file_chunks(row: dict, chunk_bytes: int) -> Iterator[tuple]:
+    try:
+        stream = open(os.path.join(row["root"], row["path"]), "rb")
+    except OSError:
+        yield 0, 0, True, 0, None
+        return
+    with stream:
+        yield from cut_stream(stream, chunk_bytes)
 
 
 def read_ignore_files(roots: DataFrame) -> DataFrame:
@@ -117,6 +126,4 @@ def read_ignore_files(roots: DataFrame) -> DataFrame:
         F.lit(0).cast("bigint").alias("size"),
         F.lit(False).alias("is_dir"),
     )
-    return read_contents(listed).filter(F.col("content").isNotNull()).select(
-        "repo", "path", "content"
-    )
+    return join_contents(read_contents(listed).filter(F.col("content").isNotNull()))

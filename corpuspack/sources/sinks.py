@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuspack import fixed
+from corpuspack.operators.pieces import line_start_of
 
 
 def _without_last_newline(text: Column) -> Column:
@@ -29,10 +30,15 @@ def write_pack(placed: DataFrame, path: str, block_bytes: int = 64 * fixed.MEGAB
     the blocks of a large document are written by different tasks. Its files, in
     the order of their blocks, are the document.
     """
-    block = F.format_string("%09d", F.floor(F.col("start") / block_bytes))  # longer ones stay whole
+    start = line_start_of(placed)
+    block = F.format_string("%09d", F.floor(F.col(start) / block_bytes))  # longer ones stay whole
+    rows = placed.select("repo", block.alias("block"), F.col(start).alias("at"), "start", "text")
+    rows = rows.repartition("repo", "block")
+    if start != "start":  # the writer takes a row for a line
+        parts = rows.groupBy("repo", "block", "at")
+        rows = parts.agg(F.expr("listagg(text, '') WITHIN GROUP (ORDER BY start)").alias("text"))
     (
-        placed.select("repo", block.alias("block"), "start", "text")
-        .repartition("repo", "block")
+        rows.withColumn("start", F.col("at"))
         .sortWithinPartitions("repo", "block", "start")
         # the writer ends every line itself
         .select("repo", "block", _without_last_newline(F.col("text")).alias("value"))
