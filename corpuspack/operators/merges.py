@@ -1,69 +1,182 @@
-"""Rank-greedy pair merging, for vocabularies that come with a merge table."""
+"""Rank-greedy pair merging, for vocabularies that come with a merge table.
 
-from __future__ import annotations
+Only distinct pretokens are merged, and the merge table is joined, never collected. Short
+ones go in rounds: each joins the pairs of neighbours with the table, takes the least rank
+of every pretoken, and merges that pair wherever it stands. For long ones, one join of
+their substrings with what merges make gives all merges that can take part, and a heap
+over a linked list applies them within the row.
+
+Inside, a pretoken is text of one character per byte, and its parts are hex digits in angle
+brackets: ``<61><6263>``.
+"""
 
-from collections.abc import Callable, Iterator
+from __future__ import annotations
 
+import heapq
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_MERGES = 4_000_000
-CACHE_SIZE = 200_000
-
-
-def merge_ranks(merges: DataFrame) -> dict[tuple[bytes, bytes], int]:
-    """The merge table as a lookup for tasks; refuses one that is not small."""
-    rows = merges.select("first", "second", "rank").limit(MAX_MERGES + 1).collect()
-    if len(rows) > MAX_MERGES:
-        raise ValueError(f"a merge table may have at most {MAX_MERGES} rows")
-    ranks: dict[tuple[bytes, bytes], int] = {}
-    for row in sorted(rows, key=lambda r: r["rank"]):
-        ranks.setdefault((bytes(row["first"]), bytes(row["second"])), row["rank"])
-    return ranks
-
-
-def _merged(token: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
-    parts = [bytes([b]) for b in token]
-    while len(parts) > 1:
-        ranked = [(ranks[pair], pair) for pair in zip(parts, parts[1:]) if pair in ranks]
-        if not ranked:
-            break
-        best = min(ranked, key=lambda r: r[0])[1]
-        out: list[bytes] = []
-        for part in parts:
-            # a pair just joined is longer than its first half, so it cannot pair again
-            if out and (out[-1], part) == best:
-                out[-1] += part
-            else:
-                out.append(part)
-        parts = out
-    return parts
-
-
-def merge_chunks(merges: DataFrame) -> Callable[[Column], Column]:
-    """A column function: pretoken to the array of its merged chunks.
-
-    Both have one character per byte. Each task keeps what it has already merged,
-    so a frequent pretoken is worked out once per task and nothing is joined back.
+from corpuspack.functions.text import single_bytes
+from corpuspack.operators.tokens import Vocabulary
+from corpuspack.sources.staging import stage
+
+SHORT = 32  # bytes; a pretoken of so many has fewer rounds than that
+
+
+def _digits(text: Column) -> Column:
+    return F.hex(F.encode(text, "ISO-8859-1"))
+
+
+def _parts(state: Column) -> Column:
+    return F.split(F.regexp_replace(state, "^<|>$", ""), "><")
+
+
+def _keyed(merges: DataFrame) -> DataFrame:
+    """The merge table in hex; of equal pairs, the least rank."""
+    keyed = merges.groupBy(F.hex("first").alias("first"), F.hex("second").alias("second"))
+    return stage(keyed.agg(F.min("rank").alias("rank")), "merges")
+
+
+def _in_rounds(units: DataFrame, table: DataFrame) -> DataFrame:
+    """``(unit, state)`` of short pretokens, each round staged."""
+    start = F.concat_ws("", F.transform(single_bytes(F.col("unit")), lambda b: F.concat(F.lit("<"), _digits(b), F.lit(">"))))
+    open_, done = stage(units.select("unit", start.alias("state")), "merging"), []
+    while not open_.isEmpty():
+        parts = open_.select("unit", "state", _parts(F.col("state")).alias("p"))
+        neighbours = F.arrays_zip(
+            F.slice("p", F.lit(1), F.size("p") - 1).alias("first"), F.slice("p", 2, SHORT).alias("second")
+        )
+        pairs = parts.select("unit", "state", F.posexplode(neighbours).alias("at", "pair"))
+        best = (
+            pairs.select("unit", "state", "at", "pair.*")
+            .join(table, ["first", "second"])
+            .groupBy("unit", "state")
+            .agg(F.min(F.struct("rank", "at", "first", "second")).alias("b"))
+        )
+        apart = F.concat(F.lit("<"), F.col("b.first"), F.lit("><"), F.col("b.second"), F.lit(">"))
+        joined = F.concat(F.lit("<"), F.col("b.first"), F.col("b.second"), F.lit(">"))
+        merged = stage(
+            open_.join(best, ["unit", "state"], "left").select(
+                "unit",
+                # from the left, each part in one pair only
+                F.when(F.col("b").isNull(), F.col("state")).otherwise(F.replace("state", apart, joined)).alias("state"),
+                F.col("b").isNotNull().alias("more"),
+            ),
+            "merging",
+        )
+        done.append(merged.filter("NOT more").drop("more"))
+        open_ = merged.filter("more").drop("more")
+    found = units.select("unit", F.lit("").alias("state")).limit(0)
+    for part in done:
+        found = found.unionByName(part)
+    return found
+
+
+def merge_with_heap(token: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list[bytes]:
+    """The parts of a pretoken: the pair of least rank, the first one of it, merged everywhere.
+
+    A list of neighbours and a heap of pairs, so nothing is looked at again that did not change.
     """
-    ranks = merges.sparkSession.sparkContext.broadcast(merge_ranks(merges))
-
-    def cut(unit: str) -> list[str]:
-        return [part.decode("latin-1") for part in _merged(unit.encode("latin-1"), ranks.value)]
-
-    @F.arrow_udf("array<string>")
-    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        cache: dict[str, list[str]] = {}
-        for batch in batches:
-            if len(cache) > CACHE_SIZE:
-                cache.clear()
-            coded = batch.dictionary_encode()
-            units = coded.dictionary.to_pylist()
-            for unit in units:
-                if unit is not None and unit not in cache:
-                    cache[unit] = cut(unit)
-            chunks = pa.array([cache.get(u) for u in units], pa.list_(pa.string()))
-            yield chunks.take(coded.indices)
-
-    return apply
+    parts: list[bytes | None] = [token[i : i + 1] for i in range(len(token))]
+    after = [*range(1, len(parts)), -1] if parts else []
+    before = list(range(-1, len(parts) - 1))
+    heap: list[tuple[int, int]] = []
+
+    def rank_at(i: int) -> int | None:
+        if parts[i] is None or after[i] < 0:
+            return None
+        return ranks.get((parts[i], parts[after[i]]))
+
+    def push(i: int) -> None:
+        if (rank := rank_at(i)) is not None:
+            heapq.heappush(heap, (rank, i))
+
+    for i in range(len(parts)):
+        push(i)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        if rank_at(i) != rank:
+            continue  # changed meanwhile
+        pair, merged, others = (parts[i], parts[after[i]]), [], []
+        while True:
+            if rank_at(i) == rank:
+                if (parts[i], parts[after[i]]) == pair:
+                    j = after[i]
+                    parts[i], parts[j], after[i] = b"".join(pair), None, after[j]
+                    if after[j] >= 0:
+                        before[after[j]] = i
+                    merged.append(i)
+                else:
+                    others.append(i)
+            if not heap or heap[0][0] != rank:
+                break
+            i = heapq.heappop(heap)[1]
+        for i in merged:
+            push(i)
+            if before[i] >= 0:
+                push(before[i])
+        for i in others:
+            push(i)
+    return [p for p in parts if p is not None]
+
+
+def _with_heap(units: DataFrame, table: DataFrame) -> DataFrame:
+    """``(unit, state)`` of long pretokens."""
+    made = table.withColumn("made", F.concat("first", "second"))
+    made = stage(made.withColumn("n", (F.length("made") / 2).cast("int")), "made")
+    sizes = made.select("n").distinct()  # no more than there are lengths of tokens
+    places = units.join(F.broadcast(sizes.agg(F.array_sort(F.collect_set("n")).alias("sizes")))).select(
+        "unit", F.explode("sizes").alias("n")
+    )
+    substrings = places.filter(F.length("unit") >= F.col("n")).select(
+        "unit",
+        F.explode(
+            F.array_distinct(
+                F.transform(
+                    F.sequence(F.lit(1), F.length("unit") - F.col("n") + 1),
+                    lambda i: _digits(F.substr("unit", i, F.col("n"))),
+                )
+            )
+        ).alias("made"),
+    )
+    able = (
+        substrings.join(made, "made")
+        .groupBy("unit")
+        .agg(F.collect_list(F.struct("first", "second", "rank")).alias("merges"))
+    )
+
+    @F.arrow_udf("string")
+    def state(unit: pa.Array, merges: pa.Array) -> pa.Array:
+        out = []
+        for u, m in zip(unit.to_pylist(), merges.to_pylist()):
+            ranks = {
+                (bytes.fromhex(r["first"]), bytes.fromhex(r["second"])): r["rank"] for r in m or []
+            }
+            parts = merge_with_heap(u.encode("latin-1"), ranks)
+            out.append("".join(f"<{p.hex().upper()}>" for p in parts))
+        return pa.array(out, pa.string())
+
+    return units.join(able, "unit", "left").select("unit", state("unit", "merges").alias("state"))
+
+
+def merged_units(units: DataFrame, merges: DataFrame, short: int = SHORT) -> DataFrame:
+    """``(unit, chunks)`` of distinct pretokens ``unit``, both of one character per byte.
+
+    ``merges`` is ``(first, second, rank)``; of pairs of equal rank, the first one goes first.
+    """
+    table = _keyed(merges)
+    is_short = F.length("unit") <= short
+    states = _in_rounds(units.filter(is_short), table).unionByName(_with_heap(units.filter(~is_short), table))
+    chunks = F.transform(_parts(F.col("state")), lambda h: F.decode(F.unhex(h), "ISO-8859-1"))
+    return states.select("unit", chunks.alias("chunks"))
+
+
+def dictionary_ids(merges: DataFrame, vocabulary: Vocabulary):
+    """A function from distinct pretokens ``unit`` to ``(unit, packed)``, their ids by the merge table."""
+
+    def look_up(units: DataFrame) -> DataFrame:
+        chunks = merged_units(units, merges).select("unit", F.posexplode("chunks").alias("chunk_pos", "chunk"))
+        return vocabulary.packed_ids(chunks)
+
+    return look_up

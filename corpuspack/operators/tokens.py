@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuspack.functions.text import (
@@ -25,6 +25,14 @@ from corpuspack.functions.text import (
     single_bytes,
 )
 from corpuspack.operators.joins import small_enough
+from corpuspack.sources.staging import stage
+
+BLOCK_UNITS = 65_536  # pretokens of a row of ids
+# So many of the most frequent pretokens, none longer, are looked up by broadcast.
+HOT_UNITS = 10_000
+HOT_LENGTH = 64
+
+LookUp = Callable[[DataFrame], DataFrame]  # from (unit) to (unit, packed)
 
 
 class Vocabulary:
@@ -32,7 +40,8 @@ class Vocabulary:
 
     def __init__(self, vocab: DataFrame) -> None:
         keyed = vocab.select(as_bytes_text(F.col("token")).alias("unit"), "id", "is_special")
-        hint = F.broadcast if small_enough(keyed) else lambda table: table
+        self.is_small = small_enough(keyed)
+        hint = F.broadcast if self.is_small else lambda table: table
         regular = keyed.filter(~F.col("is_special")).select("unit", "id")
         self.special = hint(keyed.filter("is_special").select("unit", "id"))
         # a special token hides a regular one with the same bytes
@@ -56,32 +65,44 @@ class Vocabulary:
         return F.length(F.translate(chunk, unknown, "") if unknown else chunk)
 
 
+    def ids(self, found: str, chunk: str) -> Column:
+        """The ids of a chunk: the one found for it, or those of its bytes."""
+        return F.when(F.col(found).isNotNull(), F.array(found)).otherwise(self.byte_ids(F.col(chunk)))
+
+    def packed(self, found: str, chunk: str) -> Column:
+        """:meth:`ids`, 4 bytes each."""
+        return _packed(self.ids(found, chunk))
+
+    def pack(self, chunks: DataFrame) -> DataFrame:
+        """``(unit, packed)`` from ``(unit, chunk_pos, chunk, id)``."""
+        return chunks.select("unit", "chunk_pos", self.packed("id", "chunk").alias("p")).groupBy("unit").agg(
+            F.expr("listagg(p) WITHIN GROUP (ORDER BY chunk_pos)").alias("packed")
+        )
+
+    def packed_ids(self, chunks: DataFrame) -> DataFrame:
+        """``(unit, packed)`` from ``(unit, chunk_pos, chunk)``, chunks that are cut already."""
+        return self.pack(_look_up(chunks, F.col("chunk"), self.chunks, "id"))
+
+
 def _look_up(units: DataFrame, unit: Column, table: DataFrame, name: str) -> DataFrame:
     ids = table.select(F.col("unit").alias(f"_{name}_unit"), F.col("id").alias(name))
     return units.join(ids, unit == F.col(f"_{name}_unit"), "left").drop(f"_{name}_unit")
 
 
-def _looked_up_chunks(
-    texts: DataFrame,
-    keys: Sequence[str],
-    text: str,
-    vocabulary: Vocabulary,
-    merged: Callable[[Column], Column] | None,
-    whole_texts: bool = True,
+def _units(
+    texts: DataFrame, keys: Sequence[str], text: str, vocabulary: Vocabulary, whole_texts: bool = True
 ) -> DataFrame:
-    """``(keys, pos, chunk_pos, chunk, id)``; ``id`` is NULL if only bytes are left to try.
+    """``(keys, pos, unit)``: the pretokens of every text in order.
 
-    A pretoken found as a whole is its own only chunk. Without ``whole_texts``, the texts
-    are parts of others, and none is a special token.
+    A text that is a special token as a whole is one unit; without ``whole_texts``, the
+    texts are parts of others, and none is a special token.
     """
-    first = vocabulary.whole if merged is None else vocabulary.special
-    cut = fallback_chunks if merged is None else merged
     whole = texts.select(*keys, as_bytes_text(F.col(text)).alias("_text"))
     if whole_texts:
         whole = _look_up(whole, F.col("_text"), vocabulary.special, "special_id")
     else:
         whole = whole.withColumn("special_id", F.lit(None))
-    units = whole.select(
+    return whole.select(
         *keys,
         F.posexplode(
             F.when(F.col("special_id").isNotNull(), F.array("_text")).otherwise(
@@ -89,53 +110,146 @@ def _looked_up_chunks(
             )
         ).alias("pos", "unit"),
     )
-    found = _look_up(units, F.col("unit"), first, "whole_id")
+
+
+def _looked_up_chunks(units: DataFrame, keys: Sequence[str], vocabulary: Vocabulary) -> DataFrame:
+    """``(keys, chunk_pos, chunk, id)`` of units; ``id`` is NULL if only bytes are left to try.
+
+    A pretoken found as a whole is its own only chunk.
+    """
+    found = _look_up(units, F.col("unit"), vocabulary.whole, "whole_id")
     chunks = found.select(
         *keys,
-        "pos",
         "whole_id",
         F.posexplode(
-            F.when(F.col("whole_id").isNotNull(), F.array("unit")).otherwise(cut(F.col("unit")))
+            F.when(F.col("whole_id").isNotNull(), F.array("unit")).otherwise(
+                fallback_chunks(F.col("unit"))
+            )
         ).alias("chunk_pos", "chunk"),
     )
     return _look_up(chunks, F.col("chunk"), vocabulary.chunks, "chunk_id").select(
-        *keys, "pos", "chunk_pos", "chunk", F.coalesce("whole_id", "chunk_id").alias("id")
+        *keys, "chunk_pos", "chunk", F.coalesce("whole_id", "chunk_id").alias("id")
     )
 
 
-def token_ids(
+def _packed(ids: Column) -> Column:
+    """Ids as 4 bytes each."""
+    digits = F.transform(ids, lambda i: F.lpad(F.hex(i), 8, "0"))
+    return F.unhex(F.array_join(digits, ""))
+
+
+def unpacked(packed: Column) -> Column:
+    """The ids in 4 bytes each."""
+    size = F.octet_length(packed)
+    places = F.filter(F.sequence(F.lit(0), (size / 4).cast("int")), lambda i: 4 * i < size)
+    return F.transform(
+        places,
+        lambda i: F.conv(F.hex(F.substr(packed, 4 * i + 1, F.lit(4))), 16, 10).cast("int"),
+    )
+
+
+def _dictionary_join(rows: DataFrame, dictionary: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rows`` with what ``dictionary`` has for their ``unit``.
+
+    The units that most rows have, ``HOT_UNITS`` of bounded length at most, are broadcast,
+    so that the rows of a frequent one stay where they are. Others are joined by unit.
+    ``counts`` is ``(unit, n)``.
+    """
+    short = counts.filter(F.length("unit") <= HOT_LENGTH)
+    hot = short.orderBy(F.desc("n"), "unit").limit(HOT_UNITS).select("unit")
+    entries = stage(dictionary.join(hot.withColumn("hot", F.lit(True)), "unit", "left"), "dictionary")
+    often = entries.filter("hot").drop("hot")
+    rest = entries.filter("hot IS NULL").drop("hot")
+    values = [c for c in dictionary.columns if c != "unit"]
+    known = often.select(F.col("unit").alias("_unit"), *[F.col(v).alias(f"_{v}") for v in values])
+    tried = rows.join(F.broadcast(known), F.col("unit") == F.col("_unit"), "left")
+    met = tried.filter("_unit IS NOT NULL").select(*rows.columns, *[F.col(f"_{v}").alias(v) for v in values])
+    missed = tried.filter("_unit IS NULL").select(*rows.columns).join(rest, "unit")
+    return met.unionByName(missed.select(*met.columns))
+
+
+def _counted(texts: DataFrame, keys: Sequence[str], text: str, vocabulary: Vocabulary, whole_texts: bool) -> DataFrame:
+    units = _units(texts, keys, text, vocabulary, whole_texts)
+    return units.groupBy(*keys, "unit").agg(F.count("*").alias("_times"))
+
+
+def _own_look_up(vocabulary: Vocabulary) -> LookUp:
+    """From distinct pretokens to ``(unit, packed)`` by the vocabulary alone."""
+
+    def look_up(units: DataFrame) -> DataFrame:
+        found = _looked_up_chunks(units, ["unit"], vocabulary)
+        return vocabulary.pack(found)
+
+    return look_up
+
+
+def _special_units(dictionary: DataFrame, vocabulary: Vocabulary, look_up: LookUp) -> DataFrame:
+    """``(unit, packed)`` of distinct pretokens; one that is a special token is that."""
+    found = _look_up(dictionary, F.col("unit"), vocabulary.special, "special_id")
+    special = found.filter("special_id IS NOT NULL").select("unit", _packed(F.array("special_id")).alias("packed"))
+    return special.unionByName(look_up(found.filter("special_id IS NULL").select("unit")))
+
+
+def count_tokens_vocab(
     texts: DataFrame,
     keys: Sequence[str],
     text: str,
     vocabulary: Vocabulary,
-    merged: Callable[[Column], Column] | None = None,
+    look_up: LookUp | None = None,
+    whole_texts: bool = True,
 ) -> DataFrame:
-    """``(keys, pos, chunk_pos, ids)``: the ids of every chunk of every text.
+    """Number of tokens per key; empty texts get no row.
 
-    With ``merged`` (from a merge table) every pretoken but a special one is cut by
-    it, whether the vocabulary has it whole or not.
+    With a small vocabulary, pretokens are looked up where the texts are. Otherwise, or with
+    a ``look_up`` of their own (see ``merges.dictionary_ids``), each text's distinct pretokens
+    are counted, and the distinct ones of all texts priced once.
     """
-    chunks = _looked_up_chunks(texts, keys, text, vocabulary, merged)
-    ids = F.when(F.col("id").isNotNull(), F.array("id")).otherwise(
-        vocabulary.byte_ids(F.col("chunk"))
-    )
-    return chunks.select(*keys, "pos", "chunk_pos", ids.alias("ids"))
-
-
-def count_tokens_vocab(
+    if vocabulary.is_small and look_up is None:
+        units = _units(texts, keys, text, vocabulary, whole_texts)
+        chunks = _looked_up_chunks(units, keys, vocabulary)
+        price = F.when(F.col("id").isNotNull(), 1).otherwise(vocabulary.known_bytes(F.col("chunk")))
+        return chunks.groupBy(*keys).agg(F.sum(price.cast("bigint")).alias("tokens"))
+    counted = stage(_counted(texts, keys, text, vocabulary, whole_texts), "counted")
+    counts = stage(counted.groupBy("unit").agg(F.count("*").alias("n")), "units")
+    packed = _special_units(counts.select("unit"), vocabulary, look_up or _own_look_up(vocabulary))
+    prices = packed.select("unit", (F.octet_length("packed") / 4).cast("bigint").alias("_price"))
+    joined = _dictionary_join(counted, prices, counts)
+    return joined.groupBy(*keys).agg(F.sum(F.col("_times") * F.col("_price")).alias("tokens"))
+
+
+def encode_blocks(
     texts: DataFrame,
     keys: Sequence[str],
     text: str,
     vocabulary: Vocabulary,
-    merged: Callable[[Column], Column] | None = None,
-    whole_texts: bool = True,
+    look_up: LookUp | None = None,
+    block_units: int = BLOCK_UNITS,
 ) -> DataFrame:
-    """Number of tokens per key; empty texts get no row."""
-    chunks = _looked_up_chunks(texts, keys, text, vocabulary, merged, whole_texts)
-    price = F.when(F.col("id").isNotNull(), 1).otherwise(
-        vocabulary.known_bytes(F.col("chunk"))
+    """``(keys, block, start, ids)``: the ids of every text, 4 bytes each, in bounded rows.
+
+    A block has the ids of ``block_units`` pretokens, ``start`` is how many ids come before it.
+    The ids of a long text are many rows, made by different tasks. Empty texts get none.
+    """
+    block = F.floor(F.col("pos") / block_units).alias("block")
+    units = _units(texts, keys, text, vocabulary)
+    if vocabulary.is_small and look_up is None:
+        chunks = _looked_up_chunks(units, [*keys, "pos"], vocabulary)
+        rows = chunks.select(*keys, block, "pos", "chunk_pos", vocabulary.packed("id", "chunk").alias("packed"))
+    else:
+        counts = stage(units.groupBy("unit").agg(F.count("*").alias("n")), "units")
+        packed = stage(
+            _special_units(counts.select("unit"), vocabulary, look_up or _own_look_up(vocabulary)), "packed"
+        )
+        joined = _dictionary_join(units, packed, counts)
+        rows = joined.select(*keys, block, "pos", F.lit(0).alias("chunk_pos"), "packed")
+    made = rows.groupBy(*keys, "block").agg(
+        F.expr("listagg(packed) WITHIN GROUP (ORDER BY pos, chunk_pos)").alias("ids")
     )
-    return chunks.groupBy(*keys).agg(F.sum(price.cast("bigint")).alias("tokens"))
+    earlier = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = stage(made.filter(F.octet_length("ids") > 0), "id-blocks")
+    sizes = blocks.select(*keys, "block", (F.octet_length("ids") / 4).cast("bigint").alias("_n"))
+    starts = sizes.withColumn("start", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n")
+    return blocks.join(starts, [*keys, "block"]).select(*keys, "block", "start", "ids")
 
 
 def encode_ids(
@@ -143,14 +257,12 @@ def encode_ids(
     keys: Sequence[str],
     text: str,
     vocabulary: Vocabulary,
-    merged: Callable[[Column], Column] | None = None,
+    look_up: LookUp | None = None,
 ) -> DataFrame:
-    """The ordered id array per key. The list of one text is bounded by that text."""
-    ids = token_ids(texts, keys, text, vocabulary, merged)
-    placed = F.array_sort(F.collect_list(F.struct("pos", "chunk_pos", "ids")))
-    return ids.groupBy(*keys).agg(
-        F.flatten(F.transform(placed, lambda t: t["ids"])).alias("ids")
-    )
+    """The ordered id array per key, put together from blocks. It is bounded by its text."""
+    blocks = encode_blocks(texts, keys, text, vocabulary, look_up)
+    whole = blocks.groupBy(*keys).agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY block)").alias("ids"))
+    return whole.select(*keys, unpacked(F.col("ids")).alias("ids"))
 
 
 def special_token_ids(
@@ -212,7 +324,7 @@ def token_histogram(texts: DataFrame, text: str, vocabulary: Vocabulary) -> Data
     )
     dictionary = pretoken_counts(whole.filter(F.col("id").isNull()), text)
     keyed = dictionary.select("n", F.col("pretoken").alias("_text"))
-    regular = token_ids(keyed, ["n"], "_text", vocabulary).select(
-        F.explode("ids").alias("id"), "n"
-    )
+    units = _units(keyed, ["n"], "_text", vocabulary)
+    found = _looked_up_chunks(units, ["n"], vocabulary)
+    regular = found.select("n", F.explode(vocabulary.ids("id", "chunk")).alias("id"))
     return regular.unionByName(specials).groupBy("id").agg(F.sum("n").alias("n"))

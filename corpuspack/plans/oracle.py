@@ -351,6 +351,27 @@ CTES: dict[str, str] = {
         UNION ALL SELECT b.tok, b.chunk_pos, b.byte_pos, v.id
           FROM chunk_bytes b JOIN vocab v ON v.token = b.b""",
     "prices": "SELECT tok, count(*) AS price FROM token_units GROUP BY tok",
+    "merge_rows": """
+        SELECT substr(token, 1, 2) AS a, substr(token, 3) AS b, id AS rank FROM vocab WHERE length(token) = 4
+        UNION ALL
+        SELECT substr(token, 1, 4), substr(token, 5), id FROM vocab
+        WHERE length(token) = 6 AND substr(token, 1, 4) IN (SELECT token FROM vocab WHERE length(token) = 4)""",
+    "merging": """
+        SELECT tok, regexp_replace(hex(encode(tok)), '(..)', '<\\1>', 'g') AS state FROM dictionary
+        UNION ALL
+        SELECT tok, replace(state, '<' || best.a || '><' || best.b || '>', '<' || best.a || best.b || '>')
+        FROM (
+          SELECT tok, state, arg_min(m, [m.rank, i]) AS best
+          FROM (SELECT tok, state, p, unnest(range(1, len(p))) AS i
+                FROM (SELECT tok, state, string_split(state[2:-2], '><') AS p FROM {self})) s
+          JOIN merge_rows m ON m.a = p[i] AND m.b = p[i + 1]
+          GROUP BY tok, state)""".replace("{self}", "merging"),
+    "merged_parts": """
+        SELECT tok, unnest(string_split(state[2:-2], '><')) AS part FROM (
+          SELECT tok, arg_min(state, length(state)) AS state FROM merging GROUP BY tok)""",
+    "merged_prices": """
+        SELECT tok, sum(CASE WHEN v.id IS NOT NULL THEN 1 ELSE length(part) // 2 END) AS price
+        FROM merged_parts LEFT JOIN vocab v ON v.token = part GROUP BY tok""",
     "vocab_lines": """
         SELECT token, id, to_base64(unhex(token)) AS b64,
           CASE id % 50 WHEN 7 THEN to_base64(unhex(token))
@@ -366,7 +387,7 @@ CTES: dict[str, str] = {
     + ") s(tok, id)",
 }
 
-RECURSIVE = {"walked", "walked_small"}
+RECURSIVE = {"walked", "walked_small", "merging"}
 
 
 def compose(query: str) -> str:
@@ -505,6 +526,9 @@ QUERIES: dict[str, str] = {
     "count_tokens_vocab": """
         SELECT p.doc_id, sum(r.price)::BIGINT AS tokens
         FROM pretokens p JOIN prices r USING (tok) GROUP BY p.doc_id""",
+    "apply_merges": """
+        SELECT p.doc_id, sum(r.price)::BIGINT AS tokens
+        FROM pretokens p JOIN merged_prices r USING (tok) GROUP BY p.doc_id""",
     "count_tokens_approx": f"SELECT repo, path, {approx('text')} AS tokens FROM files",
     "count_tokens_bytes": f"SELECT repo, path, {by_bytes('text')} AS tokens FROM files",
     "encode_ids": """

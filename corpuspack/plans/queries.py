@@ -623,14 +623,20 @@ def token_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def apply_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token counts with a merge table: vocabulary pretokens of two bytes as merges."""
+    """Token counts with a merge table: vocabulary pretokens of two bytes as merges.
+
+    And those of three bytes whose first two are one, as merges of these with the third.
+    """
     words = corpora.document_vocab(spark, sf_dir)
-    table = words.filter(F.octet_length("token") == 2).select(
+    two = words.filter(F.octet_length("token") == 2)
+    three = words.filter(F.octet_length("token") == 3).withColumn("first", F.substring("token", 1, 2))
+    three = three.join(two.select(F.col("token").alias("first")), "first", "left_semi")
+    table = two.select(
         F.substring("token", 1, 1).alias("first"),
         F.substring("token", 2, 1).alias("second"),
         F.col("id").alias("rank"),
-    )
+    ).unionByName(three.select("first", F.substring("token", 3, 1).alias("second"), F.col("id").alias("rank")))
     texts = corpora.document_texts(spark, sf_dir)
-    return tokens.count_tokens_vocab(
-        texts, ["doc_id"], "text", tokens.Vocabulary(words), merges.merge_chunks(table)
-    )
+    vocabulary = tokens.Vocabulary(words)
+    look_up = merges.dictionary_ids(stage(table, "merge-table"), vocabulary)
+    return tokens.count_tokens_vocab(texts, ["doc_id"], "text", vocabulary, look_up)

@@ -37,7 +37,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_query_but_merging_has_sql():
     """Of the library's own; those of the training-data operators have tests of their own."""
-    assert set(QUERIES) - set(entry.oracle_sql()) == {"apply_merges"}
+    assert not set(QUERIES) - set(entry.oracle_sql())
     assert set(QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
 

@@ -40,7 +40,7 @@ def encode(data: bytes, table, special, ranks=None):
             out.append(table[unit])
             continue
         if ranks is not None:
-            chunks = merges._merged(unit, ranks)
+            chunks = merges.merge_with_heap(unit, ranks)
         elif any(b > 127 for b in unit):
             chunks = [bytes([b]) for b in unit]
         elif len(unit) <= 4:
@@ -114,27 +114,87 @@ def test_merges_against_brute_force(spark):
     rows = [(b"q", b"u", 5), (b"i", b"c", 1), (b"qu", b"ic", 7), (b"a", b"b", 2), (b"ab", b"c", 2)]
     table_df = spark.createDataFrame(rows, "first binary, second binary, rank int")
     ranks = {(a, b): r for a, b, r in rows}
-    assert merges._merged(b"quick", ranks) == [b"quic", b"k"]
-    assert merges._merged(b"ababc", ranks) == [b"ab", b"abc"]
-    assert merges._merged(b"aaa", {(b"a", b"a"): 1}) == [b"aa", b"a"]
+    assert merges.merge_with_heap(b"quick", ranks) == [b"quic", b"k"]
+    assert merges.merge_with_heap(b"ababc", ranks) == [b"ab", b"abc"]
+    assert merges.merge_with_heap(b"aaa", {(b"a", b"a"): 1}) == [b"aa", b"a"]
     df = vocab_df(spark)
     table, special = tables(df)
     texts = sample_texts(30)
     data = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
-    chunks = merges.merge_chunks(table_df)
-    ids = tokens.encode_ids(data, ["k"], "t", tokens.Vocabulary(df), chunks)
+    look_up = merges.dictionary_ids(table_df, tokens.Vocabulary(df))
+    ids = tokens.encode_ids(data, ["k"], "t", tokens.Vocabulary(df), look_up)
     expected = {i: encode(t.encode(), table, special, ranks) for i, t in enumerate(texts)}
     got = {k: v for k, v in column(ids, "k", "ids") if v}
     assert got == {k: v for k, v in expected.items() if v}
+    counts = dict(column(tokens.count_tokens_vocab(data, ["k"], "t", tokens.Vocabulary(df), look_up), "k", "tokens"))
+    assert {k: n for k, n in counts.items() if n} == {k: len(v) for k, v in got.items()}
 
 
-def test_merge_table_size_is_checked(spark, monkeypatch):
-    monkeypatch.setattr(merges, "MAX_MERGES", 1)
-    rows = spark.createDataFrame(
-        [(b"a", b"b", 1), (b"b", b"c", 2)], "first binary, second binary, rank int"
-    )
-    with pytest.raises(ValueError):
-        merges.merge_ranks(rows)
+def rescanned(token, ranks):
+    """Look for the least pair again after every merge of it."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    while True:
+        ranked = [(ranks[p], i, p) for i, p in enumerate(zip(parts, parts[1:])) if p in ranks]
+        if not ranked:
+            return parts
+        best, out = min(ranked)[2], []
+        for part in parts:
+            if out and (out[-1], part) == best:
+                out[-1] += part
+            else:
+                out.append(part)
+        parts = out
+
+
+@pytest.mark.parametrize("short", [0, 32])
+def test_merging_dictionaries(spark, short):
+    """In rounds of joins and with a heap, against looking for each pair again."""
+    rng = random.Random(9)
+    made, rows = [b"a", b"b", b"c", b"\xe9"], []
+    for rank in rng.sample(range(40), 30):
+        pair = rng.choice(made), rng.choice(made)
+        rows.append((*pair, rank // 2))  # some ranks twice
+        made.append(b"".join(pair))
+    ranks = {}
+    for a, b, r in rows:
+        ranks[a, b] = min(r, ranks.get((a, b), r))
+    units = {"".join(rng.choices("abc\xe9d", k=rng.randint(1, 31))) for _ in range(400)} | {"a" * k for k in range(1, 30)}
+    df = spark.createDataFrame([(u,) for u in sorted(units)], "unit string")
+    table = spark.createDataFrame(rows, "first binary, second binary, rank int")
+    found = dict(column(merges.merged_units(df, table, short), "unit", "chunks"))
+    assert found == {u: [p.decode("latin-1") for p in rescanned(u.encode("latin-1"), ranks)] for u in units}
+
+
+def test_long_pretokens_are_not_scanned_again():
+    ranks = {(b"a", b"b"): 1, (b"ab", b"ab"): 2, (b"abab", b"abab"): 3}
+    assert merges.merge_with_heap(b"ab" * 100_000, ranks) == [b"abababab"] * 25_000
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_blocks_of_ids(spark, monkeypatch, small):
+    """Texts of many blocks have the ids they have as a whole."""
+    monkeypatch.setattr(tokens, "small_enough", lambda table: small)
+    monkeypatch.setattr(tokens, "HOT_UNITS", 3)
+    df = vocab_df(spark)
+    table, special = tables(df)
+    texts = sample_texts(20)
+    data = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    vocabulary = tokens.Vocabulary(df)
+    expected = {i: encode(t.encode(), table, special) for i, t in enumerate(texts)}
+    got = {i: [] for i in expected}
+    for k, start, ids in sorted(column(tokens.encode_blocks(data, ["k"], "t", vocabulary, block_units=3), "k", "start", "ids")):
+        assert start == len(got[k]) and 0 < len(ids) <= 4 * 3 * 64
+        got[k] += [int.from_bytes(ids[i : i + 4], "big") for i in range(0, len(ids), 4)]
+    assert got == expected
+    counts = dict(column(tokens.count_tokens_vocab(data, ["k"], "t", vocabulary), "k", "tokens"))
+    assert {k: n for k, n in counts.items() if n} == {k: len(v) for k, v in expected.items() if v}
+
+
+def test_frequent_pretokens_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "small_enough", lambda table: False)
+    data = spark.createDataFrame([(i, "a a b") for i in range(50)], "k int, t string")
+    plan = tokens.count_tokens_vocab(data, ["k"], "t", tokens.Vocabulary(vocab_df(spark)))
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().toString()
 
 
 def test_load_vocab(spark):
