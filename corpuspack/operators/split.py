@@ -1,14 +1,17 @@
 """Cutting documents into parts of limited size.
 
-Cuts depend on each other, but only through one number, the last cut. So the walk
-along a document runs on a few narrow candidate rows, some cuts at a time, while
-texts are sliced and joined in parallel.
+Cuts depend on each other, but only through one number, the last cut. So a document's
+narrow candidate rows are dealt in slices. For each slice, all at once, it is worked out
+where it is left for every line start it may be entered at: all step on together, and
+as walks that share one cut share all later ones, few are left soon. The slices of a
+document are then chained by these maps, a few numbers each, and walked at once.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ from corpuspack.sources.staging import stage
 
 NEWLINE, BREAK, MARKER = 1, 2, 3
 _MARKER = bytes_text_of(fixed.FILE_MARKER)
-ROUND_CUTS = 100  # decided by one task at a time, which bounds the candidates it holds
+SLICE_CUTS = 100  # of a document are decided in a task, which bounds the candidates it holds
 KIND_NAMES = {NEWLINE: "newline", BREAK: "break", MARKER: "marker"}
 
 
@@ -188,9 +191,17 @@ def _useful_candidates(
 
 
 def walk(
-    pos: np.ndarray, kind: np.ndarray, total: int, limit: int, max_splits: int, last: int = 0
+    pos: np.ndarray,
+    kind: np.ndarray,
+    total: int,
+    limit: int,
+    max_splits: int | None,
+    last: int = 0,
+    stop: int | None = None,
 ) -> list[int]:
-    """Cuts of one document after ``last``, from its sorted candidate line starts.
+    """Cuts of one document after ``last`` up to the first one not before ``stop``.
+
+    ``pos`` and ``kind`` are its sorted candidate line starts.
 
     From the last cut, the next window ends ``limit`` bytes on. In its second half
     the first marker wins, else the last break, else the last newline within 200
@@ -199,7 +210,11 @@ def walk(
     before = pos - 1  # the newline in front of each candidate
     markers, breaks = before[kind == MARKER], before[kind == BREAK]
     cuts: list[int] = []
-    while last + limit < total and len(cuts) < max_splits:
+    while (
+        last + limit < total
+        and (max_splits is None or len(cuts) < max_splits)
+        and (stop is None or last < stop)
+    ):
         half, end = last + limit // 2, last + limit
         near_end = max(last, end - fixed.NEWLINE_WINDOW)
         m = int(np.searchsorted(markers, half, "left"))
@@ -217,87 +232,246 @@ def walk(
     return cuts
 
 
-def _next_cuts(candidates: DataFrame, docs: DataFrame, limit: int, n_cuts: int) -> DataFrame:
-    """``(repo, doc_bytes, cuts)``: up to ``n_cuts`` cuts after the ``last`` of each document."""
+def _in_slices(candidates: DataFrame, limit: int, span: int) -> DataFrame:
+    """Candidates with every ``slice`` that may look at them: ``span`` bytes, and a limit beyond."""
+    at = F.floor(F.col("pos") / span)
+    before = F.floor((F.col("pos") - limit - 1) / span)
+    return candidates.withColumn("slice", F.explode(F.sequence(F.greatest(before, F.lit(0)), at)))
+
+
+class _Starts:
+    """The candidates of a slice, and where a cut leads."""
+
+    def __init__(self, pos: np.ndarray, kind: np.ndarray, total: int, limit: int, stop: int):
+        order = np.argsort(pos, kind="stable")
+        self.pos = pos[order]
+        self._before = self.pos - 1
+        self._markers = self._before[kind[order] == MARKER]
+        self._breaks = self._before[kind[order] == BREAK]
+        self._total, self._limit, self._stop = total, limit, stop
+
+    def _next(self, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The cut after each of these, as ``walk`` has it, and whether no line starts there."""
+        half, end = last + self._limit // 2, last + self._limit
+        near = np.maximum(last, end - fixed.NEWLINE_WINDOW)
+
+        def at(values: np.ndarray, place: np.ndarray) -> np.ndarray:
+            return np.append(values, -1)[np.where((place >= 0) & (place < len(values)), place, -1)]
+
+        marker = at(self._markers, np.searchsorted(self._markers, half, "left"))
+        chosen = np.where((marker >= half) & (marker < end), marker, -1)
+        rest = at(self._breaks, np.searchsorted(self._breaks, end, "right") - 1)
+        chosen = np.where((chosen < 0) & (rest > half), rest, chosen)
+        line = at(self._before, np.searchsorted(self._before, end, "right") - 1)
+        chosen = np.where((chosen < 0) & (end >= fixed.NEWLINE_WINDOW) & (line > near), line, chosen)
+        return np.where(chosen < 0, end, chosen + 1), chosen < 0
+
+    def exits(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the slice is left from each entry, and whether no line starts there."""
+        now, group = np.unique(entries, return_inverse=True)
+        hard = np.zeros(len(now), bool)
+        while True:
+            open_ = np.flatnonzero((now + self._limit < self._total) & (now < self._stop))
+            if not len(open_):
+                return now[group], hard[group]
+            now[open_], hard[open_] = self._next(now[open_])
+            now, first, merged = np.unique(now, return_index=True, return_inverse=True)
+            hard, group = hard[first], merged[group]
+
+
+_WAY = "repo string, slice bigint, first bigint, last bigint, exit bigint, hard boolean"
+
+
+def _ways(sliced: DataFrame, todo: DataFrame, limit: int, span: int) -> DataFrame:
+    """Where slices are left: rows of entries ``first`` to ``last`` that all lead to ``exit``.
+
+    ``todo`` is ``(repo, slice, doc_bytes, entry)``; a null entry stands for all line
+    starts that the slice may be entered at.
+    """
+
+    def work(table: pa.Table) -> pa.Table:
+        given = table.filter(pa.compute.equal(table["kind"], 0))
+        rows = table.filter(pa.compute.not_equal(table["kind"], 0))
+        start = given["slice"][0].as_py() * span
+        pos = rows["pos"].to_numpy()
+        starts = _Starts(pos, rows["kind"].to_numpy(), given["doc_bytes"][0].as_py(), limit, start + span)
+        asked = np.array([e for e in given["pos"].to_pylist() if e is not None], np.int64)
+        entries = [asked]
+        if given["pos"].null_count:
+            inside = (starts.pos >= start) & (starts.pos <= start + limit)
+            entries += [starts.pos[inside], np.zeros(int(start == 0), np.int64)]
+        entries = np.unique(np.concatenate(entries))
+        exits, hard = starts.exits(entries)
+        new = np.flatnonzero(np.append(True, exits[1:] != exits[:-1])) if len(exits) else exits
+        if len(asked):  # each on its own, as others between them may lead elsewhere
+            new = np.arange(len(entries))
+        ends = np.append(new, len(entries))[1:] - 1
+        return pa.table(
+            {
+                "repo": pa.array([given["repo"][0].as_py()] * len(new), pa.string()),
+                "slice": pa.array([given["slice"][0].as_py()] * len(new), pa.int64()),
+                "first": pa.array(entries[new], pa.int64()),
+                "last": pa.array(entries[ends], pa.int64()),
+                "exit": pa.array(exits[new], pa.int64()),
+                "hard": pa.array(hard[new], pa.bool_()),
+            }
+        )
+
+    here = todo.select("repo", "slice", "doc_bytes", F.col("entry").alias("pos"), F.lit(0).alias("kind"))
+    which = todo.select("repo", "slice", "doc_bytes").distinct()
+    near = sliced.join(which, ["repo", "slice"]).select(*here.columns)
+    return near.unionByName(here).groupBy("repo", "slice").applyInArrow(work, _WAY)
+
+
+def _chained(slices: DataFrame, ways: DataFrame, limit: int, span: int) -> DataFrame:
+    """``(repo, slice, entry, known)``: where each slice of a document is entered.
+
+    A document is one group of its slices' few ways. An entry where no line starts may have
+    no way yet: it is not ``known``, and the chain goes on from the nearest one, as a guess.
+    """
+
+    def work(table: pa.Table) -> pa.Table:
+        by_slice: dict[int, list[dict]] = {}
+        following, total = {}, table["doc_bytes"][0].as_py()
+        for row in table.to_pylist():
+            own = by_slice.setdefault(row["slice"], [])
+            following[row["slice"]] = row["following"]
+            if row["exit"] is not None:
+                own.append(row)
+        out = []
+        at, entry, hard = 0, 0, False
+        while at is not None:
+            own = by_slice[at]
+            way = next((w for w in own if w["first"] == w["last"] == entry), None)
+            if way is None and not hard:
+                way = next((w for w in own if w["first"] <= entry <= w["last"]), None)
+            beyond = entry + limit >= total or entry >= (at + 1) * span
+            out.append((at, entry, way is not None or beyond))
+            if beyond:
+                pass
+            elif way is not None:
+                entry, hard = way["exit"], way["hard"]
+            elif own:
+                way = min(own, key=lambda w: min(abs(w["first"] - entry), abs(w["last"] - entry)))
+                entry, hard = way["exit"], way["hard"]
+            at = following[at]
+            if at is not None:
+                room = min(at * span, total - limit) - entry
+                if room > 0:
+                    entry, hard = entry + -(-room // limit) * limit, True
+        columns = [list(c) for c in zip(*out)]
+        repo = pa.array([table["repo"][0].as_py()] * len(out), pa.string())
+        return pa.table(
+            {"repo": repo, "slice": pa.array(columns[0], pa.int64()), "entry": pa.array(columns[1], pa.int64()), "known": columns[2]}
+        )
+
+    rows = slices.join(ways, ["repo", "slice"], "left")
+    return rows.groupBy("repo").applyInArrow(work, "repo string, slice bigint, entry bigint, known boolean")
+
+
+def _walked(sliced: DataFrame, entered: DataFrame, limit: int, span: int) -> DataFrame:
+    """``(repo, slice, entry, cuts)``: the cuts of each slice from its ``entry`` on."""
 
     def cut(table: pa.Table) -> pa.Table:
         pos = table["pos"].to_numpy()
         order = np.argsort(pos, kind="stable")
         kind = table["kind"].to_numpy()[order]
-        total, last = table["doc_bytes"][0].as_py(), table["last"][0].as_py()
-        cuts = walk(pos[order], kind, total, limit, n_cuts, last)
+        first = {c: table[c][0].as_py() for c in ("repo", "slice", "doc_bytes", "entry")}
+        stop = (first["slice"] + 1) * span
+        cuts = walk(pos[order], kind, first["doc_bytes"], limit, None, first["entry"], stop)
         return pa.table(
             {
-                "repo": pa.array([table["repo"][0].as_py()], pa.string()),
-                "doc_bytes": pa.array([total], pa.int64()),
+                "repo": pa.array([first["repo"]], pa.string()),
+                "slice": pa.array([first["slice"]], pa.int64()),
+                "entry": pa.array([first["entry"]], pa.int64()),
                 "cuts": pa.array([cuts], pa.list_(pa.int64())),
             }
         )
 
-    pos, last = F.col("pos"), F.col("last")
-    near = candidates.join(docs, "repo").filter(
-        (pos > last) & (pos <= last + n_cuts * (limit + 1))
+    # of no kind, so that a slice without a line start in reach has a row too
+    here = entered.select("repo", "slice", "doc_bytes", "entry", F.col("entry").alias("pos"), F.lit(0).alias("kind"))
+    near = sliced.join(entered.select("repo", "slice", "doc_bytes", "entry"), ["repo", "slice"]).filter(
+        F.col("pos") > F.col("entry")
     )
-    # of no kind, so that a document without a line start in reach has a row too
-    here = docs.withColumns({"pos": last, "kind": F.lit(0)})
-    return (
-        near.unionByName(here)
-        .groupBy("repo")
-        .applyInArrow(cut, "repo string, doc_bytes bigint, cuts array<bigint>")
+    rows = near.select(*here.columns).unionByName(here)
+    return rows.groupBy("repo", "slice").applyInArrow(
+        cut, "repo string, slice bigint, entry bigint, cuts array<bigint>"
     )
 
 
+def _hard_cuts(last: Column, limit: int, span: int) -> Column:
+    """Cuts between the ``last`` one of a slice and the start of the ``following``, where no line starts.
+
+    Nothing can be chosen there, so they are a limit apart.
+    """
+    room = F.least(F.col("following") * span, F.col("doc_bytes") - limit) - last
+    n = F.when(room > 0, F.ceil(room / limit)).otherwise(0)
+    steps = F.filter(F.sequence(F.lit(0).cast("bigint"), n), lambda k: k > 0)
+    return F.transform(steps, lambda k: last + k * limit)
+
+
+def _entered(sliced: DataFrame, slices: DataFrame, limit: int, span: int) -> DataFrame:
+    """``slices`` with the ``entry`` of each; of documents with a single slice it is 0."""
+    several = slices.filter("slice > 0").select("repo").distinct()
+    chained = stage(slices.join(several, "repo", "left_semi"), "chained")
+    alone = slices.filter("slice = 0 AND following IS NULL").withColumn("entry", F.lit(0).cast("bigint"))
+    if chained.isEmpty():
+        return alone
+    todo = chained.withColumn("entry", F.lit(None).cast("bigint"))
+    ways = stage(_ways(sliced, todo, limit, span), "ways")
+    while True:
+        entered = stage(_chained(chained, ways, limit, span), "entered")
+        unknown = entered.filter("NOT known").drop("known")
+        if unknown.isEmpty():
+            break
+        todo = chained.select("repo", "slice", "doc_bytes").join(unknown, ["repo", "slice"])
+        ways = ways.unionByName(stage(_ways(sliced, todo, limit, span), "ways"))
+    return alone.unionByName(chained.join(entered.drop("known"), ["repo", "slice"]).select(*alone.columns))
+
+
 def split_plan(
     pieces: DataFrame,
     offsets: DataFrame,
     totals: DataFrame,
     limit: int,
     max_splits: int | None = None,
-    round_cuts: int = ROUND_CUTS,
+    slice_cuts: int = SLICE_CUTS,
 ) -> DataFrame:
     """``(repo, doc_bytes, cuts)`` for every document in ``totals``.
 
-    Documents are walked in rounds of ``round_cuts`` cuts, each going on where the one
-    before ended. The group that goes to one task is what such a round can reach of
-    one document, whatever its size. Only whether a document is left reaches the driver.
+    A slice is what ``slice_cuts`` limits reach; no task holds more candidates. Slices without
+    a line start in reach need no walk. Where cuts lie within lines, a slice may be entered
+    where no way is known; these are worked out, for all slices at once, in further rounds.
     """
     if limit < 1:
         raise ValueError("the limit must be at least one byte")
+    span = slice_cuts * limit
     candidates = _useful_candidates(pieces, offsets, totals, limit, max_splits)
-    if max_splits is None or max_splits > round_cuts:
-        candidates = stage(candidates, "candidates")
-    docs = totals.filter(F.col("doc_bytes") > limit).select(
-        "repo", "doc_bytes", F.lit(0).cast("bigint").alias("last")
+    sliced = stage(_in_slices(candidates, limit, span), "candidates")
+    docs = totals.filter(F.col("doc_bytes") > limit).select("repo", "doc_bytes")
+    order = Window.partitionBy("repo").orderBy("slice")
+    slices = (
+        sliced.select("repo", "slice")
+        .unionByName(docs.select("repo", F.lit(0).cast("bigint").alias("slice")))
+        .distinct()
+        .join(docs, "repo")
+        .withColumn("following", F.lead("slice").over(order))
     )
-    found = docs.select(
-        "repo", F.lit(0).alias("round"), F.array().cast("array<bigint>").alias("cuts")
-    )
-    done = 0
-    while max_splits is None or done < max_splits:
-        n_cuts = round_cuts if max_splits is None else min(round_cuts, max_splits - done)
-        cuts = _next_cuts(candidates, docs, limit, n_cuts)
-        done += n_cuts
-        more = done != max_splits
-        if more:
-            cuts = stage(cuts, "cuts")
-        found = found.unionByName(cuts.select("repo", F.lit(done).alias("round"), "cuts"))
-        if not more:
-            break
-        last = F.element_at("cuts", -1)
-        docs = cuts.filter((F.size("cuts") == n_cuts) & (last + limit < F.col("doc_bytes"))).select(
-            "repo", "doc_bytes", last.alias("last")
-        )
-        if docs.isEmpty():
-            break
-    rounds = F.array_sort(F.collect_list(F.struct("round", "cuts")))
+    entered = stage(_entered(sliced, stage(slices, "slices"), limit, span), "entered")
+    walked = entered.join(_walked(sliced, entered, limit, span).drop("entry"), ["repo", "slice"])
+    last = F.when(F.size("cuts") > 0, F.element_at("cuts", -1)).otherwise(F.col("entry"))
+    none = F.array().cast("array<bigint>")
+    between = F.when(F.col("following").isNull(), none).otherwise(_hard_cuts(F.col("last"), limit, span))
+    found = walked.withColumn("last", last).withColumn("cuts", F.concat("cuts", between))
     found = found.groupBy("repo").agg(
-        F.flatten(F.transform(rounds, lambda r: r["cuts"])).alias("cuts")
-    )
-    return (
-        totals.select("repo", "doc_bytes")
-        .join(found, "repo", "left")
-        .withColumn("cuts", F.coalesce("cuts", F.array().cast("array<bigint>")))
+        F.flatten(
+            F.transform(F.array_sort(F.collect_list(F.struct("slice", "cuts"))), lambda r: r["cuts"])
+        ).alias("cuts")
     )
+    cuts = F.coalesce("cuts", none)
+    if max_splits is not None:
+        cuts = F.slice(cuts, F.lit(1), F.lit(max_splits))
+    return totals.select("repo", "doc_bytes").join(found, "repo", "left").withColumn("cuts", cuts)
 
 
 def split_points(plan: DataFrame) -> DataFrame:

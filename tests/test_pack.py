@@ -248,9 +248,9 @@ def test_cuts_and_parts_against_brute_force(spark, seed, limit):
         assert part.file_name == f"r_documentation_part{i + 1}.md"
 
 
-@pytest.mark.parametrize("round_cuts", [1, 3, 1000])
-def test_cuts_without_a_bound(spark, round_cuts):
-    """Rounds go on where the last one ended, also where no line start is in reach."""
+@pytest.mark.parametrize("slice_cuts", [1, 3, 1000])
+def test_cuts_without_a_bound(spark, slice_cuts):
+    """Slices are entered where the ones before end, also where no line start is in reach."""
     files = random_files(3, big=True) | {"a/long.txt": "y" * 9000 + "\nend"}
     pack = Pack(files_df(spark, files), PackOptions(split=True, limit_mb=700 / fixed.MEGABYTE))
     data = text_of(pack.documents()).encode()
@@ -258,11 +258,31 @@ def test_cuts_without_a_bound(spark, round_cuts):
     cuts = split.walk(pos, kind, len(data), pack.options.limit_bytes, len(data))
     assert len(cuts) > 12
     plan = split.split_plan(
-        pack._texts, pack.offsets, pack._split_docs, pack.options.limit_bytes, None, round_cuts
+        pack._texts, pack.offsets, pack._split_docs, pack.options.limit_bytes, None, slice_cuts
     )
     assert plan.first().cuts == cuts
 
 
+def test_rounds_do_not_grow_with_the_document(spark, monkeypatch):
+    """All slices are worked out at once, also if walks from elsewhere never meet."""
+    files = {f"f{i:04d}.py": f"x = {i}\n" * 40 + "\n" for i in range(600)}
+    rounds = {}
+    ways = split._ways
+    for n in (60, 600):
+        some = {k: v for k, v in files.items() if int(k[1:5]) < n}
+        pack = Pack(files_df(spark, some), PackOptions(split=True, limit_mb=900 / fixed.MEGABYTE))
+        data = text_of(pack.documents()).encode()
+        pos, kind = all_candidates(data)
+        made = []
+        monkeypatch.setattr(split, "_ways", lambda *a: made.append(1) or ways(*a))
+        plan = split.split_plan(
+            pack._texts, pack.offsets, pack._split_docs, pack.options.limit_bytes, None, 5
+        )
+        assert plan.first().cuts == split.walk(pos, kind, len(data), pack.options.limit_bytes, None)
+        rounds[n] = len(made), len(plan.first().cuts)
+    assert rounds[600][1] > 8 * rounds[60][1] and rounds[600][0] == rounds[60][0] == 1
+
+
 def latin_files():
     prose = "Où est le café où l'été dernier nous étions? Là-bas.\n".encode("latin-1")
     return {
