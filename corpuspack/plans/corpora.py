@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuspack.functions.text import pretokens
+from corpuspack.operators import ordering
 from corpuspack.sources.staging import stage
 from corpuspack.sources.tables import files_table
 
@@ -94,18 +95,15 @@ def document_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
         .agg(F.count("*").alias("n")),
         "pretokens",
     )
-    return stage(
-        spark.sql(
-            """
-            WITH bytes AS (SELECT explode(sequence(0, 255)) AS id),
-            longer AS (SELECT pretoken, n FROM {counts} WHERE octet_length(pretoken) > 1)
-            SELECT unhex(lpad(hex(id), 2, '0')) AS token, id, false AS is_special FROM bytes
-            UNION ALL
-            SELECT cast(pretoken AS binary),
-                   cast(255 + row_number() OVER (ORDER BY n DESC, pretoken) AS int), false
-            FROM longer
-            """,
-            counts=counts,
-        ),
-        "vocab",
+    longer = counts.filter(F.octet_length("pretoken") > 1)
+    ranked = ordering.ranks(longer, [-F.col("n"), F.col("pretoken")])
+    single = spark.range(256).select(
+        F.unhex(F.lpad(F.hex("id"), 2, "0")).alias("token"), F.col("id").cast("int").alias("id")
     )
+    both = single.unionByName(
+        ranked.select(
+            F.col("pretoken").cast("binary").alias("token"),
+            (F.col("rank") + 256).cast("int").alias("id"),
+        )
+    )
+    return stage(both.withColumn("is_special", F.lit(False)), "vocab")

@@ -17,6 +17,7 @@ from corpuspack.plans.settings import (
     LIMIT_BYTES,
     MAX_SPLITS,
     OVERSIZE_BYTES,
+    SMALL_BLOCK,
     SMALL_MAX_SPLITS,
     SPECIAL_ID,
 )
@@ -177,12 +178,12 @@ SUMMARY = lit(fixed.SUMMARY_INTRO)
 NOTE = lit(fixed.SPLIT_NOTE)
 
 
-def whole_document(pieces: str, split: bool) -> str:
+def whole_document(pieces: str, split: bool, stats: str = "stats") -> str:
     note = f"{SUMMARY} || {NOTE}" if split else SUMMARY
     return f"""
     SELECT repo, 0 AS section, []::VARCHAR[] AS key,
            {note} || 'Token Size: ' || total_tokens || chr(10) || chr(10) AS text
-    FROM stats
+    FROM {stats}
     UNION ALL SELECT repo, section, key, text FROM {pieces}"""
 
 
@@ -272,10 +273,20 @@ CTES: dict[str, str] = {
     "stats": f"""
         SELECT repo, sum(strlen(t))::BIGINT AS total_size, sum({approx('t')})::BIGINT AS total_tokens
         FROM counted_rows GROUP BY repo""",
+    "structure_pieces": "SELECT * FROM pieces WHERE section < 5",
+    "structure_stats": f"""
+        SELECT repo, sum({approx('t')})::BIGINT AS total_tokens
+        FROM (SELECT repo, unnest(counted) AS t FROM structure_pieces) GROUP BY repo""",
+    "structure_doc": whole_document("structure_pieces", False, "structure_stats"),
+    "placed_structure": placed("structure_doc"),
     "doc": whole_document("pieces", False),
     "doc_split": whole_document("pieces", True),
     "placed": placed("doc"),
     "placed_split": placed("doc_split"),
+    "counted_tokens": f"""
+        SELECT repo, section, key, t, row_number() OVER () AS nr, regexp_extract_all(t, '{PRETOKEN}') AS toks
+        FROM counted_rows""",
+    "counted_dictionary": "SELECT tok, 1 AS n FROM (SELECT DISTINCT unnest(toks) AS tok FROM counted_tokens)",
     "doc_totals": "SELECT repo, sum(strlen(text))::BIGINT AS total FROM doc_split GROUP BY repo",
     "plain_totals": "SELECT repo, sum(strlen(text))::BIGINT AS total FROM doc GROUP BY repo",
     "doc_texts": "SELECT repo, string_agg(text, '' ORDER BY section, key) AS text FROM doc_split GROUP BY repo",
@@ -387,6 +398,13 @@ CTES: dict[str, str] = {
     + ") s(tok, id)",
 }
 
+for _name, _of in (("known", "dictionary"), ("chunk_lists", "known"), ("chunk_rows", "chunk_lists"),
+                   ("chunk_ids", "chunk_rows"), ("chunk_bytes", "chunk_ids")):
+    # the same look-up for the dictionary of the texts that count
+    CTES[f"counted_{_name}"] = CTES[_name].replace(f"FROM {_of}", f"FROM counted_{_of}")
+CTES["counted_units"] = re.sub(r"\b(known|chunk_ids|chunk_bytes)\b", r"counted_\1", CTES["token_units"])
+CTES["counted_prices"] = "SELECT tok, count(*) AS price FROM counted_units GROUP BY tok"
+
 RECURSIVE = {"walked", "walked_small", "merging"}
 
 
@@ -439,9 +457,10 @@ QUERIES: dict[str, str] = {
     "filter_vcs": "SELECT repo, path, is_dir FROM entries WHERE NOT list_contains(string_split(path, '/'), '.git')",
     "extra_ignores": "SELECT repo, path, is_dir FROM (" + pruned("entries", "verdicts_plus") + ")",
     "no_gitignore": "SELECT repo, path, is_dir FROM (" + pruned("entries", "verdicts_extra") + ")",
-    "structure_only": """
-        SELECT repo, string_agg(text, '' ORDER BY section, key) AS text
-        FROM (SELECT * FROM pieces WHERE section < 5) GROUP BY repo""",
+    "structure_only": f"""
+        SELECT repo, (start // {SMALL_BLOCK})::BIGINT AS block, min(start)::BIGINT AS start,
+               string_agg(text, '' ORDER BY start) AS text
+        FROM placed_structure GROUP BY repo, start // {SMALL_BLOCK}""",
     "text_by_extension": f"SELECT repo, path, {text_name('path')} AS is_text FROM files",
     "sniff_binary": f"SELECT repo, path, {sniff('text')} AS is_binary FROM files",
     "head_of_content": "SELECT repo, path, hex(encode(text)[1:1024]) AS head FROM files",
@@ -450,6 +469,14 @@ QUERIES: dict[str, str] = {
     "doc_stats_bytes": f"""
         SELECT repo, sum(strlen(t))::BIGINT AS total_size, sum({by_bytes('t')})::BIGINT AS total_tokens
         FROM counted_rows GROUP BY repo""",
+    "doc_stats_vocab": """
+        SELECT c.repo, sum(strlen(c.t))::BIGINT AS total_size, sum(c.price)::BIGINT AS total_tokens
+        FROM (
+          SELECT repo, section, key, t, coalesce(sum(p.price), 0) AS price
+          FROM (SELECT repo, section, key, t, nr, unnest(CASE WHEN len(toks) = 0 THEN [NULL] ELSE toks END) AS tok
+                FROM counted_tokens) u
+          LEFT JOIN counted_prices p USING (tok) GROUP BY repo, section, key, nr, t) c
+        GROUP BY c.repo""",
     "entry_counts": """
         SELECT repo, count(*)::BIGINT AS n_entries, count(*) FILTER (is_dir)::BIGINT AS n_dirs
         FROM shown GROUP BY repo""",
@@ -516,8 +543,10 @@ QUERIES: dict[str, str] = {
         FROM documents""",
     "pretokenize": "SELECT tok AS pretoken, n::BIGINT AS n FROM dictionary",
     "special_tokens": f"""
-        SELECT conv_id, turn, ({SPECIAL_ID} + dense_rank() OVER (ORDER BY role))::BIGINT AS id
-        FROM conversations""",
+        SELECT c.conv_id, c.turn, s.id FROM conversations c JOIN (
+          SELECT text, ({SPECIAL_ID} + row_number() OVER (ORDER BY text))::BIGINT AS id
+          FROM (SELECT DISTINCT arg_max(text, turn) AS text FROM conversations GROUP BY conv_id)) s
+        ON c.text = s.text""",
     "vocab_lookup": "SELECT tok AS pretoken, id::BIGINT AS id FROM known",
     "fallback_chunks": "SELECT tok AS pretoken, chunk_pos::BIGINT AS chunk_pos, chunk FROM chunk_rows",
     "byte_fallback": """

@@ -29,6 +29,7 @@ from corpuspack.plans.settings import (
     LIMIT_MB,
     MAX_SPLITS,
     OVERSIZE_MB,
+    SMALL_BLOCK,
     SMALL_CHUNK,
     SMALL_MAX_SPLITS,
     SPECIAL_ID,
@@ -351,6 +352,13 @@ def doc_stats_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _doc_pack(spark, sf_dir, PackOptions(token_mode="bytes")).stats
 
 
+@query
+def doc_stats_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token totals by the vocabulary, the default where one is given."""
+    files = corpora.document_files(spark, sf_dir)
+    return Pack(files, vocab=corpora.document_vocab(spark, sf_dir)).stats
+
+
 @query
 def entry_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries_op.entry_counts(_doc_pack(spark, sf_dir).entries)
@@ -431,11 +439,9 @@ def summary_header(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def structure_only(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pack = _doc_pack(spark, sf_dir, PackOptions(structure_only=True))
-    offsets = pieces.piece_offsets(pack.ledger)
-    return pieces.assemble_document(pieces.place(pack.body, offsets), 64 * fixed.MEGABYTE).select(
-        "repo", "text"
-    )
+    """Documents without contents, summary included, in blocks."""
+    options = PackOptions(structure_only=True, block_bytes=SMALL_BLOCK)
+    return _doc_pack(spark, sf_dir, options).documents()
 
 
 @query
@@ -569,12 +575,15 @@ def pretokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def special_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The roles of conversations as special tokens, looked up turn by turn."""
-    turns = corpora.table(spark, sf_dir, "conversations").select(
-        "conv_id", "turn", F.concat(F.lit("<|"), "role", F.lit("|>")).alias("text")
-    )
-    roles = turns.select("text").distinct()
-    special = ordering.ranks(roles, [F.col("text")]).select(
+    """The texts of conversations that are, as a whole, a special token.
+
+    Special are the texts of each conversation's last turn, the ids of which go by the
+    order of these; all texts of all turns are looked up.
+    """
+    turns = corpora.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    last = turns.groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"))
+    texts = stage(last.select("text").distinct(), "special")
+    special = ordering.ranks(texts, [F.col("text")]).select(
         F.col("text").cast("binary").alias("token"),
         (F.col("rank") + SPECIAL_ID + 1).cast("int").alias("id"),
         F.lit(True).alias("is_special"),

@@ -8,6 +8,7 @@ LIMIT_BYTES = int(LIMIT_MB * fixed.MEGABYTE)
 MAX_SPLITS = fixed.MAX_SPLITS
 SMALL_MAX_SPLITS = 2
 BLOCK_BYTES = 64 * 1024
+SMALL_BLOCK = 1024  # several blocks for a document's structure
 SMALL_CHUNK = 500  # bytes of a file
 OVERSIZE_MB = 0.06
 OVERSIZE_BYTES = int(OVERSIZE_MB * fixed.MEGABYTE)
