@@ -7,7 +7,7 @@ matches plain files, ``?`` matches any character and brackets are literal.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -171,19 +171,23 @@ def match_rules(paths: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
-def mark_kept(rows: DataFrame, matchers: DataFrame) -> DataFrame:
+def mark_kept(
+    rows: DataFrame,
+    matchers: DataFrame,
+    join: Callable[[DataFrame, DataFrame, str], DataFrame] | None = None,
+) -> DataFrame:
     """Add ``kept``: neither the path nor any directory above it is ignored.
 
     Decided within the row: nothing is exploded, and the only join is with one
-    row per repository (``matchers`` from :func:`ignore_matchers`).
+    row per repository (``matchers`` from :func:`ignore_matchers`). ``rows`` should be
+    narrow, as many matchers are not broadcast.
     """
     matcher = F.col("matcher")
     cut = F.rlike("path", matcher) | F.exists(
         ancestors(F.col("path")), lambda above: F.rlike(above, matcher)
     )
-    return rows.join(matchers, "repo", "left").select(
-        *rows.columns, (~F.coalesce(cut, F.lit(False))).alias("kept")
-    )
+    joined = rows.join(matchers, "repo", "left") if join is None else join(rows, matchers, "repo")
+    return joined.select(*rows.columns, (~F.coalesce(cut, F.lit(False))).alias("kept"))
 
 
 def prune(rows: DataFrame, matchers: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from corpuspack import fixed, schemas
 from corpuspack.functions.paths import in_vcs_dir
 from corpuspack.operators import entries as entries_op
-from corpuspack.operators import chunks, ignore, pieces, split
+from corpuspack.operators import chunks, ignore, joins, pieces, split
 from corpuspack.options import PackOptions
 from corpuspack.sources.staging import stage
 
@@ -93,7 +93,7 @@ class Pack:
         found = self._given_entries
         if found is None:
             found = entries_op.entries(self._names)
-        marked = ignore.mark_kept(found, self.matchers)
+        marked = ignore.mark_kept(found, self.matchers, joins.join_by_key)
         if not self.options.include_vcs:
             marked = marked.withColumn("kept", F.col("kept") & ~in_vcs_dir(F.col("path")))
         listing = stage(marked, "listing")
@@ -109,10 +109,16 @@ class Pack:
 
     @cached_property
     def visible_files(self) -> DataFrame:
-        """Files that are shown, with content."""
-        return ignore.prune(
-            entries_op.filter_vcs(self.files, self.options.include_vcs), self.matchers
-        )
+        """Files that are shown, with content.
+
+        Few matchers come to the contents. Many do not: paths are judged as narrow rows, and
+        contents meet the verdicts by path, which deals them evenly.
+        """
+        files = entries_op.filter_vcs(self.files, self.options.include_vcs)
+        if joins.small_enough(self.matchers, joins.KEYED_BYTES):
+            return ignore.prune(files, F.broadcast(self.matchers))
+        shown = self.entries.filter("NOT is_dir").select("repo", "path")
+        return files.join(shown, ["repo", "path"], "left_semi")
 
     @cached_property
     def status(self) -> DataFrame:

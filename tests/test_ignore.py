@@ -186,3 +186,26 @@ def test_any_number_of_rules(spark):
         )
     )
     assert verdicts == {"8x": True, "9x": False, "19999x": False, "1996y": True, "none": False}
+
+
+def test_many_matchers_leave_contents_where_they_are(spark, monkeypatch):
+    """Contents are not dealt by repository, and a repository with most files stays where it is."""
+    from corpuspack.operators import joins
+    from corpuspack.plans.pack import Pack
+
+    rows = [("big", f"d/f{i}.{'log' if i % 3 else 'c'}", b"x") for i in range(300)]
+    rows += [(f"r{i}", p, b"x") for i in range(30) for p in ("a.log", "b.c", "tmp/c.c")]
+    rows += [(r, ".gitignore", b"*.log\ntmp/\n") for r in {r for r, _, _ in rows} if r != "r7"]
+    df = spark.createDataFrame(rows, "repo string, path string, content binary")
+    few = sorted(Pack(df).visible_files.select("repo", "path").collect())
+    monkeypatch.setattr(joins, "KEYED_BYTES", 10)
+    monkeypatch.setattr(joins, "HOT_KEYS", 1)
+    pack = Pack(df)
+    assert sorted(pack.visible_files.select("repo", "path").collect()) == few
+    assert sum(r == "r7" for r, _ in few) == 3 and sum(r == "big" for r, _ in few) == 101
+    plan = pack.visible_files._jdf.queryExecution().toString()
+    for line in plan.splitlines():
+        if "Exchange hashpartitioning(repo" in line:
+            assert "path" in line
+    plan = joins.join_by_key(df.select("repo", "path"), pack.matchers, "repo", 10)
+    assert "BroadcastHashJoin" in plan._jdf.queryExecution().toString()
