@@ -5,8 +5,8 @@ A heading outside a fence opens a file, the next fence is its body, and a fence
 is closed by a line of exactly its backticks. Only headings and fence lines, a
 few narrow marks per block, decide what is what. Lines have one character per byte,
 so bytes that are not UTF-8 come back as they were. Each block is summarised by how
-it would end for every state it may start in, the summaries are chained per
-document, and then all blocks are cut in parallel.
+it would end for every state it may start in, so are slices of blocks, slices are
+chained per document, blocks per slice, and then all blocks are cut in parallel.
 """
 
 from __future__ import annotations
@@ -21,9 +21,11 @@ from pyspark.sql import types as T
 
 from corpuspack import fixed
 from corpuspack.functions.text import as_bytes, as_bytes_text, bytes_text_of
+from corpuspack.operators.ordering import running_totals
 from corpuspack.sources.staging import stage
 
 _MARKER = bytes_text_of(fixed.FILE_MARKER)
+SLICE_BLOCKS = 1000  # of a document are chained by one task
 INHERIT, CLOSED = -1, -2  # the open file is the one before the block; there is none
 
 
@@ -151,10 +153,71 @@ def _spans_of(
     return pd.Series(out)
 
 
+def _after(row: dict, fence: int, opened: tuple | int | None) -> tuple[int, tuple | int | None]:
+    """The state behind a block that is entered in this one."""
+    for end in row["exits"]:
+        if end["enter"] == fence:
+            if end["heading"] is not None:
+                h = end["heading"]
+                return end["fence"], (row["block"], h["line"], h["path"]) if h["path"] else None
+            return end["fence"], None if end["opened"] == CLOSED else opened
+    return fence, opened  # a fence that does not close
+
+
+def _compose(table: pa.Table) -> pa.Table:
+    """How a slice of blocks ends for every fence it may start in, as a block's own exits say.
+
+    Such functions compose in any grouping, so slices are summarised at once.
+    """
+    rows = sorted(table.to_pylist(), key=lambda r: r["block"])
+    out = []
+    for enter in sorted({0} | {end["enter"] for row in rows for end in row["exits"]}):
+        fence, opened = enter, INHERIT
+        for row in rows:
+            fence, opened = _after(row, fence, opened)
+        held = opened if isinstance(opened, tuple) else (None, None, None)
+        out.append(
+            {
+                "doc": rows[0]["doc"],
+                "slice": rows[0]["slice"],
+                "enter": enter,
+                "fence": fence,
+                "opened": CLOSED if opened is None else INHERIT if opened == INHERIT else 0,
+                "file_block": held[0],
+                "file_line": held[1],
+                "path": held[2],
+            }
+        )
+    return pa.Table.from_pylist(out, schema=_WAYS)
+
+
+def _chain_slices(table: pa.Table) -> pa.Table:
+    """Start state of every slice of one document but the first."""
+    by_slice: dict[int, list[dict]] = {}
+    for row in table.to_pylist():
+        by_slice.setdefault(row["slice"], []).append(row)
+    fence, opened, out = 0, None, []
+    for number in sorted(by_slice):
+        block, line, path = opened or (None, None, None)
+        doc = by_slice[number][0]["doc"]
+        out.append(
+            {"doc": doc, "slice": number, "fence": fence, "file_block": block, "file_line": line, "path": path}
+        )
+        for way in by_slice[number]:
+            if way["enter"] == fence:
+                fence = way["fence"]
+                if way["opened"] != INHERIT:
+                    opened = None if way["opened"] == CLOSED else (way["file_block"], way["file_line"], way["path"])
+                break
+    return pa.Table.from_pylist(out, schema=_STARTS)
+
+
 def _chain(table: pa.Table) -> pa.Table:
-    """Start state of every block of one document, except plain ones."""
+    """Start state of every block of one slice, except plain ones."""
     rows = sorted(table.to_pylist(), key=lambda r: r["block"])
-    fence, opened = 0, None
+    first = rows[0]
+    fence = first["start_fence"] or 0
+    opened = None if first["start_path"] is None else (first["start_block"], first["start_line"], first["start_path"])
     out = []
     for row in rows:
         if fence or opened is not None:
@@ -169,18 +232,25 @@ def _chain(table: pa.Table) -> pa.Table:
                     "path": path,
                 }
             )
-        for end in row["exits"]:
-            if end["enter"] == fence:
-                fence = end["fence"]
-                if end["heading"] is not None:
-                    h = end["heading"]
-                    opened = (row["block"], h["line"], h["path"]) if h["path"] else None
-                elif end["opened"] == CLOSED:
-                    opened = None
-                break
+        fence, opened = _after(row, fence, opened)
     return pa.Table.from_pylist(out, schema=_CARRY)
 
 
+_OPEN = [("file_block", pa.int64()), ("file_line", pa.int32()), ("path", pa.string())]
+_OPEN_DDL = "file_block bigint, file_line int, path string"
+_STARTS = pa.schema([("doc", pa.string()), ("slice", pa.int64()), ("fence", pa.int32()), *_OPEN])
+_STARTS_DDL = f"doc string, slice bigint, fence int, {_OPEN_DDL}"
+_WAYS = pa.schema(
+    [
+        ("doc", pa.string()),
+        ("slice", pa.int64()),
+        ("enter", pa.int32()),
+        ("fence", pa.int32()),
+        ("opened", pa.int32()),
+        *_OPEN,
+    ]
+)
+_WAYS_DDL = f"doc string, slice bigint, enter int, fence int, opened int, {_OPEN_DDL}"
 _CARRY = pa.schema(
     [
         ("doc", pa.string()),
@@ -194,12 +264,13 @@ _CARRY = pa.schema(
 _CARRY_DDL = "doc string, block bigint, fence int, file_block bigint, file_line int, path string"
 
 
-def _carried(blocks: DataFrame) -> DataFrame:
+def _carried(blocks: DataFrame, slice_blocks: int = SLICE_BLOCKS) -> DataFrame:
     """States that blocks start in, where that is not simply "outside, no file".
 
-    Only documents of several blocks are looked at. One row per block goes to a
-    document's task, without text. The result is staged: it is small or empty, and
-    knowing that, Spark need not shuffle the texts to join it.
+    Only documents of several blocks are looked at, one row without text for each block.
+    Blocks are dealt in slices; a document of several is chained from the slices' summaries,
+    then all slices are chained at once. The result is staged: it is small or empty,
+    and knowing that, Spark need not shuffle the texts to join it.
     """
     several = blocks.groupBy("doc").agg(F.count("*").alias("n")).filter("n > 1").select("doc")
     marked = blocks.join(several, "doc", "left_semi").select(
@@ -218,7 +289,22 @@ def _carried(blocks: DataFrame) -> DataFrame:
             ),
         ).alias("exits"),
     )
-    return stage(ends.groupBy("doc").applyInArrow(_chain, _CARRY_DDL), "carried")
+    begin = ["start_fence", "start_block", "start_line", "start_path"]
+    ends = stage(ends, "ends")
+    most = ends.groupBy("doc").count().agg(F.max("count")).first()[0] or 0
+    if most <= slice_blocks:  # a slice each, entered outside of a file
+        plain = dict(zip(begin, (F.lit(None).cast(t) for t in ("int", "bigint", "int", "string"))))
+        begun = ends.withColumns({"slice": F.lit(0).cast("bigint"), **plain})
+        return stage(begun.groupBy("doc", "slice").applyInArrow(_chain, _CARRY_DDL), "carried")
+    numbered = running_totals(ends, "doc", ["block"], {"nth": F.lit(1)})
+    sliced = stage(
+        numbered.withColumn("slice", F.floor(F.col("nth") / slice_blocks)).drop("nth"), "end-slices"
+    )
+    ways = stage(sliced.groupBy("doc", "slice").applyInArrow(_compose, _WAYS_DDL), "ways")
+    starts = stage(ways.groupBy("doc").applyInArrow(_chain_slices, _STARTS_DDL), "starts")
+    renamed = [F.col(c).alias(b) for c, b in zip(("fence", "file_block", "file_line", "path"), begin)]
+    begun = sliced.join(starts.select("doc", "slice", *renamed), ["doc", "slice"], "left")
+    return stage(begun.groupBy("doc", "slice").applyInArrow(_chain, _CARRY_DDL), "carried")
 
 
 def placeholder_cut(body: Column) -> Column:
@@ -226,7 +312,7 @@ def placeholder_cut(body: Column) -> Column:
     return F.regexp_replace(body, r"(?msd)^(\*Binary file\*|\*Error).*\z", "")
 
 
-def reconstruct(blocks: DataFrame) -> DataFrame:
+def reconstruct(blocks: DataFrame, slice_blocks: int = SLICE_BLOCKS) -> DataFrame:
     """Files ``(doc, path, content)`` of packed documents.
 
     ``blocks`` is ``(doc, text)`` or ``(doc, block, text)``. If a document has the
@@ -239,7 +325,7 @@ def reconstruct(blocks: DataFrame) -> DataFrame:
     spans = (
         blocks.withColumn("_lines", F.split(as_bytes_text(F.col("text")), "\n"))
         .withColumn("_marks", _marks(F.col("_lines")))
-        .join(_carried(blocks), ["doc", "block"], "left")
+        .join(_carried(blocks, slice_blocks), ["doc", "block"], "left")
         .withColumn("fence", F.coalesce("fence", F.lit(0)))
         .withColumn("_spans", _spans_of("_marks", "block", *state))
         .select("doc", "block", "_lines", F.explode("_spans").alias("span"))

@@ -28,10 +28,10 @@ def by_lines(text):
     return files
 
 
-def rebuilt(spark, blocks):
+def rebuilt(spark, blocks, **sizes):
     rows = [("d", n, t) for n, t in enumerate(blocks)]
     df = spark.createDataFrame(rows, "doc string, block bigint, text string")
-    return dict(column(rc.reconstruct(df), "path", "content"))
+    return dict(column(rc.reconstruct(df, **sizes), "path", "content"))
 
 
 def test_binary_placeholder_gives_empty_file(spark):
@@ -64,6 +64,7 @@ def test_any_cut_into_blocks_against_line_by_line(spark, seed):
     blocks = ["".join(lines[a:b]) for a, b in zip([0, *cuts], [*cuts, 60])]
     assert rebuilt(spark, ["".join(lines)]) == expected
     assert rebuilt(spark, blocks) == expected
+    assert rebuilt(spark, blocks, slice_blocks=seed % 3 + 1) == expected
 
 
 def test_roundtrip_diff(spark):
