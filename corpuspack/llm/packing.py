@@ -23,7 +23,7 @@ WINDOW = 4096
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 2
 # A task forgets the words it has encoded when it has so many.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 # A run of these is one pre-token, whatever letters stand before it.
 _PUNCTUATION = b'.,!?;:"()[]{}<>#*$%&|/@+=~^_-'
