@@ -60,7 +60,7 @@ def test_held_out_toxicity_and_language_model(spark):
 
 def test_queries_with_sql(spark):
     con = duckdb.connect()
-    for name in ("documents", "embeddings"):
+    for name in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SF}/{name}.parquet'")
     for name, sql in queries.ORACLE_SQL.items():
         ours = queries.QUERIES[name](spark, SF)
