@@ -495,8 +495,12 @@ QUERIES: dict[str, str] = {
         FROM placed GROUP BY repo, start // {BLOCK_BYTES}""",
     "write_pack": """
         SELECT repo, sum(strlen(text))::BIGINT AS n_bytes,
-               sum(len(string_split(text, chr(10))) - 1)::BIGINT AS n_lines
-        FROM doc GROUP BY repo""",
+               sum(len(string_split(text, chr(10))) - 1)::BIGINT AS n_lines, any_value(l.digests) AS digests
+        FROM doc JOIN (
+          SELECT repo, sum(('0x' || md5(line)[1:8])::BIGINT)::BIGINT AS digests FROM (
+            SELECT repo, unnest(string_split(left(text, length(text) - 1), chr(10))) AS line FROM doc)
+          GROUP BY repo) l USING (repo)
+        GROUP BY repo""",
     "entry_order": """
         SELECT repo, path, is_dir, row_number() OVER (PARTITION BY repo
                  ORDER BY string_split(path, '/'))::BIGINT AS position FROM shown""",
@@ -602,7 +606,13 @@ QUERIES: dict[str, str] = {
         WHERE total + 1 <= {OVERSIZE_BYTES} OR section < 5 GROUP BY repo""",
     "reconstruct": "SELECT repo, path, content FROM rebuilt",
     "reconstruct_parts": "SELECT repo, path, content FROM rebuilt",
-    "write_reconstructed": "SELECT repo, path, strlen(content)::BIGINT AS n_bytes FROM rebuilt",
+    "write_reconstructed": """
+        SELECT repo, path, strlen(content)::BIGINT AS n_bytes, md5(content) AS content_md5 FROM rebuilt""",
+    "export_parts": f"""
+        SELECT n.repo, n.part::BIGINT AS part, {part_names('n.repo')} AS file_name,
+               (strlen(n.prefix) + n.part_end - n.part_start + strlen(n.suffix))::BIGINT AS n_bytes, false AS differs,
+               md5(encode(n.prefix) || encode(d.text)[n.part_start + 1:n.part_end] || encode(n.suffix)) AS content_md5
+        FROM noticed n JOIN doc_texts d USING (repo)""",
     "binary_placeholder": """
         SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN text || chr(10) WHEN 1 THEN ''
           ELSE text || ' *Error' || chr(10) || text END AS content FROM documents""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -177,13 +178,44 @@ def load_vocab_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocab.load_vocab(_vocab_lines(spark, sf_dir))[1]
 
 
+def _number_of(line: Column) -> Column:
+    """A number that tells contents apart and may be added up."""
+    return F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("bigint")
+
+
+def _read_back(spark: SparkSession, root: str, names: DataFrame) -> DataFrame:
+    """``names (repo, file_name)`` with the hash of each one's file below ``root`` as it is now."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{root}")
+    where = F.substring_index("path", f"/{os.path.basename(root)}/", -1)
+    found = files.select(
+        F.substring_index(where, "/", 1).alias("repo"),
+        F.substring_index(where, "/", -1).alias("file_name"),
+        F.md5("content").alias("content_md5"),
+    )
+    return names.join(found, ["repo", "file_name"], "left")
+
+
+@query
+def export_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Part files under their names, read back."""
+    root = shared_posix_path(fresh_path(spark, "part-files"))
+    made = _doc_pack(spark, sf_dir, SPLIT).parts()
+    manifest = stage(sinks.export_parts(made, root), "manifest")
+    differing = sinks.differing_parts(manifest, root).select("repo", "part", F.lit(True).alias("differs"))
+    checked = manifest.join(differing, ["repo", "part"], "left")
+    named = checked.select("repo", "part", "file_name", "n_bytes", F.coalesce("differs", F.lit(False)).alias("differs"))
+    return _read_back(spark, root, named)
+
+
 @query
 def write_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "pack")
     sinks.write_pack(_doc_pack(spark, sf_dir).placed, path, BLOCK_BYTES)
     written = spark.read.schema("value string, repo string, block string").text(path)
     return written.groupBy("repo").agg(
-        F.sum(F.octet_length("value") + 1).alias("n_bytes"), F.count("*").alias("n_lines")
+        F.sum(F.octet_length("value") + 1).alias("n_bytes"),
+        F.count("*").alias("n_lines"),
+        F.sum(_number_of(F.col("value"))).alias("digests"),
     )
 
 
@@ -204,7 +236,12 @@ def write_reconstructed(spark: SparkSession, sf_dir: str) -> DataFrame:
     rebuilt = unpack.unpack_documents(documents)
     sinks.write_reconstructed(rebuilt, path)
     root = shared_posix_path(fresh_path(spark, "tree"))
-    return sinks.export_files(spark.read.parquet(path), root)
+    written = stage(sinks.export_files(spark.read.parquet(path), root), "written")
+    listed = written.select(
+        "repo", F.concat(F.lit(f"{root}/"), "repo").alias("root"), "path", F.col("n_bytes").alias("size"), F.lit(False).alias("is_dir")
+    )
+    found = chunks.join_contents(tree.read_contents(listed))
+    return written.join(found, ["repo", "path"]).select("repo", "path", "n_bytes", F.md5("content").alias("content_md5"))
 
 
 # ignore rules

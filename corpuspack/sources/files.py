@@ -22,41 +22,55 @@ from corpuspack.operators.entries import filter_vcs
 from corpuspack.operators.ignore import prune
 from corpuspack.sources.staging import stage
 
+LISTED_ROWS = 5000  # that a task holds of a directory
 _LISTING = "repo string, root string, path string, is_dir boolean, size bigint"
 
 
 def _list_directories(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The direct children of every directory; what cannot be read is skipped.
+    """The direct children of every directory, some thousand at a time; what cannot be read is skipped.
 
     So is a link to a directory that the path already goes through, which has no end.
     """
+    rows: list[tuple] = []
+
+    def taken() -> pd.DataFrame:
+        batch = pd.DataFrame(rows, columns=["repo", "root", "path", "is_dir", "size"])
+        rows.clear()
+        return batch
+
     for batch in batches:
-        rows = []
         for repo, root, path in zip(batch["repo"], batch["root"], batch["path"]):
-            try:
-                children = list(os.scandir(os.path.join(root, path)))
-            except OSError:
-                continue
             above = None
-            for child in children:
-                if child.is_symlink() and child.is_dir():
-                    above = above if above is not None else _real_paths(root, path)
-                    if os.path.realpath(child.path) in above:
-                        continue
+            for child in _children(os.path.join(root, path)):
                 try:
                     info = child.stat()  # follows links
+                    if child.is_symlink() and child.is_dir():
+                        above = above if above is not None else _places(root, path)
+                        if (info.st_dev, info.st_ino) in above:
+                            continue
                 except OSError:
                     continue
                 rel = f"{path}/{child.name}" if path else child.name
                 rows.append((repo, root, rel, child.is_dir(), info.st_size))
-        yield pd.DataFrame(rows, columns=["repo", "root", "path", "is_dir", "size"])
+                if len(rows) >= LISTED_ROWS:
+                    yield taken()
+    yield taken()
+
+
+def _children(folder: str) -> Iterator[os.DirEntry]:
+    """The entries of a folder as they are read; none, or no more, where that fails."""
+    try:
+        with os.scandir(folder) as found:
+            yield from found
+    except OSError:
+        return
 
 
-def _real_paths(root: str, path: str) -> set[str]:
-    """Where the directories of a path really are, the root included."""
+def _places(root: str, path: str) -> set[tuple[int, int]]:
+    """Device and inode of the directories of a path, the root included."""
     names = path.split("/") if path else []
-    steps = [os.path.join(root, *names[:i]) for i in range(len(names) + 1)]
-    return {os.path.realpath(step) for step in steps}
+    found = (os.stat(os.path.join(root, *names[:i])) for i in range(len(names) + 1))
+    return {(info.st_dev, info.st_ino) for info in found}
 
 
 def scan_tree(
