@@ -259,7 +259,16 @@ def encode_ids(
     vocabulary: Vocabulary,
     look_up: LookUp | None = None,
 ) -> DataFrame:
-    """The ordered id array per key, put together from blocks. It is bounded by its text."""
+    """The ordered id array per key, which is bounded by its text.
+
+    For texts that are too long for that, there is :func:`encode_blocks`.
+    """
+    if vocabulary.is_small and look_up is None:
+        units = _units(texts, keys, text, vocabulary)
+        chunks = _looked_up_chunks(units, [*keys, "pos"], vocabulary)
+        rows = chunks.select(*keys, "pos", "chunk_pos", vocabulary.ids("id", "chunk").alias("ids"))
+        placed = F.array_sort(F.collect_list(F.struct("pos", "chunk_pos", "ids")))
+        return rows.groupBy(*keys).agg(F.flatten(F.transform(placed, lambda t: t["ids"])).alias("ids"))
     blocks = encode_blocks(texts, keys, text, vocabulary, look_up)
     whole = blocks.groupBy(*keys).agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY block)").alias("ids"))
     return whole.select(*keys, unpacked(F.col("ids")).alias("ids"))
