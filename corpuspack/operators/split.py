@@ -9,6 +9,8 @@ document are then chained by these maps, a few numbers each, and walked at once.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
@@ -18,12 +20,12 @@ from pyspark.sql import functions as F
 from corpuspack import fixed
 from corpuspack.functions import render
 from corpuspack.functions.paths import default_output_name, part_file_name
-from corpuspack.functions.text import as_bytes_text, bytes_text_of
-from corpuspack.operators.pieces import CONTENTS, FILE, TREE, place
+from corpuspack.operators.pieces import CONTENTS, FILE, KEY, TREE, place
 from corpuspack.sources.staging import stage
 
 NEWLINE, BREAK, MARKER = 1, 2, 3
-_MARKER = bytes_text_of(fixed.FILE_MARKER)
+LINES_HELD = 1 << 18  # rows of a batch of line starts, about
+_LINES = pa.schema([("repo", pa.string()), ("pos", pa.int64()), ("kind", pa.int32())])
 SLICE_CUTS = 100  # of a document are decided in a task, which bounds the candidates it holds
 KIND_NAMES = {NEWLINE: "newline", BREAK: "break", MARKER: "marker"}
 
@@ -57,81 +59,93 @@ def apply_policy(pieces: DataFrame, policy: DataFrame) -> DataFrame:
     )
 
 
-def _line_kind(line: Column, pos: Column, total: Column) -> Column:
-    """Best use of a line start. A prefix may not reach the end of the document.
+def _begin_with(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, prefix: bytes) -> np.ndarray:
+    """Which of the lines from ``starts`` to ``ends`` begin so."""
+    found = ends - starts >= len(prefix)
+    for i, byte in enumerate(prefix):
+        at = np.flatnonzero(found)
+        found[at] = data[starts[at] + i] == byte
+    return found
 
-    ``line`` has one character per byte, so positions hold whatever the bytes are.
-    """
-    marker = F.startswith(line, F.lit(_MARKER))
-    section = F.startswith(line, F.lit(fixed.SECTION_MARKER))
-    return (
-        F.when(marker & (pos + len(_MARKER) < total), MARKER)
-        .when((line == "") & (pos + 1 < total), BREAK)
-        .when(section & (pos + 1 + len(fixed.SECTION_MARKER.encode()) < total), BREAK)
-        .otherwise(NEWLINE)
-    )
 
+def lines_of(data: np.ndarray, start: int, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where each line of a piece begins in its document of ``total`` bytes, and its best use.
 
-def _line_starts(placed: DataFrame, *keep: str) -> DataFrame:
-    """``(repo, pos, kind)`` of every line start in the given pieces.
-
-    Positions come from a window over the lines of one piece. Only the length
-    and the look of a line go through that shuffle, not its text.
+    The piece's bytes ``data`` begin at ``start``. A prefix may not reach the end of the
+    document. What follows a last newline is no line.
+    """
+    newlines = np.flatnonzero(data == ord("\n"))
+    starts = np.append(0, newlines + 1)
+    ends = np.append(newlines, len(data))
+    if len(newlines) and newlines[-1] == len(data) - 1:
+        starts, ends = starts[:-1], ends[:-1]
+    pos = start + starts
+    kind = np.full(len(pos), NEWLINE, np.int32)
+    section = fixed.SECTION_MARKER.encode()
+    kind[_begin_with(data, starts, ends, section) & (pos + 1 + len(section) < total)] = BREAK
+    kind[(starts == ends) & (pos + 1 < total)] = BREAK
+    marker = fixed.FILE_MARKER.encode()
+    kind[_begin_with(data, starts, ends, marker) & (pos + len(marker) < total)] = MARKER
+    return pos, kind
+
+
+def _line_starts(placed: DataFrame, every_line: Column) -> DataFrame:
+    """``(repo, pos, kind)`` of the line starts in the given pieces, or of the marker lines only.
+
+    A piece knows where it begins, so its lines are placed where its text is: nothing is
+    shuffled, and of chunks each counts on from its own ``start``.
     """
-    line, within = F.col("line"), F.lit(False)
+    within = F.lit(False)
     if "line" in placed.columns:  # of chunks: the one their first line begins in
-        within = F.coalesce(line < F.col("nth"), within)
-    in_piece = Window.partitionBy("repo", "start").orderBy("i").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    return (
-        placed.withColumn("_lines", F.split(as_bytes_text(F.col("text")), "\n"))
-        .withColumn("_within", within)
-        .select(
-            "repo",
-            "start",
-            "_within",
-            *{"doc_bytes", *keep},
-            # where a piece ends with a newline, its last element is empty and no line
-            F.posexplode(
-                F.slice(
-                    "_lines",
-                    F.lit(1),
-                    F.size("_lines") - F.endswith("text", F.lit("\n")).cast("int"),
-                )
-            ).alias("i", "line"),
-        )
-        .select(
-            "repo",
-            "start",
-            *{"doc_bytes", *keep},
-            "i",
-            "_within",
-            F.length(line).alias("length"),
-            F.substring(line, 1, len(_MARKER)).alias("line"),
-        )
-        .withColumn(
-            "pos",
-            F.col("start")
-            + F.coalesce(F.sum(F.col("length") + 1).over(in_piece), F.lit(0)),
-        )
-        .filter((F.col("i") > 0) | ~F.col("_within"))
-        .select(
-            "repo",
-            "pos",
-            _line_kind(line, F.col("pos"), F.col("doc_bytes")).alias("kind"),
-            *keep,
-        )
+        within = F.coalesce(F.col("line") < F.col("nth"), within)
+
+    def rows(repos: list[str], pos: list[np.ndarray], kind: list[np.ndarray]) -> pa.RecordBatch:
+        lengths = [len(p) for p in pos]
+        names = pa.array(repos, pa.string()).take(pa.array(np.repeat(np.arange(len(repos)), lengths)))
+        columns = {"repo": names, "pos": np.concatenate(pos), "kind": np.concatenate(kind)}
+        return pa.RecordBatch.from_pydict(columns, _LINES)
+
+    def place_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held: tuple[list, list, list] = ([], [], [])
+            n = 0
+            facts = batch.drop_columns(["text"]).to_pylist()
+            for row, text in zip(facts, batch["text"]):
+                data = np.frombuffer(text.as_buffer(), np.uint8)
+                pos, kind = lines_of(data, row["start"], row["doc_bytes"])
+                use = np.full(len(pos), row["every_line"]) | (kind == MARKER)
+                use[:1] &= not row["within"]
+                pos, kind = pos[use], kind[use]
+                for i in range(0, len(pos), LINES_HELD):
+                    some = slice(i, i + LINES_HELD)
+                    for values, value in zip(held, (row["repo"], pos[some], kind[some])):
+                        values.append(value)
+                    n += len(pos[some])
+                    if n >= LINES_HELD:
+                        yield rows(*held)
+                        held, n = ([], [], []), 0
+            if n:
+                yield rows(*held)
+
+    narrow = placed.select(
+        "repo",
+        "start",
+        "doc_bytes",
+        every_line.alias("every_line"),
+        within.alias("within"),
+        F.col("text").cast("binary").alias("text"),
     )
+    return narrow.mapInArrow(place_lines, "repo string, pos bigint, kind int")
 
 
-def split_candidates(placed: DataFrame, totals: DataFrame) -> DataFrame:
+def split_candidates(pieces: DataFrame, offsets: DataFrame, totals: DataFrame) -> DataFrame:
     """All places where a part may start: ``(repo, pos, kind)``.
 
     Every piece ends with a newline, so each candidate is the start of a line, or
     the end of the document, and its kind depends on that line only.
     """
-    starts = _line_starts(placed.join(totals.select("repo", "doc_bytes"), "repo"))
+    sized = offsets.join(totals.select("repo", "doc_bytes"), "repo")
+    starts = _line_starts(place(pieces, sized), F.lit(True))
     ends = totals.select("repo", F.col("doc_bytes").alias("pos"), F.lit(NEWLINE).alias("kind"))
     names = F.create_map(*[F.lit(x) for kv in KIND_NAMES.items() for x in kv])
     return (
@@ -177,14 +191,12 @@ def _useful_candidates(
         F.when(F.col("section") == FILE, MARKER).otherwise(NEWLINE).alias("kind"),
     )
     looked_at = near.filter(~by_offset).withColumn("every_line", ~short_file)
-    lines = _line_starts(place(pieces, looked_at), "every_line").filter(
-        F.col("every_line") | (F.col("kind") == MARKER)
-    )
+    lines = _line_starts(place(pieces, looked_at), F.col("every_line"))
     ends = long_docs.select(
         "repo", F.col("doc_bytes").alias("pos"), F.lit(NEWLINE).alias("kind")
     )
     return (
-        starts.unionByName(lines.drop("every_line"))
+        starts.unionByName(lines)
         .unionByName(ends)
         .filter((F.col("pos") > 0) & within(F.col("pos")))
     )
@@ -483,23 +495,15 @@ def split_points(plan: DataFrame) -> DataFrame:
 
 def part_bounds(plan: DataFrame) -> DataFrame:
     """``(repo, part, n_parts, part_start, part_end)``, one row per part."""
-    edges = F.concat(F.array(F.lit(0).cast("bigint")), "cuts", F.array("doc_bytes"))
-    return (
-        plan.withColumn("edges", edges)
-        .select(
-            "repo",
-            (F.size("cuts") + 1).alias("n_parts"),
-            "edges",
-            F.explode(F.sequence(F.lit(1), F.size("cuts") + 1)).alias("part"),
-        )
-        .select(
-            "repo",
-            "part",
-            "n_parts",
-            F.element_at("edges", F.col("part")).alias("part_start"),
-            F.element_at("edges", F.col("part") + 1).alias("part_end"),
-        )
+    starts = F.concat(F.array(F.lit(0).cast("bigint")), "cuts").alias("part_start")
+    ends = F.concat("cuts", F.array("doc_bytes")).alias("part_end")
+    bounds = plan.select(
+        "repo",
+        (F.size("cuts") + 1).alias("n_parts"),
+        # the arrays do not go on with each of their elements
+        F.posexplode(F.arrays_zip(starts, ends)).alias("n", "at"),
     )
+    return bounds.select("repo", (F.col("n") + 1).alias("part"), "n_parts", "at.part_start", "at.part_end")
 
 
 def continuation_notices(plan: DataFrame) -> DataFrame:
@@ -513,55 +517,56 @@ def continuation_notices(plan: DataFrame) -> DataFrame:
     )
 
 
-def _slices(placed: DataFrame, plan: DataFrame) -> DataFrame:
-    """Pieces cut at the document's cuts, with the bounds of the part they go to.
+def _ranges(offsets: DataFrame, bounds: DataFrame, span: int) -> DataFrame:
+    """Pieces by key, each with the ``ranges`` of it that go to different parts.
 
-    ``plan`` has one short row per document, so this is a join by key, and the
-    cuts are applied within the row.
+    A part and a piece meet where both reach into the same ``span`` bytes of a document, so
+    no key has more rows than these bytes have pieces, however long a document is. They
+    are taken from the first such span only.
     """
-    start, end = F.col("start"), F.col("start") + F.col("n_bytes")
-    lo, hi, part = F.col("s.lo"), F.col("s.hi"), F.col("part")
-    inner = F.filter("cuts", lambda c: (c > start) & (c < end))
-    edges = F.concat(F.array(start), inner, F.array(end))
-    ranges = F.transform(
-        F.sequence(F.lit(1), F.size("edges") - 1),
-        lambda i: F.struct(
-            F.element_at("edges", i).alias("lo"), F.element_at("edges", i + 1).alias("hi")
-        ),
-    )
-    body = F.substr(
-        F.col("text").cast("binary"), (lo - start + 1).cast("int"), (hi - lo).cast("int")
-    )
-    return (
-        placed.join(plan, "repo")
-        .withColumn("edges", edges)
-        .select("repo", "cuts", "doc_bytes", "start", "text", F.explode(ranges).alias("s"))
-        .withColumn("part", F.size(F.filter("cuts", lambda c: c <= lo)) + 1)
-        .select(
-            "repo",
-            "part",
-            (F.size("cuts") + 1).alias("n_parts"),
-            F.coalesce(F.get("cuts", part - 2), F.lit(0)).alias("part_start"),
-            F.coalesce(F.get("cuts", part - 1), "doc_bytes").alias("part_end"),
-            lo.alias("lo"),
-            hi.alias("hi"),
-            body.alias("body"),
-        )
+
+    def spans(start: str, end: str) -> Column:
+        return F.sequence(F.floor(F.col(start) / span), F.floor((F.col(end) - 1) / span))
+
+    whole = offsets.filter("n_bytes > 0").withColumn("piece_end", F.col("start") + F.col("n_bytes"))
+    here = whole.select(*KEY, "start", "piece_end", F.explode(spans("start", "piece_end")).alias("span"))
+    there = bounds.filter("part_end > part_start").withColumn(
+        "span", F.explode(spans("part_start", "part_end"))
     )
+    lo, hi = F.greatest("start", "part_start"), F.least("piece_end", "part_end")
+    met = here.join(there, ["repo", "span"]).filter((lo < hi) & (F.col("span") == F.floor(lo / span)))
+    share = F.struct(*[c for c in bounds.columns if c != "repo"], lo.alias("lo"), hi.alias("hi"))
+    return met.groupBy(*KEY, "start").agg(F.collect_list(share).alias("ranges"))
 
 
-def parts(placed: DataFrame, plan: DataFrame, block_bytes: int) -> DataFrame:
+def parts(
+    texts: DataFrame, offsets: DataFrame, bounds: DataFrame, limit: int, block_bytes: int
+) -> DataFrame:
     """``(repo, part, block, start, end, opening_bytes, body)``: parts with notices.
 
-    ``start`` and ``end`` are offsets in the document, without notices. A part
+    ``bounds`` are those of :func:`part_bounds`; a ``file_name`` there is kept. ``start`` and ``end`` are offsets in the document, without notices. A part
     larger than ``block_bytes`` (the last one has no limit) is several rows, in
     order; the first has the opening notice, of ``opening_bytes``, and the last
     the closing one.
+
+    Parts and blocks are decided on narrow rows. Texts go by piece, to meet them, and by
+    block; never by repository.
     """
+    lo, hi = F.col("s.lo"), F.col("s.hi")
+    body = F.substr(
+        F.col("text").cast("binary"), (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int")
+    )
     blocks = (
-        _slices(placed, plan)
-        .withColumn("block", F.floor((F.col("lo") - F.col("part_start")) / block_bytes))
-        .groupBy("repo", "part", "n_parts", "part_start", "part_end", "block")
+        texts.select(*KEY, "text")
+        .join(_ranges(offsets, bounds, limit), KEY)
+        .select("repo", "start", "text", F.explode("ranges").alias("s"))
+        .select(
+            "repo",
+            "s.*",
+            F.floor((lo - F.col("s.part_start")) / block_bytes).alias("block"),
+            body.alias("body"),
+        )
+        .groupBy(*bounds.columns, "block")
         .agg(
             F.min("lo").alias("start"),
             F.max("hi").alias("end"),
@@ -569,12 +574,8 @@ def parts(placed: DataFrame, plan: DataFrame, block_bytes: int) -> DataFrame:
         )
     )
     # a cut at the very end leaves an empty last part
-    empty = part_bounds(plan).filter(F.col("part_start") == F.col("part_end")).select(
-        "repo",
-        "part",
-        "n_parts",
-        "part_start",
-        "part_end",
+    empty = bounds.filter(F.col("part_start") == F.col("part_end")).select(
+        *bounds.columns,
         F.lit(0).cast("bigint").alias("block"),
         F.col("part_start").alias("start"),
         F.col("part_end").alias("end"),
@@ -590,6 +591,7 @@ def parts(placed: DataFrame, plan: DataFrame, block_bytes: int) -> DataFrame:
     return blocks.unionByName(empty).select(
         "repo",
         "part",
+        *[c for c in bounds.columns if c == "file_name"],
         "block",
         "start",
         "end",
@@ -599,7 +601,10 @@ def parts(placed: DataFrame, plan: DataFrame, block_bytes: int) -> DataFrame:
 
 
 def name_parts(rows: DataFrame, repos: DataFrame) -> DataFrame:
-    """Add the file name of each part, from the repository's directory name."""
+    """Add the ``file_name`` of each part, from the repository's directory name.
+
+    ``rows`` are best the narrow ones of :func:`part_bounds`.
+    """
     directory = F.col("directory" if "directory" in repos.columns else "repo")
     names = repos.select("repo", default_output_name(directory).alias("_name"))
     return (

@@ -210,7 +210,7 @@ class Pack:
         return self.policy.filter(F.col("action") == "split")
 
     def split_candidates(self) -> DataFrame:
-        return split.split_candidates(self.placed, self._split_docs)
+        return split.split_candidates(self._texts, self.offsets, self._split_docs)
 
     @cached_property
     def split_plan(self) -> DataFrame:
@@ -232,5 +232,8 @@ class Pack:
 
     def parts(self) -> DataFrame:
         """Parts of the documents that are split, with file names."""
-        rows = split.parts(self.placed, self.split_plan, self.options.block_bytes)
-        return split.name_parts(rows, self.repos)
+        options = self.options
+        bounds = split.name_parts(split.part_bounds(self.split_plan), self.repos)
+        return split.parts(
+            self._texts, self.offsets, bounds, options.limit_bytes, options.block_bytes
+        )

@@ -195,6 +195,35 @@ def test_look_alike_marker_does_not_cut():
     assert split.walk(pos, kind, len(text), 120, 100) == [120]
 
 
+@pytest.mark.parametrize("seed", range(20))
+def test_lines_of_a_piece_against_a_walk_over_its_lines(seed):
+    rng = random.Random(seed)
+    marker, section = fixed.FILE_MARKER.encode(), fixed.SECTION_MARKER.encode()
+    bits = [marker, marker[:-1], section, section[:-1], b"\n", b"\n\n", b"x", "\u00e9".encode(), b"\xff"]
+    data = b"".join(rng.choice(bits) for _ in range(rng.randrange(60)))
+    start, total = rng.randrange(50), len(data) + rng.randrange(50, 60)
+    expected, at = [], start
+    lines = data.split(b"\n")
+    for line in lines[:-1] if data.endswith(b"\n") else lines:
+        kind = split.NEWLINE
+        if line.startswith(marker) and at + len(marker) < total:
+            kind = split.MARKER
+        elif (not line and at + 1 < total) or (line.startswith(section) and at + 1 + len(section) < total):
+            kind = split.BREAK
+        expected.append((at, kind))
+        at += len(line) + 1
+    pos, kind = split.lines_of(np.frombuffer(data, np.uint8), start, total)
+    assert list(zip(pos.tolist(), kind.tolist())) == expected
+
+
+def test_many_lines_come_in_several_batches(spark, monkeypatch):
+    monkeypatch.setattr(split, "LINES_HELD", 7)
+    rows = [("r", 0, 200, "a\n" * 40), ("r", 80, 200, "\n" * 20), ("s", 0, 9, "")]
+    placed = spark.createDataFrame(rows, "repo string, start bigint, doc_bytes bigint, text string")
+    got = column(split._line_starts(placed, F.lit(True)), "repo", "pos")
+    assert sorted(got) == sorted([("r", 2 * i) for i in range(40)] + [("r", 80 + i) for i in range(20)] + [("s", 0)])
+
+
 def test_walk_prefers_markers_then_breaks_then_newlines():
     def cuts(text, limit):
         data = text.encode()

@@ -2,10 +2,11 @@
 
 import pytest
 from conftest import files_df
+from pyspark.sql import functions as F
 
 from corpuspack import PackOptions
 from corpuspack.operators import entries as entries_op
-from corpuspack.operators import ignore, lint, pieces, tokens
+from corpuspack.operators import ignore, lint, pieces, split, tokens
 from corpuspack.plans.pack import Pack
 from corpuspack.sources.staging import stage
 
@@ -59,3 +60,39 @@ def test_counting_shuffles_sums_and_not_text(spark, table):
     main = [line for line in lines if "Exchange hashpartitioning(path" in line]
     assert len(main) == 1
     assert not any("SortMergeJoin" in line for line in lines)
+
+
+def text_exchanges(df):
+    """How rows that hold texts are dealt by the shuffles of a plan."""
+    found = []
+
+    def visit(node):
+        output = node.output().mkString(",")
+        if node.nodeName() == "Exchange" and any(name in output for name in ("content#", "text#", "body#")):
+            found.append(node.outputPartitioning().toString())
+        children = node.children()
+        for i in range(children.size()):
+            visit(children.apply(i))
+
+    visit(df._jdf.queryExecution().executedPlan().initialPlan())
+    return found
+
+
+def test_parts_deal_texts_by_piece_and_by_block(spark, table):
+    """Not by repository, also if nothing is small enough for a broadcast."""
+    pack = Pack(table, PackOptions(split=True, limit_mb=100 / 2**20))
+    assert pack.parts().count() > 2
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        dealt = text_exchanges(pack.parts())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert dealt and all("key#" in way or "block#" in way for way in dealt)
+
+
+def test_lines_are_placed_without_a_shuffle(spark):
+    rows = [("r", 5, 40, "a\n\nb\n"), ("s", 0, 4, "no end")]
+    placed = stage(spark.createDataFrame(rows, "repo string, start bigint, doc_bytes bigint, text string"), "plan-placed")
+    lines = split._line_starts(placed, F.lit(True))
+    assert "Exchange" not in plan(lines)
+    assert sorted((r.repo, r.pos) for r in lines.collect()) == [("r", 5), ("r", 7), ("r", 8), ("s", 0)]
