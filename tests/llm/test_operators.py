@@ -340,6 +340,21 @@ def test_katz(docs, corpus, none, share, block):
     assert katz.score(none).count() == 0
 
 
+def test_katz_counts_pairs_of_rare_words(spark, monkeypatch):
+    """Words of less than a millionth of all tokens; frequent ones have pairs in several shards."""
+    texts = ["a b " * 550_000, "rare pair a", "rare pair b", "pair rare", "rare new", "b a rare pair"]
+    ids = [i for i in range(99) if not katz.is_held_out(i, katz.FOLDS)][:5]
+    ids.append(next(i for i in range(99) if katz.is_held_out(i, katz.FOLDS)))
+    df = frame(spark, texts, ids)
+    want = brute_katz(rows(df, "doc_id", "text"), 0)
+    for shard_tokens in (katz.SHARD_TOKENS, 200_000):
+        monkeypatch.setattr(katz, "SHARD_TOKENS", shard_tokens)
+        found = sorted((str(r[0]), *r[1:]) for r in rows(katz.score(df, 500)))
+        assert [r[:5] for r in found] == [r[:5] for r in want]
+        for one, other in zip(found, want):
+            assert one[5:] == pytest.approx(other[5:], rel=1e-9, abs=1e-6)
+
+
 def test_katz_without_training(spark):
     held = [i for i in range(40) if katz.is_held_out(i, katz.FOLDS)][:2]
     found = rows(katz.score(frame(spark, ["a b", ""], held)))
