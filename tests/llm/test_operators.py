@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from corpuspack.llm import (
@@ -440,6 +441,17 @@ def test_sharding(spark, docs, none):
 # -- quality classifier ---------------------------------------------------------------
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_kneser_ney_learns_from_all_trusted_documents(spark, monkeypatch, small):
+    """Of more than 100,000, also those that are last by any order."""
+    monkeypatch.setattr(kneser_ney, "small_enough", lambda table: small)
+    ids = spark.range(150_000).withColumnRenamed("id", "doc_id")
+    docs = ids.select("doc_id", F.expr("CASE WHEN xxhash64(doc_id) < 8.5e18 THEN 'a' ELSE 'q' END AS text"))
+    model = kneser_ney.train(docs, ids.select("doc_id", F.lit(1).alias("quality")))
+    table = kneser_ney._symbol_table()
+    assert {int(table[ord(c)]) for c in "aq"} <= set(model.grams[0][0].tolist())
+
+
 def brute_kneser_ney(texts):
     """Log probability of the n-grams of ``texts`` by the textbook, as a function."""
     table = kneser_ney._symbol_table()
