@@ -4,7 +4,8 @@ A text is cut into pretokens, a pretoken that is not in the vocabulary into
 chunks, and a chunk that is not in it into bytes; bytes the vocabulary lacks
 vanish. The vocabulary is looked up in hash joins on the exploded units. It is
 broadcast when its measured size allows, so the text itself is not shuffled, and
-what leaves a task are per-text sums or id lists.
+what leaves a task are per-text sums or id lists. Id arrays of texts whose keys occur
+once are made within the row, so nothing is shuffled for them.
 
 Inside, texts and tokens have one character per byte, so that tokens which are
 not valid UTF-8 need no special care.
@@ -12,12 +13,17 @@ not valid UTF-8 need no special care.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuspack.functions.text import (
+    PRETOKEN,
     as_bytes,
     as_bytes_text,
     fallback_chunks,
@@ -32,6 +38,8 @@ BLOCK_UNITS = 65_536  # pretokens of a row of ids
 HOT_UNITS = 10_000
 HOT_LENGTH = 64
 
+CACHED_UNITS = 200_000  # of a task, none longer than HOT_LENGTH
+
 LookUp = Callable[[DataFrame], DataFrame]  # from (unit) to (unit, packed)
 
 
@@ -41,6 +49,7 @@ class Vocabulary:
     def __init__(self, vocab: DataFrame) -> None:
         keyed = vocab.select(as_bytes_text(F.col("token")).alias("unit"), "id", "is_special")
         self.is_small = small_enough(keyed)
+        self.keyed = keyed
         hint = F.broadcast if self.is_small else lambda table: table
         regular = keyed.filter(~F.col("is_special")).select("unit", "id")
         self.special = hint(keyed.filter("is_special").select("unit", "id"))
@@ -252,6 +261,74 @@ def encode_blocks(
     return blocks.join(starts, [*keys, "block"]).select(*keys, "block", "start", "ids")
 
 
+class _Chunks(dict):
+    """From a pretoken to the ids of each of its chunks; remembers those asked for."""
+
+    def __init__(self, table: pa.Table) -> None:
+        super().__init__()
+        rows = sorted(zip(*[table.column(c).to_pylist() for c in ("token", "is_special", "id")]))
+        self.chunks = {token: i for token, special, i in rows if not special}
+        self.special = {token: i for token, special, i in rows if special}
+
+    def __missing__(self, unit: bytes) -> list[tuple[int, ...]]:
+        whole = self.special.get(unit, self.chunks.get(unit))
+        if whole is not None:
+            return self._kept(unit, [(whole,)])
+        n = len(unit)
+        if not unit.isascii() or n > 4 and unit[:1].isdigit():
+            size = 1
+        else:
+            size = 4 if n <= 8 else 3 if n <= 16 else 2
+        return self._kept(unit, [self._ids(unit[i : i + size]) for i in range(0, n, size)])
+
+    def _ids(self, chunk: bytes) -> tuple[int, ...]:
+        found = self.chunks.get(chunk)
+        if found is not None:
+            return (found,)
+        single = (self.chunks.get(chunk[i : i + 1]) for i in range(len(chunk)))
+        return tuple(i for i in single if i is not None)
+
+    def _kept(self, unit: bytes, ids: list[tuple[int, ...]]) -> list[tuple[int, ...]]:
+        if len(unit) <= HOT_LENGTH:
+            if len(self) >= CACHED_UNITS:
+                self.clear()
+            self[unit] = ids
+        return ids
+
+
+def _array_encoder(spark, vocabulary: Vocabulary):
+    """A column function: the texts (binary) of a key to its ids, by place where there are several."""
+    token = as_bytes(F.col("unit")).alias("token")
+    held = spark.sparkContext.broadcast(vocabulary.keyed.select(token, "id", "is_special").toArrow())
+
+    @F.arrow_udf("array<int>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known, pretoken = _Chunks(held.value), re.compile(PRETOKEN.replace("|(?s).", r"|[\x00-\xff]").encode())
+        for batch in batches:
+            sizes, values = [0], []
+            for texts in batch.to_pylist():
+                units = [[t] if t in known.special else pretoken.findall(t) for t in texts]
+                if len(units) == 1:
+                    ids = chain.from_iterable(chain.from_iterable(map(known.__getitem__, units[0])))
+                else:
+                    placed = ((p, c, i) for u in units for p, w in enumerate(u) for c, i in enumerate(known[w]))
+                    ids = chain.from_iterable(i for _, _, i in sorted(placed))
+                values.append(np.fromiter(ids, np.int32))
+                sizes.append(sizes[-1] + len(values[-1]))
+            flat = np.concatenate([*values, np.zeros(0, np.int32)])
+            yield pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(flat, pa.int32()))
+
+    return run
+
+
+def _same_keys(keys: Sequence[str]) -> Column:
+    """A join condition with columns ``_k0``, ``_k1``, ...; null keys are equal."""
+    condition = F.lit(True)
+    for i, k in enumerate(keys):
+        condition = condition & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return condition
+
+
 def encode_ids(
     texts: DataFrame,
     keys: Sequence[str],
@@ -261,14 +338,20 @@ def encode_ids(
 ) -> DataFrame:
     """The ordered id array per key, which is bounded by its text.
 
-    For texts that are too long for that, there is :func:`encode_blocks`.
+    With a small vocabulary, the text of a key that occurs once is encoded where it is. Only
+    the texts of other keys are brought together; their ids go by pretoken, chunk and id.
+    For texts that are too long for one array, there is :func:`encode_blocks`.
     """
     if vocabulary.is_small and look_up is None:
-        units = _units(texts, keys, text, vocabulary)
-        chunks = _looked_up_chunks(units, [*keys, "pos"], vocabulary)
-        rows = chunks.select(*keys, "pos", "chunk_pos", vocabulary.ids("id", "chunk").alias("ids"))
-        placed = F.array_sort(F.collect_list(F.struct("pos", "chunk_pos", "ids")))
-        return rows.groupBy(*keys).agg(F.flatten(F.transform(placed, lambda t: t["ids"])).alias("ids"))
+        encode = _array_encoder(texts.sparkSession, vocabulary)
+        given = texts.select(*keys, F.col(text).cast("binary").alias("_text"))
+        given = given.filter(F.octet_length("_text") > 0)
+        counts = given.groupBy(*keys).agg(F.count("*").alias("_n")).filter("_n > 1")
+        repeated = stage(counts.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]), "repeated")
+        same = _same_keys(keys)
+        once = given.join(repeated, same, "left_anti").select(*keys, F.array("_text").alias("_texts"))
+        more = given.join(repeated, same, "left_semi").groupBy(*keys).agg(F.collect_list("_text").alias("_texts"))
+        return once.unionByName(more).select(*keys, encode(F.col("_texts")).alias("ids"))
     blocks = encode_blocks(texts, keys, text, vocabulary, look_up)
     whole = blocks.groupBy(*keys).agg(F.expr("listagg(ids) WITHIN GROUP (ORDER BY block)").alias("ids"))
     return whole.select(*keys, unpacked(F.col("ids")).alias("ids"))

@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from conftest import column
@@ -190,6 +191,27 @@ def test_blocks_of_ids(spark, monkeypatch, small):
     assert {k: n for k, n in counts.items() if n} == {k: len(v) for k, v in expected.items() if v}
 
 
+def test_arrays_of_texts_that_occur_once_are_made_in_place(spark):
+    """No generated or sorted row for each token; repeated and null keys are one array by place."""
+    df = vocab_df(spark)
+    table, special = tables(df)
+    texts = sample_texts(20)
+    data = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    found = tokens.encode_ids(data, ["k"], "t", tokens.Vocabulary(df))
+    assert "Generate" not in found._jdf.queryExecution().executedPlan().toString()
+    rows = [(None, "ab zebra"), (None, "ab"), (1, "12345"), (1, "the\n"), (1, None), (2, ""), (3, None), (4, "\x00z")]
+    data = spark.createDataFrame(rows, "k int, t string")
+    want = {}
+    for k, t in rows:
+        for pos, unit in enumerate(re.findall(r"\w+|\W", t or "")):
+            ids = encode(unit.encode(), table, special)
+            chunks = [[i] for i in ids]
+            want.setdefault(k, []).extend((pos, c, i) for c, i in enumerate(chunks))
+    want = {k: [i for *_, ids in sorted(v) for i in ids] for k, v in want.items()}
+    found = tokens.encode_ids(data, ["k"], "t", tokens.Vocabulary(df))
+    assert dict(column(found, "k", "ids")) == {**want, 4: encode(b"\x00z", table, special)}
+
+
 def test_frequent_pretokens_are_not_shuffled(spark, monkeypatch):
     monkeypatch.setattr(tokens, "small_enough", lambda table: False)
     data = spark.createDataFrame([(i, "a a b") for i in range(50)], "k int, t string")
