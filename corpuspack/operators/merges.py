@@ -1,10 +1,11 @@
 """Rank-greedy pair merging, for vocabularies that come with a merge table.
 
-Only distinct pretokens are merged, and the merge table is joined, never collected. Short
-ones go in rounds: each joins the pairs of neighbours with the table, takes the least rank
-of every pretoken, and merges that pair wherever it stands. For long ones, one join of
-their substrings with what merges make gives all merges that can take part, and a heap
-over a linked list applies them within the row.
+Only distinct pretokens are merged, and the merge table is joined, never collected. The
+shortest go in rounds: each joins the pairs of neighbours with the table, takes the least
+rank of every pretoken, and merges that pair wherever it stands. A round writes and reads
+all that is still open, so for others, nearly all of a dictionary, one join of their
+substrings with what merges make gives all merges that can take part, and a heap over a
+linked list applies them within the row.
 
 Inside, a pretoken is text of one character per byte, and its parts are hex digits in angle
 brackets: ``<61><6263>``.
@@ -13,7 +14,9 @@ brackets: ``<61><6263>``.
 from __future__ import annotations
 
 import heapq
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +24,7 @@ from corpuspack.functions.text import single_bytes
 from corpuspack.operators.tokens import Vocabulary
 from corpuspack.sources.staging import stage
 
-SHORT = 32  # bytes; a pretoken of so many has fewer rounds than that
+SHORT = 4  # bytes; a pretoken of so many has fewer rounds than that
 
 
 def _digits(text: Column) -> Column:
@@ -45,7 +48,7 @@ def _in_rounds(units: DataFrame, table: DataFrame) -> DataFrame:
     while not open_.isEmpty():
         parts = open_.select("unit", "state", _parts(F.col("state")).alias("p"))
         neighbours = F.arrays_zip(
-            F.slice("p", F.lit(1), F.size("p") - 1).alias("first"), F.slice("p", 2, SHORT).alias("second")
+            F.slice("p", F.lit(1), F.size("p") - 1).alias("first"), F.slice("p", F.lit(2), F.size("p")).alias("second")
         )
         pairs = parts.select("unit", "state", F.posexplode(neighbours).alias("at", "pair"))
         best = (
@@ -122,9 +125,10 @@ def merge_with_heap(token: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list
 
 
 def _with_heap(units: DataFrame, table: DataFrame) -> DataFrame:
-    """``(unit, state)`` of long pretokens."""
-    made = table.withColumn("made", F.concat("first", "second"))
-    made = stage(made.withColumn("n", (F.length("made") / 2).cast("int")), "made")
+    """``(unit, chunks)`` of pretokens, each merged within its row."""
+    first, second = _text(F.col("first")), _text(F.col("second"))
+    made = table.select(first.alias("first"), second.alias("second"), "rank", F.concat(first, second).alias("made"))
+    made = stage(made.withColumn("n", F.length("made")), "made")
     sizes = made.select("n").distinct()  # no more than there are lengths of tokens
     places = units.join(F.broadcast(sizes.agg(F.array_sort(F.collect_set("n")).alias("sizes")))).select(
         "unit", F.explode("sizes").alias("n")
@@ -135,7 +139,7 @@ def _with_heap(units: DataFrame, table: DataFrame) -> DataFrame:
             F.array_distinct(
                 F.transform(
                     F.sequence(F.lit(1), F.length("unit") - F.col("n") + 1),
-                    lambda i: _digits(F.substr("unit", i, F.col("n"))),
+                    lambda i: F.substr("unit", i, F.col("n")),
                 )
             )
         ).alias("made"),
@@ -146,18 +150,23 @@ def _with_heap(units: DataFrame, table: DataFrame) -> DataFrame:
         .agg(F.collect_list(F.struct("first", "second", "rank")).alias("merges"))
     )
 
-    @F.arrow_udf("string")
-    def state(unit: pa.Array, merges: pa.Array) -> pa.Array:
+    @F.arrow_udf("array<string>")
+    def merged(unit: pa.Array, merges: pa.Array) -> pa.Array:
+        of = [0, *pc.cumulative_sum(pc.fill_null(pc.list_value_length(merges), 0)).to_pylist()]
+        rows = merges.flatten()
+        firsts, seconds, order = (rows.field(f).to_pylist() for f in ("first", "second", "rank"))
+        octets = {t: t.encode("latin-1") for t in {*firsts, *seconds}}
         out = []
-        for u, m in zip(unit.to_pylist(), merges.to_pylist()):
-            ranks = {
-                (bytes.fromhex(r["first"]), bytes.fromhex(r["second"])): r["rank"] for r in m or []
-            }
-            parts = merge_with_heap(u.encode("latin-1"), ranks)
-            out.append("".join(f"<{p.hex().upper()}>" for p in parts))
-        return pa.array(out, pa.string())
+        for i, u in enumerate(unit.to_pylist()):
+            ranks = {(octets[firsts[k]], octets[seconds[k]]): order[k] for k in range(of[i], of[i + 1])}
+            out.append([p.decode("latin-1") for p in merge_with_heap(u.encode("latin-1"), ranks)] if ranks else list(u))
+        return pa.array(out, pa.list_(pa.string()))
+
+    return units.join(able, "unit", "left").select("unit", merged("unit", "merges").alias("chunks"))
+
 
-    return units.join(able, "unit", "left").select("unit", state("unit", "merges").alias("state"))
+def _text(digits: Column) -> Column:
+    return F.decode(F.unhex(digits), "ISO-8859-1")
 
 
 def merged_units(units: DataFrame, merges: DataFrame, short: int = SHORT) -> DataFrame:
@@ -167,9 +176,9 @@ def merged_units(units: DataFrame, merges: DataFrame, short: int = SHORT) -> Dat
     """
     table = _keyed(merges)
     is_short = F.length("unit") <= short
-    states = _in_rounds(units.filter(is_short), table).unionByName(_with_heap(units.filter(~is_short), table))
-    chunks = F.transform(_parts(F.col("state")), lambda h: F.decode(F.unhex(h), "ISO-8859-1"))
-    return states.select("unit", chunks.alias("chunks"))
+    rounds = _in_rounds(units.filter(is_short), table)
+    rounds = rounds.select("unit", F.transform(_parts(F.col("state")), _text).alias("chunks"))
+    return rounds.unionByName(_with_heap(units.filter(~is_short), table))
 
 
 def dictionary_ids(merges: DataFrame, vocabulary: Vocabulary):

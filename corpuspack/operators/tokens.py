@@ -34,8 +34,8 @@ from corpuspack.operators.joins import small_enough
 from corpuspack.sources.staging import stage
 
 BLOCK_UNITS = 65_536  # pretokens of a row of ids
-# So many of the most frequent pretokens, none longer, are looked up by broadcast.
-HOT_UNITS = 10_000
+# Pretokens that are one of so many or more are looked up by broadcast, if they are not longer.
+HOT_UNITS = 500_000
 HOT_LENGTH = 64
 
 CACHED_UNITS = 200_000  # of a task, none longer than HOT_LENGTH
@@ -80,7 +80,8 @@ class Vocabulary:
 
     def packed(self, found: str, chunk: str) -> Column:
         """:meth:`ids`, 4 bytes each."""
-        return _packed(self.ids(found, chunk))
+        one = F.unhex(F.lpad(F.hex(F.col(found)), 8, "0"))
+        return F.when(F.col(found).isNotNull(), one).otherwise(_packed(self.byte_ids(F.col(chunk))))
 
     def pack(self, chunks: DataFrame) -> DataFrame:
         """``(unit, packed)`` from ``(unit, chunk_pos, chunk, id)``."""
@@ -157,29 +158,48 @@ def unpacked(packed: Column) -> Column:
     )
 
 
+def _dictionary(dictionary: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``dictionary`` of a ``unit`` each, in two: the frequent ones, to be broadcast, and the rest.
+
+    Frequent are units that one row of ``HOT_UNITS`` or more has, so many of bounded length
+    at most. ``counts`` is ``(unit, n)``.
+    """
+    least = (counts.agg(F.sum("n")).first()[0] or 0) / HOT_UNITS
+    hot = counts.filter((F.length("unit") <= HOT_LENGTH) & (F.col("n") >= least)).select("unit")
+    entries = stage(dictionary.join(hot.withColumn("hot", F.lit(True)), "unit", "left"), "dictionary")
+    often = entries.filter("hot").select(*[F.col(c).alias(f"_{c}") for c in dictionary.columns])
+    return F.broadcast(often), entries.filter("hot IS NULL").drop("hot")
+
+
 def _dictionary_join(rows: DataFrame, dictionary: DataFrame, counts: DataFrame) -> DataFrame:
     """``rows`` with what ``dictionary`` has for their ``unit``.
 
-    The units that most rows have, ``HOT_UNITS`` of bounded length at most, are broadcast,
-    so that the rows of a frequent one stay where they are. Others are joined by unit.
-    ``counts`` is ``(unit, n)``.
+    Frequent units are broadcast, so that their rows stay where they are. Others are joined
+    by unit. ``counts`` is ``(unit, n)``.
     """
-    short = counts.filter(F.length("unit") <= HOT_LENGTH)
-    hot = short.orderBy(F.desc("n"), "unit").limit(HOT_UNITS).select("unit")
-    entries = stage(dictionary.join(hot.withColumn("hot", F.lit(True)), "unit", "left"), "dictionary")
-    often = entries.filter("hot").drop("hot")
-    rest = entries.filter("hot IS NULL").drop("hot")
+    often, rest = _dictionary(dictionary, counts)
     values = [c for c in dictionary.columns if c != "unit"]
-    known = often.select(F.col("unit").alias("_unit"), *[F.col(v).alias(f"_{v}") for v in values])
-    tried = rows.join(F.broadcast(known), F.col("unit") == F.col("_unit"), "left")
+    tried = rows.join(often, F.col("unit") == F.col("_unit"), "left")
     met = tried.filter("_unit IS NOT NULL").select(*rows.columns, *[F.col(f"_{v}").alias(v) for v in values])
     missed = tried.filter("_unit IS NULL").select(*rows.columns).join(rest, "unit")
     return met.unionByName(missed.select(*met.columns))
 
 
-def _counted(texts: DataFrame, keys: Sequence[str], text: str, vocabulary: Vocabulary, whole_texts: bool) -> DataFrame:
-    units = _units(texts, keys, text, vocabulary, whole_texts)
-    return units.groupBy(*keys, "unit").agg(F.count("*").alias("_times"))
+def _priced(units: DataFrame, keys: Sequence[str], prices: DataFrame, counts: DataFrame) -> DataFrame:
+    """The sum of ``_price`` per key over its ``units``, which are gone through once.
+
+    Frequent ones are added up where they are; the others of a key, each with how often it
+    stands there, meet their prices by unit.
+    """
+    often, rest = _dictionary(prices.withColumnRenamed("_price", "price"), counts)
+    tried = units.join(often, F.col("unit") == F.col("_unit"), "left")
+    tried = tried.withColumn("unit", F.when(F.col("_unit").isNull(), F.col("unit")))
+    sums = tried.groupBy(*keys, "unit").agg(F.sum("_price").alias("tokens"), F.count("*").alias("_times"))
+    sums = stage(sums, "sums")
+    parts = sums.join(rest, "unit", "left").select(
+        *keys, F.coalesce("tokens", F.col("_times") * F.col("price")).alias("tokens")
+    )
+    return parts.groupBy(*keys).agg(F.sum("tokens").alias("tokens"))
 
 
 def _own_look_up(vocabulary: Vocabulary) -> LookUp:
@@ -210,20 +230,20 @@ def count_tokens_vocab(
     """Number of tokens per key; empty texts get no row.
 
     With a small vocabulary, pretokens are looked up where the texts are. Otherwise, or with
-    a ``look_up`` of their own (see ``merges.dictionary_ids``), each text's distinct pretokens
-    are counted, and the distinct ones of all texts priced once.
+    a ``look_up`` of their own (see ``merges.dictionary_ids``), the distinct pretokens of all
+    texts are priced once. Texts are cut again to meet the prices, of frequent ones where
+    the texts are, so that only rare pretokens are shuffled.
     """
     if vocabulary.is_small and look_up is None:
         units = _units(texts, keys, text, vocabulary, whole_texts)
         chunks = _looked_up_chunks(units, keys, vocabulary)
         price = F.when(F.col("id").isNotNull(), 1).otherwise(vocabulary.known_bytes(F.col("chunk")))
         return chunks.groupBy(*keys).agg(F.sum(price.cast("bigint")).alias("tokens"))
-    counted = stage(_counted(texts, keys, text, vocabulary, whole_texts), "counted")
-    counts = stage(counted.groupBy("unit").agg(F.count("*").alias("n")), "units")
+    units = _units(texts, keys, text, vocabulary, whole_texts).select(*keys, "unit")
+    counts = stage(units.groupBy("unit").agg(F.count("*").alias("n")), "units")
     packed = _special_units(counts.select("unit"), vocabulary, look_up or _own_look_up(vocabulary))
     prices = packed.select("unit", (F.octet_length("packed") / 4).cast("bigint").alias("_price"))
-    joined = _dictionary_join(counted, prices, counts)
-    return joined.groupBy(*keys).agg(F.sum(F.col("_times") * F.col("_price")).alias("tokens"))
+    return _priced(units, keys, prices, counts)
 
 
 def encode_blocks(

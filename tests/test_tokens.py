@@ -6,6 +6,7 @@ from conftest import column
 
 from corpuspack.operators import merges, tokens
 from corpuspack.sources import vocab as vocab_source
+from corpuspack.sources.staging import stage
 
 WORDS = ["the", "ab", "abcd", "ing", "12", "é", "\n", "quick", "qu", "ic", "k"]
 PUNCT = set(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
@@ -166,6 +167,30 @@ def test_merging_dictionaries(spark, short):
     assert found == {u: [p.decode("latin-1") for p in rescanned(u.encode("latin-1"), ranks)] for u in units}
 
 
+def test_counting_with_merges_takes_few_rounds(spark, monkeypatch):
+    """However long pretokens are; and of each text only sums and rare pretokens are staged."""
+    staged = []
+
+    def noted(df, name):
+        staged.append((name, df.columns))
+        return stage(df, name)
+
+    monkeypatch.setattr(tokens, "stage", noted)
+    monkeypatch.setattr(merges, "stage", noted)
+    made = [(b"a" * k, b"a", k) for k in range(1, 20)]
+    table = spark.createDataFrame(made, "first binary, second binary, rank int")
+    df = vocab_df(spark)
+    regular, special = tables(df)
+    texts = ["aaa a" + "a" * k for k in range(20)]
+    data = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    look_up = merges.dictionary_ids(table, tokens.Vocabulary(df))
+    counts = dict(column(tokens.count_tokens_vocab(data, ["k"], "t", tokens.Vocabulary(df), look_up), "k", "tokens"))
+    ranks = {(a, b): r for a, b, r in made}
+    assert counts == {k: len(encode(t.encode(), regular, special, ranks)) for k, t in enumerate(texts)}
+    assert [name for name, columns in staged if "k" in columns] == ["sums"]
+    assert sum(name == "merging" for name, _ in staged) <= 5
+
+
 def test_long_pretokens_are_not_scanned_again():
     ranks = {(b"a", b"b"): 1, (b"ab", b"ab"): 2, (b"abab", b"abab"): 3}
     assert merges.merge_with_heap(b"ab" * 100_000, ranks) == [b"abababab"] * 25_000
