@@ -14,6 +14,7 @@ brackets: ``<61><6263>``.
 from __future__ import annotations
 
 import heapq
+from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -124,11 +125,19 @@ def merge_with_heap(token: bytes, ranks: dict[tuple[bytes, bytes], int]) -> list
     return [p for p in parts if p is not None]
 
 
-def _with_heap(units: DataFrame, table: DataFrame) -> DataFrame:
-    """``(unit, chunks)`` of pretokens, each merged within its row."""
+def _text(digits: Column) -> Column:
+    return F.decode(F.unhex(digits), "ISO-8859-1")
+
+
+def _made(table: DataFrame) -> DataFrame:
+    """The merge table as text, with what each merge makes."""
     first, second = _text(F.col("first")), _text(F.col("second"))
     made = table.select(first.alias("first"), second.alias("second"), "rank", F.concat(first, second).alias("made"))
-    made = stage(made.withColumn("n", F.length("made")), "made")
+    return stage(made.withColumn("n", F.length("made")), "made")
+
+
+def _able(units: DataFrame, made: DataFrame) -> DataFrame:
+    """``(unit, merges)``: pretokens with the rows of ``made`` that are within them, NULL for none."""
     sizes = made.select("n").distinct()  # no more than there are lengths of tokens
     places = units.join(F.broadcast(sizes.agg(F.array_sort(F.collect_set("n")).alias("sizes")))).select(
         "unit", F.explode("sizes").alias("n")
@@ -144,29 +153,54 @@ def _with_heap(units: DataFrame, table: DataFrame) -> DataFrame:
             )
         ).alias("made"),
     )
-    able = (
-        substrings.join(made, "made")
-        .groupBy("unit")
-        .agg(F.collect_list(F.struct("first", "second", "rank")).alias("merges"))
-    )
+    fields = [c for c in made.columns if c != "n"]
+    able = substrings.join(made, "made").groupBy("unit").agg(F.collect_list(F.struct(*fields)).alias("merges"))
+    return units.join(able, "unit", "left").select("unit", "merges")
+
+
+def _merged(unit: pa.Array, merges: pa.Array) -> Iterator[list[bytes]]:
+    """The parts of each pretoken."""
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(merges), 0)).to_pylist()
+    rows = merges.flatten()
+    firsts, seconds, order = (rows.field(f).to_pylist() for f in ("first", "second", "rank"))
+    octets = {t: t.encode("latin-1") for t in {*firsts, *seconds}}
+    for u, a, b in zip(unit.to_pylist(), [0, *ends], ends):
+        token = u.encode("latin-1")
+        ranks = {(octets[firsts[k]], octets[seconds[k]]): order[k] for k in range(a, b)}
+        parts = merge_with_heap(token, ranks) if ranks else [token[k : k + 1] for k in range(len(token))]
+        yield parts
+
+
+def _with_heap(units: DataFrame, table: DataFrame) -> DataFrame:
+    """``(unit, chunks)`` of pretokens, each merged within its row."""
 
     @F.arrow_udf("array<string>")
-    def merged(unit: pa.Array, merges: pa.Array) -> pa.Array:
-        of = [0, *pc.cumulative_sum(pc.fill_null(pc.list_value_length(merges), 0)).to_pylist()]
-        rows = merges.flatten()
-        firsts, seconds, order = (rows.field(f).to_pylist() for f in ("first", "second", "rank"))
-        octets = {t: t.encode("latin-1") for t in {*firsts, *seconds}}
-        out = []
-        for i, u in enumerate(unit.to_pylist()):
-            ranks = {(octets[firsts[k]], octets[seconds[k]]): order[k] for k in range(of[i], of[i + 1])}
-            out.append([p.decode("latin-1") for p in merge_with_heap(u.encode("latin-1"), ranks)] if ranks else list(u))
-        return pa.array(out, pa.list_(pa.string()))
+    def chunks(unit: pa.Array, merges: pa.Array) -> pa.Array:
+        found = [[p.decode("latin-1") for p in parts] for parts in _merged(unit, merges)]
+        return pa.array(found, pa.list_(pa.string()))
 
-    return units.join(able, "unit", "left").select("unit", merged("unit", "merges").alias("chunks"))
+    return _able(units, _made(table)).select("unit", chunks("unit", "merges").alias("chunks"))
 
 
-def _text(digits: Column) -> Column:
-    return F.decode(F.unhex(digits), "ISO-8859-1")
+def _ids_with_heap(units: DataFrame, table: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """``(unit, packed)`` of pretokens, each merged within its row.
+
+    A part is a byte or what a merge makes, so the ids of these are looked up first, and
+    come to the pretokens with the merges.
+    """
+    made = _made(table)
+    parts = made.select(F.col("made").alias("unit"), F.lit(0).alias("chunk_pos"), F.col("made").alias("chunk"))
+    ids = vocabulary.packed_ids(parts.distinct()).withColumnRenamed("unit", "made")
+    made, single = stage(made.join(ids, "made"), "made-ids"), vocabulary.packed_bytes()
+
+    @F.arrow_udf("binary")
+    def packed(unit: pa.Array, merges: pa.Array) -> pa.Array:
+        rows = merges.flatten()
+        names, values = rows.field("made").to_pylist(), rows.field("packed").to_pylist()
+        known = {t.encode("latin-1"): v for t, v in zip(names, values)} | single
+        return pa.array([b"".join([known[p] for p in parts]) for parts in _merged(unit, merges)], pa.binary())
+
+    return _able(units, made).select("unit", packed("unit", "merges").alias("packed"))
 
 
 def merged_units(units: DataFrame, merges: DataFrame, short: int = SHORT) -> DataFrame:
@@ -176,16 +210,22 @@ def merged_units(units: DataFrame, merges: DataFrame, short: int = SHORT) -> Dat
     """
     table = _keyed(merges)
     is_short = F.length("unit") <= short
-    rounds = _in_rounds(units.filter(is_short), table)
-    rounds = rounds.select("unit", F.transform(_parts(F.col("state")), _text).alias("chunks"))
-    return rounds.unionByName(_with_heap(units.filter(~is_short), table))
+    return _short_units(units.filter(is_short), table).unionByName(_with_heap(units.filter(~is_short), table))
+
+
+def _short_units(units: DataFrame, table: DataFrame) -> DataFrame:
+    chunks = F.transform(_parts(F.col("state")), _text)
+    return _in_rounds(units, table).select("unit", chunks.alias("chunks"))
 
 
-def dictionary_ids(merges: DataFrame, vocabulary: Vocabulary):
+def dictionary_ids(merges: DataFrame, vocabulary: Vocabulary, short: int = SHORT):
     """A function from distinct pretokens ``unit`` to ``(unit, packed)``, their ids by the merge table."""
 
     def look_up(units: DataFrame) -> DataFrame:
-        chunks = merged_units(units, merges).select("unit", F.posexplode("chunks").alias("chunk_pos", "chunk"))
-        return vocabulary.packed_ids(chunks)
+        table = _keyed(merges)
+        is_short = F.length("unit") <= short
+        chunks = _short_units(units.filter(is_short), table)
+        chunks = chunks.select("unit", F.posexplode("chunks").alias("chunk_pos", "chunk"))
+        return vocabulary.packed_ids(chunks).unionByName(_ids_with_heap(units.filter(~is_short), table, vocabulary))
 
     return look_up

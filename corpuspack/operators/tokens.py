@@ -66,6 +66,11 @@ class Vocabulary:
         ids = F.transform(single_bytes(chunk), lambda b: F.get(known, F.ascii(b)))
         return F.filter(ids, lambda i: i.isNotNull())
 
+    def packed_bytes(self) -> dict[bytes, bytes]:
+        """The id of each byte in 4 bytes, none for those that have none."""
+        known = {b: i.to_bytes(4, "big", signed=True) for b, i in self._byte_ids.items()}
+        return {bytes([b]): known.get(b, b"") for b in range(256)}
+
     def known_bytes(self, chunk: Column) -> Column:
         """How many bytes of a chunk have an id."""
         unknown = "".join(chr(b) for b in range(1, 256) if b not in self._byte_ids)
