@@ -93,6 +93,9 @@ def links(prints: DataFrame) -> DataFrame:
     ``prints`` holds distinct fingerprints ``fp`` and the ``group`` of each, so that of
     the very many pairs within a group none is made. Of two segments at distance 1, the
     one whose bit is 0 asks for the other, so each pair is found from one side.
+
+    Both sides are shuffled: by Spark's estimate, which leaves out how many rows an array
+    becomes, what asks would be broadcast while it is some hundred times as large.
     """
     table = segments(prints).select(
         "side", "part", F.col("fp").alias("b"), F.col("group").alias("group_b")
@@ -112,7 +115,7 @@ def links(prints: DataFrame) -> DataFrame:
             (F.col("bit") == 0).alias("same"),
         )
     )
-    met = asked.join(
+    met = asked.hint("merge").join(
         table,
         (asked["side"] == table["side"])
         & (asked["part"] == table["part"])

@@ -23,7 +23,7 @@ from corpuspack.llm import (
     topk,
     toxicity,
 )
-from corpuspack.llm.common import is_held_out
+from corpuspack.llm.common import is_held_out, stage
 from corpuspack.llm.components import components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint"
@@ -258,6 +258,18 @@ def test_links_of_many_near_prints(spark):
     assert [group[s] for s in signed] == want
 
 
+def test_what_asks_for_links_is_not_broadcast(spark, capsys):
+    """However few bytes the prints are on disk, the rows that they become do not reach the driver."""
+    signed = [(i << 40) + 7 * i for i in range(1, 300)] + [(5 << 40) + 34]  # one bit from 5's
+    table = stage(spark.createDataFrame([(s, s) for s in signed], "fp bigint, group bigint"), "test-prints")
+    found = simhash.links(table)
+    found.explain()
+    plan = capsys.readouterr().out
+    assert "Join" in plan and "Broadcast" not in plan
+    pairs = {(a, b) for a in signed for b in signed if a < b and (a ^ b).bit_count() <= 3}
+    assert len(pairs) > 1 and {(min(p), max(p)) for p in rows(found)} == pairs
+
+
 def test_fingerprint_of_shingles():
     import xxhash
 
